@@ -39,13 +39,13 @@ from pyspark.sql.window import Window
 from .common import materialise
 from .components import components
 from .shingles import mixed, shingle_lists
+from .textfilter import texts_near
 
 WIDTH = 5
 PERCENT = 80
 SKETCH_BITS = 20
 CHUNK = 1 << 14
 LIGHT_LIMIT = 64  # pairs grow with the square of the size; no boundary beyond this
-FILTER_BITS = 1 << 23
 _PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -146,26 +146,8 @@ def nodes(docs: DataFrame, classes: np.ndarray, light_to: int, width: int, perce
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs a, b whose sets link, counted on the whole texts. Only texts that a pair may need are moved: a bit filter
-    of fixed size (FILTER_BITS) drops most others where they are read, and the joins decide."""
-    spark = docs.sparkSession
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
-    word = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    bits = ids.select(word.alias("word")).select(F.shiftright("word", 6).cast("int").alias("at"), F.expr("shiftleft(1L, int(word % 64))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits"))
-    filled = np.zeros(FILTER_BITS // 64, np.int64)
-    for at, x in bits.toPandas().itertuples(index=False):  # FILTER_BITS / 64 rows at most
-        filled[at] = x
-    shared = spark.sparkContext.broadcast(filled.view(np.uint64))
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        for batch in batches:
-            at = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            hit = (own[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], names=["doc_id", "text"]).filter(pa.array(hit.astype(bool)))
-
-    keyed = docs.where("doc_id IS NOT NULL").select("doc_id", word.alias("word"), "text")
-    texts = materialise(keyed.mapInArrow(near, "doc_id long, text string"), "ngram-texts")
+    """The pairs a, b whose sets link, counted on the whole texts."""
+    texts = materialise(texts_near(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))), "ngram-texts")
     left = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     both = left.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
 
