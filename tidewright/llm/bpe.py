@@ -18,12 +18,14 @@ import base64
 from collections.abc import Callable, Iterator
 from hashlib import sha256
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
 CACHE_PIECES = 400_000
 CACHE_BYTES = 48
+ENCODE_ROWS = 500
 NEVER = 1 << 62
 POSITION_BITS = 32
 
@@ -145,8 +147,25 @@ def _by_text(docs: DataFrame, text_col: str, schema: str, types: list[pa.DataTyp
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """docs with n_tokens and token_ids array<int>."""
-    return _by_text(docs, text_col, "n_tokens long, token_ids array<int>", [pa.int64(), pa.list_(pa.int32())], lambda c, t: (len(ids := c.encode(t)), ids), path, pattern)
+    """docs with n_tokens, token_ids array<int>, and decoded_sha256 of the bytes that the ids decode to."""
+    from pyspark.sql import types as T
+
+    ours = ("n_tokens", "token_ids", "decoded_sha256")
+    rest = docs.select([c for c in docs.columns if c not in ours])
+    schema = T.StructType([*rest.schema.fields, *T._parse_datatype_string("n_tokens long, token_ids array<int>, decoded_sha256 string").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(path, pattern)
+        for whole in batches:
+            for start in range(0, whole.num_rows, ENCODE_ROWS):
+                batch = whole.slice(start, ENCODE_ROWS)
+                made = [own.digest(t or "") for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
+                offsets = np.concatenate([[0], np.cumsum([n for n, _, _ in made])]).astype(np.int32)
+                flat = np.array(",".join(ids for n, ids, _ in made if n).split(","), dtype=np.int32) if offsets[-1] else np.zeros(0, np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.diff(offsets).astype(np.int64)), lists, pa.array([sha256(d).hexdigest() for _, _, d in made])], names=[*batch.schema.names, *ours])
+
+    return rest.mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "token_ids") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, line_dedup, mixing, ngram_join, sharding, toxicity, vafile
+from . import bpe, fingerprint, line_dedup, mixing, ngram_join, pii, sharding, toxicity, urlfilter, vafile
 from .common import table
 
 
@@ -32,11 +32,23 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_kept", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key is a fixed one here; pipelines pass their own secret."""
+    out = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key=b"registered-query")
+    return out.select("doc_id", F.size("pii_spans").alias("n_found"), F.transform("pii_spans", lambda s: s["kind"]).alias("kinds"), "text")
+
+
 def op6_topk_vafile(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return vafile.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
 
 
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")  # pages have no fetch date, so the query sets one
+    fetched = F.date_add(F.lit(urlfilter.FETCH_START).cast("date"), (F.col("page_id") * 7 % 366).cast("int"))
+    return urlfilter.judge(pages.withColumn("fetched_on", fetched), urlfilter.entries(spark))
+
+
 def op8_shard_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shards(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -57,7 +69,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_mix_sources": op3_mix_sources,
     "op4_line_dedup": op4_line_dedup,
+    "op5_pii_pseudonyms": op5_pii_pseudonyms,
     "op6_topk_vafile": op6_topk_vafile,
+    "op7_url_filters": op7_url_filters,
     "op8_shard_differencing": op8_shard_differencing,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_fingerprints": op10_fingerprints,
@@ -65,10 +79,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op6_topk_vafile": """
-        WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
-                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
-        s AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(list_sum(list_transform(list_zip(q.v, d.v), p -> p[1] * p[2])) AS BIGINT) AS score
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(list_sum(list_transform(list_zip(q.v, d.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
               FROM v q JOIN v d ON q.vec_id % 20 = 0 AND q.vec_id <> d.vec_id),
         r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op7_url_filters": urlfilter.ORACLE,
 }
