@@ -2,6 +2,14 @@
 
 from __future__ import annotations
 
+from . import relational
+
+_PARTS = [relational]
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-FLAGSHIP = None
+for _part in _PARTS:
+    QUERIES |= _part.R.queries
+    ORACLE_SQL |= _part.R.sql
+
+FLAGSHIP = relational.ex_tpch_top_customers
