@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import relational
+from . import data_checks, relational
 
-_PARTS = [relational]
+_PARTS = [relational, data_checks]
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
