@@ -72,14 +72,17 @@ def successors(ids: DataFrame) -> DataFrame:
 def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row with its fingerprint, its edited text's, and the likenesses. Edited: the last floor(n / 4) code points give
     way to the first as many of the next document. Texts are dealt by doc_id once; what travels further is the heads."""
-    base = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    # An alias on one side of a self-join only would make two exchanges of one, so rename only what needs it.
+    base = docs.select(docs[id_col] if id_col == "doc_id" else docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     quarter = F.floor(F.char_length("text") / 4).cast("int")
-    tails = base.where("doc_id IS NOT NULL").select("doc_id", quarter.alias("tail")).groupBy("doc_id").agg(F.max("tail").alias("tail"))
+    named = base.where("doc_id IS NOT NULL")  # one exchange of this serves both joins
+    tails = named.select("doc_id", quarter.alias("tail")).groupBy("doc_id").agg(F.max("tail").alias("tail"))
     wanted = successors(tails).select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("prev_id"), "tail")
-    heads = base.join(wanted, "doc_id").select("prev_id", "text", F.expr("left(text, tail)").alias("head"))
+    heads = named.join(wanted, "doc_id").select("prev_id", "text", F.expr("left(text, tail)").alias("head"))
     heads = add_sketch(heads, F.col("text"), "next_sketch").groupBy("prev_id").agg(F.min(F.struct("head", F.col("text") == "", "next_sketch")).alias("next"))
     heads = heads.select(F.col("prev_id").alias("doc_id"), "next.head", "next.next_sketch")
-    out = base.join(heads, "doc_id", "left").withColumn("n_chars", F.char_length("text").cast("long")).withColumn("cut", quarter)
+    nameless = base.where("doc_id IS NULL").withColumns({"head": F.lit(""), "next_sketch": F.array().cast("array<int>")})
+    out = named.join(heads, "doc_id", "left").unionByName(nameless).withColumn("n_chars", F.char_length("text").cast("long")).withColumn("cut", quarter)
     out = out.withColumn("edited_text", F.concat(F.expr("left(text, n_chars - cut)"), F.expr("left(coalesce(head, ''), cut)")))
     out = add_sketch(add_sketch(out, F.col("text"), "sketch"), F.col("edited_text"), "edited_sketch")
     same = F.col("text") == F.col("edited_text")
