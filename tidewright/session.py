@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Rows of an Arrow batch. Texts are kilobytes each, so this bounds what a Python worker and its task hold at once.
+ARROW_ROWS = "1000"
 
 
 def build(app: str = "tidewright", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -23,7 +25,9 @@ def build(app: str = "tidewright", master: str | None = None, shuffle_partitions
 
 
 def ship(spark: SparkSession) -> None:
-    """Adds this package to the Python path of all workers, once a Spark application. The driver serves the archive."""
+    """Adds this package to the Python path of all workers, once a Spark application (the driver serves the archive), and sets
+    the size of Arrow batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
