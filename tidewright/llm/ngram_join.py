@@ -20,6 +20,10 @@ list's least node and joins what links into components. Round two checks the pai
 components and may link by size and place: what is left are lists that unlike texts share. Every link between different
 components is found, so the components are exact; links inside a component need no check.
 
+Before texts are read, a pair must pass a lossless filter: each set has a map of parities (how many of its shingles fall on
+a bit, odd or even), and two sets differ in at least as many shingles as their maps differ in bits. A map of PARITY_BITS
+stands in the lists; pairs that pass are tried with maps as wide as the sets are large.
+
 Nodes, links and components stay in tables in the shared folder; the driver sees the sketch only.
 
 Defined cases: null or blank text: empty set, a component of its own; rows without doc_id take no part (component null);
@@ -45,6 +49,8 @@ WIDTH = 5
 PERCENT = 80
 SKETCH_BITS = 20
 CHUNK = 1 << 14
+PARITY_BITS = 512
+MAPS = [f"g{k}" for k in range(PARITY_BITS // 64)]
 LIGHT_LIMIT = 64  # pairs grow with the square of the size; no boundary beyond this
 _PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -120,13 +126,13 @@ def signatures(hashes: np.ndarray, classes: np.ndarray, light_to: int, percent:
 
 
 def nodes(docs: DataFrame, classes: np.ndarray, light_to: int, width: int, percent: int) -> DataFrame:
-    """doc_id, n, s1, s2 (the set's digest), lists (how many of the keys are list keys) and keys of every row."""
+    """doc_id, n, s1, s2 (the set's digest), lists (how many of the keys are list keys), keys and parity maps of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            n, s1, s2, lists, keys = [], [], [], [], []
+            n, s1, s2, lists, keys, maps, wide = [], [], [], [], [], [], []
             for _, hashes in shingle_lists(batch.column(1), width):
                 hashes = np.unique(hashes)
                 size = len(hashes)
@@ -134,15 +140,48 @@ def nodes(docs: DataFrame, classes: np.ndarray, light_to: int, width: int, perce
                 s1.append(hashes.sum(dtype=np.uint64) if size else np.uint64(0))
                 s2.append(np.bitwise_xor.reduce(mixed(hashes * _PAIR)) if size else np.uint64(0))
                 keys.append(signatures(hashes, own, light_to, percent))
+                odd = np.bincount((hashes & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
+                maps.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+                wide.append(parity_map(hashes))
                 lists.append(0 if size < 2 or size < least_overlap(light_to + 1, percent) else size - least_overlap(size, percent) + 1)
             offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
+            maps = np.array(maps, np.int64).reshape(len(maps), len(MAPS))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int32()), pa.array(np.array(s1, np.uint64).view(np.int64)), pa.array(np.array(s2, np.uint64).view(np.int64)), pa.array(lists, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                names=["doc_id", "n", "s1", "s2", "lists", "keys"],
+                [batch.column(0), pa.array(n, pa.int32()), pa.array(np.array(s1, np.uint64).view(np.int64)), pa.array(np.array(s2, np.uint64).view(np.int64)), pa.array(lists, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), *map(pa.array, maps.T.copy()), pa.array(wide, pa.binary())],
+                names=["doc_id", "n", "s1", "s2", "lists", "keys", *MAPS, "wide"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, s1 long, s2 long, lists int, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, s1 long, s2 long, lists int, keys array<long>, " + ", ".join(f"{g} long" for g in MAPS) + ", wide binary")
+
+
+def parity_map(hashes: np.ndarray) -> bytes:
+    """Parities on a power of two of bits, at least as many as there are hashes."""
+    bits = max(64, 1 << (len(hashes) - 1).bit_length() if len(hashes) else 64)
+    return np.packbits((np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def bits_apart(a: bytes, b: bytes) -> int:
+    """In how many bits two maps differ, the wider folded to the other's width (which keeps parities)."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) < len(y):
+        x, y = y, x
+    return int(np.bitwise_count(np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0) ^ y).sum())
+
+
+def close_maps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those rows of pairs (a, b and more) whose wide maps allow a link."""
+    of = lambda s: sets.where("n > 0").select(F.col("doc_id").alias(s), F.col("n").alias(f"map_{s}_n"), F.col("wide").alias(f"map_{s}"))
+    names, columns = ["map_a_n", "map_b_n", "map_a", "map_b"], pairs.columns
+    wide = pairs.join(of("a"), "a").join(of("b"), "b").select(*columns, *names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names), strict=True)
+            keep = [(100 + percent) * bits_apart(x, y) <= (100 - percent) * (n + m) for n, m, x, y in rows]
+            yield batch.filter(pa.array(keep, pa.bool_())).select(columns)
+
+    return wide.mapInArrow(run, pairs.schema).distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -187,22 +226,30 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     by_size = (100 * F.least(a_n, b_n) >= t * F.greatest(a_n, b_n))
     by_place = (100 + percent) * (1 + F.least(a_n - F.col("a_place"), b_n - F.col("b_place")) - 1) >= t * (a_n + b_n)  # if this is the first they share
 
+    differ = sum((F.bit_count(F.col(f"a_{g}").bitwiseXOR(F.col(f"b_{g}"))) for g in MAPS), F.lit(0))
+    by_map = (100 + percent) * differ <= (100 - percent) * (a_n + b_n)
+    of = lambda s: sets.select(F.col("doc_id").alias(s), F.col("n").alias(f"{s}_n"), *[F.col(g).alias(f"{s}_{g}") for g in MAPS])
+
     heads = lists.where("node = least").select("key", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("place").alias("a_place"))
     tails = lists.where("node <> least").select("key", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("place").alias("b_place"))
     stars = heads.join(tails, "key").where(by_size & by_place).select("a", "b").distinct()
+    stars = stars.join(of("a"), "a").join(of("b"), "b").where(by_map).select("a", "b").distinct()
+    stars = close_maps(stars, sets, percent)
     links = verified(materialise(stars, "ngram-stars"), docs, width, percent)
     first = materialise(components(links, "a", "b"), "ngram-components")
 
     named = lists.join(first.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    open_lists = materialise(named.where("node <> least").join(split, "key"), "ngram-open")
-    side = lambda s: open_lists.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "n", "place", "component")])
-    cross = side("a").join(side("b"), "key").where((F.col("a_component") < F.col("b_component")) & by_size & by_place)
-    rest = materialise(cross.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), "a_component", "b_component").distinct(), "ngram-rest")
+    still = named.where("node <> least").join(split, "key").join(sets.select(F.col("doc_id").alias("node"), *MAPS), "node")
+    still = materialise(still.select("key", "node", "n", "place", "component", *MAPS), "ngram-open")
+    side = lambda s: still.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "n", "place", "component", *MAPS)])
+    cross = side("a").join(side("b"), "key").where((F.col("a_component") < F.col("b_component")) & by_size & by_place & by_map)
+    cross = cross.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), "a_component", "b_component").distinct()
+    rest = materialise(close_maps(cross, sets, percent), "ngram-rest")
     more = verified(rest.select("a", "b"), docs, width, percent).join(rest, ["a", "b"])
     second = components(more, "a_component", "b_component")
 
-    known = least.select(*digest, F.col("x.doc_id").alias("node")).join(first.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    known = classed.groupBy(*digest).agg(F.min("doc_id").alias("node")).join(first.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     known = known.join(second.select(F.col("id").alias("component"), F.col("component").alias("final")), "component", "left").select(*digest, F.coalesce("final", "component").alias("component"))
     out = sets.select("doc_id", *digest).join(known, digest, "left")
     own = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "doc_id"))
