@@ -20,13 +20,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import parts_for, word_count
+from .common import materialise, parts_for, word_count
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 CAP = 2.0
 SEED = 20_240_607
 ROWS_PER_CELL = 200_000
+LEAST_SALTS = 16
 
 
 def targets(cells: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -46,11 +47,13 @@ def targets(cells: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float
 
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED, keep: list[str] | None = None) -> DataFrame:
     """Every row of docs (or its columns `keep`) with mix_size, mix_source_size, mix_target, mix_copies and mix_taken."""
-    salts = parts_for(docs.count(), ROWS_PER_CELL, 1_000_000)
+    salts = max(LEAST_SALTS, parts_for(docs.count(), ROWS_PER_CELL, 1_000_000))
     kept = [docs[c] for c in (docs.columns if keep is None else keep)]
     src = F.when(docs[source_col].isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), docs[source_col]))
     base = docs.select(*kept, docs[id_col].alias("mix_id"), src.alias("mix_src"), word_count(docs[text_col]).alias("mix_size"))
     base = base.withColumn("mix_class", F.floor(F.log2(F.col("mix_size") + F.lit(1.0)) * 32).cast("int")).withColumn("mix_salt", F.pmod(F.xxhash64("mix_id"), F.lit(salts)).cast("int"))
+    if keep is not None:
+        base = materialise(base, "mix-sizes")  # the texts are read once
     cell = ["mix_src", "mix_class", "mix_salt"]
     cells = base.groupBy(*cell).agg(F.count(F.lit(1)).alias("cell_rows"), F.sum("mix_size").alias("cell_size"))
     before = Window.partitionBy("mix_src").orderBy(F.desc("mix_class"), "mix_salt").rowsBetween(Window.unboundedPreceding, -1)
