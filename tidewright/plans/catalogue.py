@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import data_checks, relational
+from . import analysis, data_checks, relational
 
-_PARTS = [relational, data_checks]
+_PARTS = [relational, data_checks, analysis]
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
