@@ -1,0 +1,415 @@
+"""Each operator against a plain version of itself, and on odd tables."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tidewright.llm import bpe, components, fingerprint, line_dedup, mixing, ngram_join, pii, sharding, toxicity, urlfilter, vafile
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def lower(t):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+
+
+def shingles(text, width=5):
+    w = WORD.findall(lower(text))
+    return frozenset(tuple(w[i : i + width]) for i in range(len(w) - width + 1)) if len(w) >= width else frozenset([tuple(w)] if w else [])
+
+
+def brute_components(rows):
+    sets = {i: shingles(t) for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for x in ids:
+        for y in ids:
+            if x < y:
+                both = len(sets[x] & sets[y])
+                if both and 100 * both >= 80 * len(sets[x] | sets[y]):
+                    p, q = find(x), find(y)
+                    parent[max(p, q)] = min(p, q)
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+def edited_copies(seed, n, words=60):
+    """Texts of many sizes with copies, near copies of near copies, and a shared passage."""
+    rng = random.Random(seed)
+    vocab = [f"v{i}" for i in range(400)]
+    passage = " ".join(rng.choice(vocab) for _ in range(30))
+    out = []
+    for i in range(n):
+        if out and rng.random() < 0.6:
+            w = rng.choice(out)[1].split()
+            for _ in range(rng.randint(0, max(1, len(w) // 12))):
+                w[rng.randrange(len(w))] = rng.choice(vocab)
+        else:
+            w = [rng.choice(vocab) for _ in range(rng.choice([1, 2, 5, 6, 8, 12, 25, words, 4 * words]))]
+            if rng.random() < 0.4:
+                w += passage.split()
+        out.append((i, " ".join(w)))
+    return out
+
+
+# ---- 1
+
+
+def test_ngram_join_finds_every_component(spark):
+    rows = edited_copies(5, 160)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_components(rows)
+    assert got == want
+    assert len({c for _, c in want.values()}) < len(want)
+
+
+def test_ngram_join_on_odd_rows(odd, clashing, none):
+    for frame in (odd, clashing):
+        rows = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join(frame).collect())
+        assert rows[2, 16, 1] == 1 and rows[1, 16, 1] == 1 and rows[3, 16, 1] == 1  # 15 of 17 shingles are shared
+        assert rows[7, 1, 7] == 2 and rows[4, 0, 4] == rows[5, 0, 5] == rows[6, 0, 6] == 1 and rows[None, 16, None] == 1
+    assert ngram_join.join(none).count() == 0
+
+
+@pytest.mark.parametrize("light_to", [1, 8, 64])
+def test_any_boundary_keeps_the_shared_key(light_to):
+    rng = np.random.default_rng(light_to)
+    classes = rng.integers(0, 3, 1 << ngram_join.SKETCH_BITS).astype(np.uint8)
+    for n in range(2, 60):
+        base = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        allowed = int(len(base) - -(-80 * len(base) // 100))
+        other = np.unique(np.concatenate([base[allowed:], rng.integers(0, 2**63, allowed // 2).astype(np.uint64)]))
+        both = len(np.intersect1d(base, other))
+        if 100 * both >= 80 * (len(base) + len(other) - both) and len(base) != both:
+            a, b = (ngram_join.signatures(x, classes, light_to, 80) for x in (base, other))
+            assert len(np.intersect1d(a, b)), (n, len(other))
+
+
+def test_maps_never_differ_more_than_the_sets():
+    rng = np.random.default_rng(0)
+    for n, m in ((1, 1), (10, 900), (500, 480), (3000, 2900)):
+        x = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        y = np.unique(np.concatenate([x[: m // 2], rng.integers(0, 2**63, m // 2 + 1).astype(np.uint64)]))
+        assert ngram_join.bits_apart(ngram_join.parity_map(x), ngram_join.parity_map(y)) <= len(np.setxor1d(x, y))
+
+
+def test_components_of_a_long_path_and_a_star(spark):
+    edges = [(i, i + 1) for i in range(0, 40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (3, 2)]
+    got = {r.id: r.component for r in components.components(spark.createDataFrame(edges, "x long, y long"), "x", "y").collect()}
+    assert {v for k, v in got.items() if k <= 40} == {0} and {v for k, v in got.items() if k >= 100} == {100} and len(got) == 41 + 60
+    assert components.components(spark.createDataFrame([], "x long, y long"), "x", "y").count() == 0
+
+
+# ---- 2
+
+
+def toxic_rows(n=400, seed=2):
+    rng = random.Random(seed)
+    calm = [f"calm{i}" for i in range(60)]
+    rows, labels = [], []
+    for i in range(n):
+        w = [rng.choice(calm) for _ in range(30)]
+        bad = i % 5 == 0
+        if bad:
+            for _ in range(3):
+                w[rng.randrange(30)] = rng.choice(["dolt", "nitwit", "numpty"])
+        rows.append((i, " ".join(w) + "."))
+        labels.append((i, int(bad)))
+    return rows, labels
+
+
+def test_toxicity_learns_and_keeps_held_out_rows_apart(spark):
+    rows, labels = toxic_rows()
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.train(docs, marks)
+    assert {"=dolt", "=nitwit", "=numpty"} <= set(model.lexicon)
+    got = {r.doc_id: (r.tox_score, r.tox_predicted) for r in toxicity.score(docs, model).collect()}
+    held = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert held and all(got[i][1] == (i % 5 == 0) and 0 <= got[i][0] <= 1 for i in held)
+    flipped = spark.createDataFrame([(i, 1 - t if i in set(held) else t) for i, t in labels], "doc_id long, toxic int")
+    again = toxicity.train(docs, flipped)
+    assert again.lexicon == model.lexicon and np.allclose(again.weights, model.weights)
+
+
+def test_toxicity_grammar_tells_directed_negated_and_reported():
+    s = toxicity.Scorer({"=dolt": 2.0})
+    plain, directed, negated, reported = (s.features(t)[:4] for t in ("what a dolt came", "you are a dolt", "he came. not a dolt", "he said the next dolt came"))
+    assert plain[toxicity.PLAIN] > 0 and directed[toxicity.DIRECTED] > 0 and negated[toxicity.NEGATED] > 0 and reported[toxicity.REPORTED] > 0
+    assert s.features("not here. dolt")[toxicity.PLAIN] > 0  # a clause ends the negation
+    assert s.features("I will hurt you")[4:8] != [0.0] * 4 and s.features("") == [0.0] * s.N
+
+
+def test_toxicity_on_odd_rows(odd, none, spark):
+    labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, None), (77, 0)], "doc_id long, toxic int")
+    for marks in (labels, labels.where("false"), labels.where("toxic = 1")):
+        model = toxicity.train(odd.select("doc_id", "text"), marks)
+        out = toxicity.score(odd, model).collect()
+        assert len(out) == odd.count() and all(0 <= r.tox_score <= 1 for r in out)
+        assert toxicity.score(none, model).count() == 0
+
+
+# ---- 3
+
+
+def fill(sizes, weights, share, cap):
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    w = {s: weights[k % len(weights)] for k, s in enumerate(order)}
+    left, total, out = set(order), share * sum(sizes.values()), {}
+    while left:
+        level = (total - sum(out.values())) / sum(w[s] for s in left)
+        over = [s for s in left if level * w[s] > cap * sizes[s]]
+        if not over:
+            return out | {s: level * w[s] for s in left}
+        for s in over:
+            out[s] = cap * sizes[s]
+            left.discard(s)
+    return out
+
+
+def test_mixing_meets_its_targets(spark):
+    rng = random.Random(1)
+    rows = [(i, " ".join(["w"] * rng.randint(0, 50)), rng.choice(["b", "a", "a", "a", "é", None])) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.copies(docs).collect()
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    want, taken = fill(dict(sizes), mixing.WEIGHTS, mixing.SHARE, mixing.CAP), Counter()
+    for r in got:
+        assert r.mix_source_size == sizes[r.source] and r.mix_target == pytest.approx(want[r.source]) and 0 <= r.mix_copies <= 2 and r.mix_taken == r.mix_copies * r.mix_size
+        taken[r.source] += r.mix_taken
+    assert all(abs(taken[s] - want[s]) <= 55 for s in want)
+    again = {r.doc_id: r.mix_copies for r in mixing.copies(docs.repartition(7)).collect()}
+    assert again == {r.doc_id: r.mix_copies for r in got}
+    assert mixing.mix(docs).count() == sum(r.mix_copies for r in got)
+
+
+def test_mixing_on_odd_rows(odd, clashing, none):
+    assert mixing.copies(odd).count() == odd.count()
+    assert mixing.mix(clashing).columns == clashing.columns
+    assert mixing.copies(none).count() == 0 == mixing.mix(none).count()
+    assert {r.mix_taken for r in mixing.copies(odd.where("text IS NULL")).collect()} == {0}
+
+
+# ---- 4
+
+
+def brute_lines(rows):
+    places = [(i, k, tuple(WORD.findall(line))) for i, t in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]) for k, line in enumerate((t or "").split("\n"))]
+    first = {}
+    for i, k, w in places:
+        if w:
+            first.setdefault(w, (i, k))
+    bad = {x for x in first for y in first if first[y] < first[x] and min(len(x), len(y)) >= line_dedup.MIN_WORDS and line_dedup.edits(list(x), list(y)) == 1}
+    return {v for w, v in first.items() if w not in bad}
+
+
+def test_line_dedup_keeps_the_earliest(spark):
+    rng = random.Random(9)
+    base = [[rng.choice("abcde") for _ in range(rng.choice([7, 8, 9, 11, 20]))] for _ in range(25)]
+    rows = []
+    for i in range(200):
+        lines = []
+        for _ in range(rng.randint(0, 4)):
+            w = list(rng.choice(base))
+            for _ in range(rng.choice([0, 0, 1, 2])):
+                p, how = rng.randrange(len(w)), rng.random()
+                w = w[:p] + ([rng.choice("abcde")] if how < 0.4 else [rng.choice("abcde"), w[p]] if how < 0.7 else []) + w[p + 1 :]
+            lines.append(" ".join(w))
+        rows.append((i, "\n".join(lines)))
+    got = {r.doc_id: r for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    keep = brute_lines(rows)
+    for i, t in rows:
+        lines = t.split("\n")
+        left = [x for k, x in enumerate(lines) if not WORD.search(x) or (i, k) in keep]
+        assert got[i].n_kept == sum((i, k) in keep for k in range(len(lines)))
+        assert got[i].text == ("\n".join(left) if got[i].n_kept < got[i].n_lines else t)
+
+
+def test_line_dedup_on_odd_rows(odd, clashing, none):
+    for frame in (odd, clashing):
+        out = [r for r in line_dedup.dedup(frame).collect()]
+        by = {r.doc_id: r for r in out}
+        assert len(out) == odd.count() and by[1].n_kept == 1 and by[2].n_kept == 0 and by[2].text == "" and by[3].n_kept == 0 and by[4].text is None
+        assert by[8].text == "you idiot\nplain line of eight words stands here now" and by[11].n_kept == 0 and by[None].n_kept == 1
+        assert [r.n_kept for r in out if r.doc_id == 7] == [1, 1]
+    assert line_dedup.dedup(none).count() == 0
+
+
+# ---- 5
+
+
+def test_feistel_is_a_permutation():
+    for n in (1, 2, 10, 97, 1000):
+        f = pii.Feistel(b"k" * 16, "t", n)
+        out = [f.walk(x) for x in range(n)]
+        assert sorted(out) == list(range(n)) and [f.walk(y, undo=True) for y in out] == list(range(n))
+
+
+def test_pseudonyms_keep_format_link_and_undo():
+    p = pii.Pseudonyms(b"secret key 12345")
+    text = "Card 4111 1111 1111 1111, born 1999-02-28 or 31.12.1999, SSN 123-45-6789, DE89 3704 0044 0532 0130 00, +1 (017) 555-7713, mail ann.b+x9@mail.example.com, host 10.0.0.255, token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\"; 4111 1111 1111 1112 and 2001-02-30 are none."
+    new, spans = p.apply(text)
+    assert [k for *_, k in spans] == ["card", "date", "date", "ssn", "iban", "phone", "email", "ip", "secret"]
+    assert all(text[s:e] not in new for s, e, _ in spans) and "4111 1111 1111 1112 and 2001-02-30" in new
+    card = re.search(r"Card ([\d ]+),", new)[1].replace(" ", "")
+    assert pii.luhn_digit(card[:-1]) == card[-1] and re.search(r"born \d{4}-\d\d-\d\d or \d\d\.\d\d\.\d{4}, SSN \d{3}-\d\d-\d{4}", new)
+    assert p.apply(new, undo=True)[0] == text
+    assert p.apply("4111 1111 1111 1111")[0] in new and pii.Pseudonyms(b"another").apply(text)[0] != new
+
+
+def test_pii_on_odd_rows(odd, clashing, none):
+    for frame in (odd, clashing):
+        out = pii.pseudonymise(frame, b"k").collect()
+        assert Counter((r.doc_id, r.text) for r in out) == Counter((r.doc_id, r.text) for r in odd.collect())  # nothing to hide
+    assert pii.pseudonymise(none, b"k").count() == 0
+
+
+# ---- 6
+
+
+def brute_top(rows, k, every):
+    ok = {i: np.floor(64 * np.array(v, dtype=np.float64)).astype(np.int64) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)}
+    out = {}
+    for q in ok:
+        if q % every == 0:
+            score = sorted(((-int(ok[q] @ v), i) for i, v in ok.items() if i != q and len(v) == len(ok[q])))
+            out[q] = [(i, -s) for s, i in score[:k]]
+    return out
+
+
+@pytest.mark.parametrize("dim,scale", [(8, 1.0), (3, 0.02), (5, 1e6)])
+def test_top_k_is_exact(spark, dim, scale):
+    rng = np.random.default_rng(dim)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(0, scale, dim)]) for i in range(400)]
+    rows += [(400, None), (401, [None] * dim), (402, [float("nan")] * dim), (403, [float("inf")] + [0.0] * (dim - 1)), (420, [0.5]), (440, [0.25])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got: dict = {}
+    for r in vafile.top_k(frame, frame.where("vec_id % 20 = 0"), k=7).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    want = {q: v for q, v in brute_top(rows, 7, 20).items() if v}
+    assert got == want and got[420] == [(440, got[420][0][1])]
+
+
+def test_top_k_of_nothing(spark):
+    frame = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert vafile.top_k(frame, frame).count() == 0
+
+
+# ---- 7
+
+
+def test_url_filters_judge_by_the_entry_of_the_day(spark):
+    listed = urlfilter.entries(spark, [("domain", "bad.test", "block", "2024-01-10"), ("domain", "bad.test", "drop", "2024-02-10"), ("path", "www.bad.test/ok", "allow", "2024-01-01"), ("domain", "x.bad.test", "allow", "2024-01-20"), ("domain", None, "block", "2024-01-01"), ("domain", "late.test", "block", None)])
+    caps = [(1, "http://bad.test/", "2024-01-09"), (2, "http://bad.test/", "2024-01-10"), (3, "https://www.BAD.test/ok/page", "2024-01-15"), (4, "https://a.x.bad.test:8080/?q", "2024-01-25"), (5, "https://a.x.bad.test", "2024-01-15"), (6, "http://bad.test/", "2024-02-10"), (7, None, "2024-01-15"), (8, "nonsense", "2024-01-15"), (9, "http://bad.test/", None), (9, "http://notbad.test/", "2024-01-15"), (10, "http://late.test/", "2024-05-05")]
+    frame = spark.createDataFrame(caps, "page_id long, url string, d string").withColumn("fetched_on", F.to_date("d")).withColumn("key", F.lit("mine"))
+    got = Counter((r.capture, r.verdict) for r in urlfilter.judge(frame, listed).collect())
+    assert got == Counter([(1, "none"), (2, "block"), (3, "allow"), (4, "allow"), (5, "block"), (6, "none"), (7, "none"), (8, "none"), (9, "none"), (9, "none"), (10, "none")])
+    assert urlfilter.judge(frame.where("false"), listed).count() == 0 and {r.verdict for r in urlfilter.judge(frame, listed.where("false")).collect()} == {"none"}
+
+
+# ---- 8
+
+
+def test_differencing_balances_and_is_a_bijection():
+    rng = np.random.default_rng(4)
+    vectors = rng.integers(0, 1000, (37, 5))
+    to = sharding.difference(vectors)
+    assert all(sorted(row) == list(range(5)) for row in to)
+    sums = np.zeros(5, int)
+    for v, t in zip(vectors, to, strict=True):
+        np.add.at(sums, t, v)
+    assert sums.max() - sums.min() < 120 and sorted(sharding.difference(vectors[:1])[0]) == list(range(5))
+
+
+def test_sharding(spark, odd, clashing, none):
+    rng = random.Random(0)
+    rows = [(i, rng.choice(["same", "x" * rng.randint(1, 400), None])) for i in range(3000)]
+    out = sharding.shards(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    size = Counter()
+    where: dict = {}
+    slots: dict = {}
+    for r in out:
+        t = rows[r.doc_id][1] or ""
+        assert r.size == len(t.encode()) + 8 and r.text_crc32 == zlib.crc32(t.encode())
+        where.setdefault(t, set()).add(r.shard)
+        size[r.shard] += r.size
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(len(x) == 1 for x in where.values()) and all(sorted(x) == list(range(len(x))) for x in slots.values())
+    free = [size[s] for s in range(24) if s not in where["same"] and s not in where[""]]  # the two large groups fill shards of their own
+    assert max(free) - min(free) < 500
+    for frame in (odd, clashing):
+        assert sharding.shards(frame).count() == odd.count()
+    assert sharding.shards(none).count() == 0
+
+
+# ---- 9
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    P = pytest.importorskip("public_tokenizers")
+    return P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN
+
+
+def test_bpe_equals_the_library(vocabulary):
+    import tiktoken
+
+    path, pattern = vocabulary
+    c = bpe.codec(path, pattern)
+    lib = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=c.ranks, special_tokens={})
+    rng = random.Random(7)
+    letters = list("abcde  \n\t\r\x1c\x85\xa0　᠎ 1٣²Ⅷéß'sS't!?.,—漢字🙂́\x00﻿<|endoftext|>")
+    for text in ["", "a", "aaaa" * 3000, "xyzé" * 2000, *("".join(rng.choice(letters) for _ in range(rng.randint(0, 20))) for _ in range(3000))]:
+        ids = lib.encode_ordinary(text)
+        assert c.encode(text) == ids and c.decode(ids) == text.encode() and c.digest(text) == (len(ids), ",".join(map(str, ids)), text.encode())
+
+
+def test_bpe_on_odd_rows(vocabulary, odd, clashing, none):
+    out = bpe.digests(odd, *vocabulary).collect()
+    texts = Counter((i, hashlib.sha256((t or "").encode()).hexdigest()) for i, t in odd.select("doc_id", "text").collect())
+    assert Counter((r.doc_id, r.decoded_sha256) for r in out) == texts
+    coded = bpe.encode(clashing, *vocabulary)
+    assert all(len(r.token_ids) == r.n_tokens for r in coded.collect()) and bpe.digests(none, *vocabulary).count() == 0 == bpe.encode(none, *vocabulary).count()
+    assert {bytes(r.decoded) == (r.text or "").encode() for r in bpe.decode(coded, *vocabulary).collect()} == {True}
+
+
+# ---- 10
+
+
+def test_fingerprints_estimate_containment_and_edit_right(spark):
+    rng = random.Random(3)
+    rows = [(3 * i, " ".join(rng.choice(["ab", "cdé", "f", "🙂g"]) + str(rng.randrange(500)) for _ in range(rng.randint(0, 300)))) for i in range(60)]
+    out = {r.doc_id: r for r in fingerprint.edited(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (i, t) in enumerate(rows):
+        q = len(t) // 4
+        text = t[: len(t) - q] + rows[(k + 1) % len(rows)][1][:q]
+        assert out[i].n_chars == len(t) and out[i].edited_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    long = [out[i] for i, t in rows if len(t.split()) > 80]
+    assert all(r.near_edited > 0.45 and r.near_next < 0.15 for r in long) and abs(sum(r.near_edited for r in long) / len(long) - 0.75) < 0.1
+
+
+def test_fingerprints_on_odd_rows(odd, clashing, none, spark):
+    for frame in (odd, clashing):
+        out = fingerprint.edited(frame).collect()
+        assert len(out) == odd.count() and all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in out)
+        prints = {}
+        for r in fingerprint.fingerprints(frame).collect():
+            prints.setdefault(r.text, set()).add(r.fingerprint)
+        assert all(len(x) == 1 for x in prints.values()) and prints[""] == {""}
+    assert fingerprint.edited(none).count() == 0
+    one = fingerprint.edited(spark.createDataFrame([(1, "abcdefgh")], "doc_id long, text string")).first()
+    assert one.edited_sha256 == hashlib.sha256(b"abcdefab").hexdigest()

@@ -58,6 +58,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shield(df: DataFrame, *names: str):
+    """df with its columns of these names renamed out of the way, and what gives a result df's own columns back."""
+    away = {c: f"{c}__own" for c in df.columns if c in names}
+    return df.withColumnsRenamed(away), lambda out: out.select(*[F.col(away.get(c, c)).alias(c) for c in df.columns])
+
+
 def words_of(text: Column) -> Column:
     """array<string> of the words of a text; null text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS), lambda w: w != "")

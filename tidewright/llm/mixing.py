@@ -12,7 +12,8 @@ Scale: a source may hold a third of all rows, so no window spans a source. Rows
 size class, salt), and the cells' offsets come from a prefix sum over the aggregated cells.
 
 Defined cases: a null text has size 0 and may still be emitted (it takes no words); a null source is a source of its own,
-last in order; an empty table gives no rows; repeated rows are documents of their own; other columns pass through.
+last in order; an empty table gives no rows; repeated rows are documents of their own; other columns pass through (mix keeps
+them all; copies leaves out those that have its outputs' names).
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, parts_for, word_count
+from .common import materialise, parts_for, shield, word_count
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -28,6 +29,8 @@ CAP = 2.0
 SEED = 20_240_607
 ROWS_PER_CELL = 200_000
 LEAST_SALTS = 16
+OUTPUTS = ("mix_size", "mix_source_size", "mix_target", "mix_copies", "mix_taken")
+INNER = ("mix_id", "mix_src", "mix_class", "mix_salt", "mix_row", "rows_before", "mix_rate", "mix_u", "mix_copy")
 
 
 def targets(cells: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -48,7 +51,7 @@ def targets(cells: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED, keep: list[str] | None = None) -> DataFrame:
     """Every row of docs (or its columns `keep`) with mix_size, mix_source_size, mix_target, mix_copies and mix_taken."""
     salts = max(LEAST_SALTS, parts_for(docs.count(), ROWS_PER_CELL, 1_000_000))
-    kept = [docs[c] for c in (docs.columns if keep is None else keep)]
+    kept = [docs[c] for c in (docs.columns if keep is None else keep) if c not in OUTPUTS]
     src = F.when(docs[source_col].isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), docs[source_col]))
     base = docs.select(*kept, docs[id_col].alias("mix_id"), src.alias("mix_src"), word_count(docs[text_col]).alias("mix_size"))
     base = base.withColumn("mix_class", F.floor(F.log2(F.col("mix_size") + F.lit(1.0)) * 32).cast("int")).withColumn("mix_salt", F.pmod(F.xxhash64("mix_id"), F.lit(salts)).cast("int"))
@@ -67,10 +70,11 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     crossed = lambda n: F.floor(n * F.col("mix_rate") + F.col("mix_u"))
     out = out.withColumn("mix_copies", (crossed(F.col("mix_row")) - crossed(F.col("mix_row") - 1)).cast("int"))
     out = out.withColumn("mix_taken", F.col("mix_size") * F.col("mix_copies"))
-    return out.drop("mix_id", "mix_src", "mix_class", "mix_salt", "mix_row", "rows_before", "mix_rate", "mix_u")
+    return out.drop(*INNER)
 
 
 def mix(docs: DataFrame, **params) -> DataFrame:
     """The mixed corpus: each row of docs as often as the sampling emits it, with docs' own columns."""
-    out = copies(docs, **params)
-    return out.where("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*docs.columns)
+    safe, restore = shield(docs, *OUTPUTS, *INNER)
+    out = copies(safe, **params)
+    return restore(out.where("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))))
