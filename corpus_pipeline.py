@@ -19,20 +19,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.llm import bpe, line_dedup, mixing, ngram_join, toxicity
-from tidewright.llm.common import materialise, table
+from tidewright.llm.common import materialise, shield, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
-    return toxicity.score(docs, model).where("tox_predicted = 0").select(*docs.columns)
+    safe, restore = shield(docs, "tox_score", "tox_predicted")
+    return restore(toxicity.score(safe, model).where("tox_predicted = 0"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup(docs).where("n_kept > 0 OR n_lines = 0")
+    safe, restore = shield(docs, "n_lines", "n_kept", "line_dedup_kept", "line_dedup_id")
+    out = line_dedup.dedup(safe).where("n_kept > 0 OR n_lines = 0")
     chars = F.when(F.col("n_kept") < F.col("n_lines"), F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", chars).select(*docs.columns)
+    return restore(out.withColumn("n_chars", chars))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
