@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-CACHE_PIECES = 400_000
+CACHE_PIECES = 300_000
 CACHE_BYTES = 48
 ENCODE_ROWS = 500
 NEVER = 1 << 62

@@ -38,8 +38,8 @@ TARGET_SCOPE = 4
 NEGATION_SCOPE = 3
 PREFIX_LENGTHS = range(4, 11)
 LEXICON_LIMIT = 5_000
-WORD_CACHE = 500_000
-PRUNE_AT = 4_000_000
+WORD_CACHE = 150_000
+PRUNE_AT = 1_000_000
 
 # The words of the small transducers.
 TARGETS = "you your yours yourself u ur they them their he him his she her this that these those people everyone tu te toi vous il elle ils du dich dir ihr sie er usted ustedes ellos ella".split()
@@ -249,9 +249,10 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with tox_score, tox_predicted and tox_clauses (log sums by output are kept inside)."""
+    """docs with tox_score and tox_predicted (in place of columns of these names)."""
     from pyspark.sql import types as T
 
+    docs = docs.drop("tox_score", "tox_predicted")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField("tox_score", T.DoubleType()), T.StructField("tox_predicted", T.IntegerType())])
 
