@@ -1,0 +1,136 @@
+"""Parsers, rules and engines on pipelines that are written here."""
+
+from __future__ import annotations
+
+import itertools
+import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidewright.plans import engines, ir, parse_py, parse_sql, rules
+from tidewright.plans.pipelines_demo import TEXTS
+from tidewright.plans.sqltext import parse
+
+
+@pytest.mark.parametrize("sql", [
+    "SELECT a, row_number() OVER (PARTITION BY b ORDER BY c DESC ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) rn FROM x.y.t QUALIFY rn = 1",
+    "MERGE INTO a t USING (SELECT * FROM b) s ON t.id = s.id WHEN MATCHED THEN UPDATE SET x = 1 WHEN NOT MATCHED THEN INSERT (a, b) VALUES (1, 2)",
+    "SELECT x::varchar(10), f.value:name::string FROM t, LATERAL FLATTEN(input => t.arr) f WHERE dateadd('day', -7, d) > current_date AND e NOT IN (SELECT 1) OR g IS NOT NULL",
+    "WITH c AS (SELECT 1 a) SELECT * EXCEPT (b) FROM c ASOF JOIN d MATCH_CONDITION (c.t >= d.t) ON c.k = d.k LEFT SEMI JOIN e USING (k) UNION SELECT CASE WHEN a THEN b END FROM z GROUP BY 1 HAVING count(*) > 1 ORDER BY 2 LIMIT 5",
+    "SELECT date(a) = '2024-01-01', extract(year FROM b), trim(BOTH ' ' FROM x), count(DISTINCT y) FILTER (WHERE z), interval '2' hour FROM t WHERE a BETWEEN 1 AND 2 AND b LIKE '%x'",
+    "SELECT * FROM TABLE(TUMBLE(TABLE clicks, DESCRIPTOR(ts), INTERVAL '5' MINUTE)) GROUP BY a",
+    "INSERT OVERWRITE TABLE x PARTITION (d = 1) SELECT a FROM b NATURAL JOIN c FETCH FIRST 5 ROWS ONLY",
+    "CREATE OR REPLACE TABLE a.b PARTITION BY DATE(ts) CLUSTER BY (k) AS SELECT 1; DELETE FROM t USING u WHERE t.a = u.a; UPDATE t SET a = b + 1 WHERE c <=> NULL",
+])
+def test_dialects_are_understood(sql):
+    statements, warnings = parse(sql)
+    assert statements and not warnings
+
+
+def test_one_bad_statement_does_not_hide_the_others():
+    statements, warnings = parse("SELECT FROM WHERE; SELECT 1; GRANT ALL ON x TO y; SELECT ((2)")
+    assert len(statements) == 1 and len(warnings) == 3
+
+
+def test_operations_of_sql():
+    rows, _, _ = parse_sql.sql_rows("INSERT INTO t SELECT DISTINCT a, sum(b) OVER () FROM x JOIN y ON cast(x.k AS int) = y.k WHERE dt >= '2024-01-01' AND upper(c) = 'A' ORDER BY 1 LIMIT 3")
+    ops = {t: a for rel, t, _, _, a in rows if rel == "op"}
+    assert {"INSERT", "SELECT", "WINDOW", "DISTINCT", "JOIN", "FILTER", "PARTITION_FILTER", "ORDER_BY", "LIMIT"} <= set(ops)
+    assert ops["JOIN"]["implicit_cast"] == "true" and ops["WINDOW"]["over_full_table"] == "true" and ops["LIMIT"]["value"] == "3" and '"c"' in ops["FILTER"]["function_wrapped_columns"]
+    assert Counter(t for rel, t, *_ in rows if rel == "dep") == Counter({"reads_from": 2, "writes_to": 1})
+
+
+def test_streaming_sql_is_read_through_its_extensions():
+    rows, facts, warnings = parse_sql.flink_rows("SET 'execution.checkpointing.interval' = '10 s';\nSET 'table.exec.state.ttl' = '1 h';\nCREATE TABLE v (a STRING, ts TIMESTAMP(3), WATERMARK FOR ts AS ts - INTERVAL '5' SECOND) WITH ('connector' = 'kafka', 'topic' = 'v');\nINSERT INTO o SELECT a, count(*) FROM v GROUP BY a;\nINSERT INTO o SELECT a, count(*) FROM v GROUP BY CUMULATE(ts, INTERVAL '1' MINUTE, INTERVAL '10' MINUTE), a;")
+    ops = {t: a for rel, t, _, _, a in rows if rel == "op"}
+    assert not warnings and ops["WATERMARK"]["column"] == "ts" and float(ops["WATERMARK"]["delay"]) == pytest.approx(5 / 60)
+    assert ops["WINDOW"] == {"kind": "cumulative", "size_minutes": "10.0"} and ops["CHECKPOINT"]["interval"] == "10 s" and ops["STATE"]["has_ttl"] == "true" and ops["SOURCE"]["topic"] == "v" and facts["streaming"] == "true"
+
+
+def test_python_jobs():
+    rows, _, _ = parse_py.airflow_rows(TEXTS["nightly_dag"])
+    kinds = Counter(t for rel, t, *_ in rows if rel == "op")
+    assert kinds["TASK"] == 3 and kinds["SENSOR"] == kinds["DAG"] == kinds["XCOM"] == 1
+    assert [(a["source"], a["target"]) for rel, _, _, _, a in rows if rel == "dep"] == [("wait_for_file", "pull_sales"), ("pull_sales", "spark_clean"), ("spark_clean", "spark_total")]
+    rows, facts, _ = parse_py.spark_rows(TEXTS["stream_job"])
+    assert {"READ", "WATERMARK", "CHECKPOINT", "WRITE"} <= {t for rel, t, *_ in rows if rel == "op"} and facts["streaming"] == "true"
+    rows, _, _ = parse_py.kafka_rows(TEXTS["topology"])
+    assert {(t, a.get("topic") or a.get("size_minutes")) for rel, t, _, _, a in rows if t in ("SOURCE", "SINK", "WINDOW")} == {("SOURCE", "clicks"), ("SINK", "click_counts"), ("WINDOW", "90")}
+    rows, _, _ = parse_py.prefect_rows(TEXTS["flow"])
+    assert [(a["source"], a["target"]) for rel, _, _, _, a in rows if rel == "dep"] == [("fetch", "spark_load")]
+    rows, _, _ = parse_py.suite_rows(TEXTS["suite"])
+    assert sum(t == "EXPECTATION" for _, t, *_ in rows) == 2 and rows[-1][4]["name"] == "sales"
+
+
+def test_broken_texts_become_warnings(spark):
+    t = ir.analyse(spark.createDataFrame([("a", "from airflow import DAG\n def x(:"), ("b", None), ("c", ""), ("d", "SELECT (")], "pipeline string, source string"))
+    assert {r.pipeline for r in t.rel("warning").collect()} == {"a", "b", "c", "d"} and t.ops().count() == 0
+
+
+@pytest.fixture(scope="module")
+def issues(spark):
+    return rules.ordered(rules.run(ir.analyse(ir.from_texts(spark, TEXTS)))).collect()
+
+
+def test_all_rules_are_there(issues):
+    assert len(rules.RULES) == 90 and len({r.id for r in rules.RULES}) == 90
+    assert len({r.rule for r in issues}) > 55
+
+
+def test_messy_sql(issues):
+    found = Counter(r.rule for r in issues if r.pipeline == "messy_sql")
+    want = {"SELECT_STAR", "DISTINCT_STAR", "IMPLICIT_CAST_IN_JOIN", "EXPLODING_JOIN", "OR_IN_WHERE_DEFEATS_INDEX", "NULL_COMPARISON", "LIKE_WITHOUT_WILDCARD", "UNION_INSTEAD_OF_UNION_ALL", "DELETE_WITHOUT_WHERE", "UPDATE_WITHOUT_WHERE", "IMPLICIT_COLUMN_INSERT", "CASE_WITHOUT_ELSE", "WINDOW_FUNCTION_ON_FULL_TABLE", "GROUP_BY_ORDINAL", "HAVING_WITHOUT_AGGREGATE", "UNUSED_CTE", "HARDCODED_DATE", "INCONSISTENT_CASE_CONVENTION", "FUNCTION_ON_FILTER_COLUMN", "ORDER_BY_WITHOUT_LIMIT"}
+    assert want <= set(found), want - set(found)
+
+
+def test_a_clean_report_is_left_alone(issues):
+    assert {r.rule for r in issues if r.pipeline == "clean_report"} <= {"HARDCODED_DATE"}
+
+
+def test_order_and_ids(issues):
+    rank = {"CRITICAL": 0, "WARNING": 1, "INFO": 2}
+    for _, mine in itertools.groupby(issues, key=lambda r: r.pipeline):
+        keys = [(rank[r.severity], r.line or 10**9) for r in mine]
+        assert keys == sorted(keys)
+    assert all(len(r.issue_id) == 16 for r in issues)
+
+
+# ---- engines
+
+
+@pytest.mark.parametrize("warehouse,usd", [("snowflake", 0.075), ("bigquery", 0.011369), ("redshift", 0.0049051), ("databricks", 0.0397222)])
+def test_worked_prices(spark, warehouse, usd):
+    shapes = spark.createDataFrame([("p", 1, True, 0)], "pipeline string, n_reads int, has_star boolean, n_projected int")
+    none = spark.createDataFrame([], "pipeline string, rule string")
+    r = engines.cost(shapes, none, spark.createDataFrame([(10_000_000, 24, warehouse)], "n_rows long, runs long, warehouse string")).first()
+    assert r.usd_run == pytest.approx(usd, rel=1e-4) and r.usd_month == r.usd_month_optimised
+    if warehouse == "snowflake":
+        assert r.usd_month == pytest.approx(54.0) and r.risk == "MEDIUM"
+
+
+def test_cost_is_monotone_and_finite(spark):
+    shapes = spark.createDataFrame([("a", 2, False, 3), ("b", 40, True, 0)], "pipeline string, n_reads int, has_star boolean, n_projected int")
+    found = spark.createDataFrame([("a", r) for r in engines.MULTIPLIERS] + [("b", "UNOPTIMIZED_CTE_REUSE")] * 9, "pipeline string, rule string")
+    grid = [(n, r, w) for n in (0, 1, 10**6, 10**14) for r in (0, 1, 24, 10**7) for w in ("snowflake", "bigquery", "redshift", "databricks")]
+    out = {(r.pipeline, r.warehouse, r.n_rows, r.runs): r for r in engines.cost(shapes, found, spark.createDataFrame(grid, "n_rows long, runs long, warehouse string")).collect()}
+    for (p, w, n, k), r in out.items():
+        assert 0 <= r.usd_month_optimised <= r.usd_month < float("inf") and 1 <= r.multiplier <= 500
+        assert all(o.usd_month >= r.usd_month for (p2, w2, n2, k2), o in out.items() if (p2, w2) == (p, w) and n2 >= n and k2 >= k)
+
+
+def test_depth_of_a_cycle_ends(spark):
+    e = spark.createDataFrame([("p", "a", "b"), ("p", "b", "c"), ("p", "c", "b"), ("p", "x", "x")], "pipeline string, source string, target string")
+    nodes = e.select("pipeline", F.explode(F.array("source", "target")).alias("node"))
+    got = {r.node: r.depth for r in engines.depths(nodes, e).collect()}
+    assert got["a"] == 0 and got["x"] == 0 and 0 < got["b"] <= 4 and 0 < got["c"] <= 4
+
+
+def test_nothing_outside_the_removable_part_imports_it():
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    for p in (root / "tidewright").rglob("*.py"):
+        if "llm" not in p.relative_to(root).parts:
+            assert not re.search(r"(?<![A-Za-z])llm(?![A-Za-z])", p.read_text()), p

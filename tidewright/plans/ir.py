@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import materialise, ship
 from .detect import dialect_of, format_of
 
 SCHEMA = "pipeline string, rel string, ord int, type string, line int, col int, a map<string,string>"
@@ -65,10 +65,6 @@ class Tables:
         """Every line of every text, numbered from 1."""
         return self.pipelines.select("pipeline", F.posexplode(F.split("source", "\r\n|\n|\r|\f|\x0b")).alias("pos", "content")).select("pipeline", (F.col("pos") + 1).cast("int").alias("line"), "content")
 
-    def cache(self) -> Tables:
-        self.tall.cache()
-        return self
-
 
 def analyse(pipelines: DataFrame) -> Tables:
     """pipelines: pipeline (id), source, and maybe format, which overrides detection."""
@@ -90,7 +86,8 @@ def analyse(pipelines: DataFrame) -> Tables:
             types = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), kind]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["pipeline", "rel", "ord", "type", "line", "col", "a"])
 
-    tall = known.select("pipeline", "source", "format").mapInArrow(run, SCHEMA)
+    # each text is parsed once; the rules read only the relations that they ask for
+    tall = materialise(known.select("pipeline", "source", "format").mapInArrow(run, SCHEMA), "pipelines", "rel")
     facts = tall.where("rel = 'facts'").select("pipeline", F.col("a").alias("facts"))
     return Tables(known.join(facts, "pipeline", "left"), tall)
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 #: Rows of an Arrow batch. Texts are kilobytes each, so this bounds what a Python worker and its task hold at once.
@@ -39,3 +41,40 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(home.parent))
     sc.addPyFile(name)
     _shipped.add(sc.applicationId)
+
+
+_written: dict[str, SparkSession] = {}
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a temporary one of our own only where none is set."""
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not root:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidewright-checkpoint-"))
+        root = sc.getCheckpointDir()
+    return root.rstrip("/")
+
+
+def materialise(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
+    """Writes df as Parquet in the shared scratch folder and rereads it: the lineage ends there and an executor that is
+    lost takes nothing with it. The files go when the driver ends."""
+    spark = df.sparkSession
+    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    _written[path] = spark
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _drop_written() -> None:
+    for path, spark in _written.items():
+        try:
+            jvm = spark.sparkContext._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001  the session may be gone already
+            return
+
+
+atexit.register(_drop_written)

@@ -12,8 +12,8 @@ from .tables import TABLES, read, register
 STATS = "query string, allowed boolean, reason string, estimated_bytes double, rows_produced long, elapsed_ms double"
 _history: list[tuple] = []
 
-#: Plan nodes at the root that change something or run a command.
-_CHANGING = ("Command", "CreateTable", "ReplaceTable", "Insert", "Delete", "Update", "Merge", "Drop", "Alter", "CreateView", "CreateNamespace", "Truncate", "Refresh", "Set", "Cache", "Uncache", "Load", "Describe", "Show", "AddPartitions")
+#: What a plan's nodes extend when they change something or run a command.
+_CHANGING = ("Command", "ParsedStatement")
 
 
 def register_all(spark: SparkSession, sf_dir: str) -> None:
@@ -40,11 +40,13 @@ def is_read_only(spark: SparkSession, text: str) -> tuple[bool, str]:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
     except Exception as e:  # noqa: BLE001  whatever doesn't parse is refused
         return False, f"not parsed: {str(e).splitlines()[0][:120]}"
+    loader = spark._jvm.Thread.currentThread().getContextClassLoader()
+    changing = [loader.loadClass(f"org.apache.spark.sql.catalyst.plans.logical.{c}") for c in _CHANGING]
     todo = [plan]
     while todo:
         node = todo.pop()
         name = node.getClass().getSimpleName()
-        if name.startswith(_CHANGING) or name.endswith(("Command", "Statement")) and name != "UnresolvedWith":
+        if any(c.isInstance(node) for c in changing):
             return False, f"{name} is not a query"
         children = node.children()
         todo += [children.apply(i) for i in range(children.size())]
