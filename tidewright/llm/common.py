@@ -1,56 +1,18 @@
-"""What several operators share: word rules, the shared scratch folder, readers."""
+"""What several operators share: word rules and readers."""
 
 from __future__ import annotations
 
-import atexit
 import math
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import materialise, ship
 
 #: A word is a run of anything but blank, tab, line feed, vertical tab, form feed and carriage return.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
-
-_ours: dict[str, SparkSession] = {}
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one of our own only where none is set."""
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="tidewright-checkpoint-")
-        sc.setCheckpointDir(root)
-        root = sc.getCheckpointDir()
-    return root.rstrip("/")
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet in the shared scratch folder and rereads it: the lineage ends there and an executor that is
-    lost takes nothing with it. The files go when the driver ends."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _ours[path] = spark
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _drop_scratch() -> None:
-    for path, spark in _ours.items():
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # noqa: BLE001  the session may be gone already
-            return
-
-
-atexit.register(_drop_scratch)
+__all__ = ["SPACE_CLASS", "WORD_CLASS", "materialise", "parts_for", "shield", "table", "word_count", "words_of"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,8 +5,9 @@ sizes. A target stops at `cap` times its source's size and the excess goes to th
 the sources ordered by cap/weight, the level is the largest (budget - caps before) / (weights from here on).
 
 Sampling: every document of a source expects rate = target / source size copies. The expected copies are prefix-summed
-within the source from long documents to short ones (so the words taken stay within about one long document of the
-target), one random offset of the source is added, and a document is emitted once for each integer it crosses.
+within the source, one random offset of the source is added, and a document is emitted once for each integer it crosses. The
+order runs from short documents to long ones over one half of the source (by a hash of doc_id) and back over the other:
+with sizes in order what rounding takes from one document the next one returns, and the two slopes cancel the offset's part.
 
 Scale: a source may hold a third of all rows, so no window spans a source. Rows are numbered inside cells of (source,
 size class, salt), and the cells' offsets come from a prefix sum over the aggregated cells.
@@ -30,7 +31,8 @@ SEED = 20_240_607
 ROWS_PER_CELL = 200_000
 LEAST_SALTS = 16
 OUTPUTS = ("mix_size", "mix_source_size", "mix_target", "mix_copies", "mix_taken")
-INNER = ("mix_id", "mix_src", "mix_class", "mix_salt", "mix_row", "rows_before", "mix_rate", "mix_u", "mix_copy")
+SLOPES = 10_000  # above twice the largest class, 32 log2 of a long
+INNER = ("mix_id", "mix_src", "mix_class", "mix_slope", "mix_salt", "mix_row", "rows_before", "mix_rate", "mix_u", "mix_copy")
 
 
 def targets(cells: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -57,9 +59,11 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     base = base.withColumn("mix_class", F.floor(F.log2(F.col("mix_size") + F.lit(1.0)) * 32).cast("int")).withColumn("mix_salt", F.pmod(F.xxhash64("mix_id"), F.lit(salts)).cast("int"))
     if keep is not None:
         base = materialise(base, "mix-sizes")  # the texts are read once
-    cell = ["mix_src", "mix_class", "mix_salt"]
+    up = F.pmod(F.xxhash64("mix_id", F.lit("slope")), F.lit(2)) == 0
+    base = base.withColumn("mix_slope", F.when(up, F.col("mix_class")).otherwise(SLOPES - F.col("mix_class")))
+    cell = ["mix_src", "mix_slope", "mix_salt"]
     cells = base.groupBy(*cell).agg(F.count(F.lit(1)).alias("cell_rows"), F.sum("mix_size").alias("cell_size"))
-    before = Window.partitionBy("mix_src").orderBy(F.desc("mix_class"), "mix_salt").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("mix_src").orderBy("mix_slope", "mix_salt").rowsBetween(Window.unboundedPreceding, -1)
     offset = (F.pmod(F.xxhash64("mix_src", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))).alias("mix_u")
     plan = targets(cells, weights, share, cap)
     cells = cells.withColumn("rows_before", F.coalesce(F.sum("cell_rows").over(before), F.lit(0))).join(plan, "mix_src")
