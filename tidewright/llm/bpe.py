@@ -23,11 +23,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-CACHE_PIECES = 300_000
+CACHE_PIECES = 450_000
 CACHE_BYTES = 48
 ENCODE_ROWS = 500
 NEVER = 1 << 62
 POSITION_BITS = 32
+POSITION_MASK = (1 << POSITION_BITS) - 1
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -42,7 +43,7 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     if whole is not None:
         return [whole]
     n = len(piece)
-    width = 1 << (n - 1).bit_length()
+    width = 1 << (n - 2).bit_length() if n > 2 else 1
     tree = [NEVER] * (2 * width)
     get = ranks.get
     for i in range(n - 1):
@@ -50,35 +51,42 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         if r is not None:
             tree[width + i] = r << POSITION_BITS | i
     for k in range(width - 1, 0, -1):
-        a, b = tree[2 * k], tree[2 * k + 1]
-        tree[k] = a if a < b else b
+        x, y = tree[2 * k], tree[2 * k + 1]
+        tree[k] = x if x < y else y
     after = list(range(1, n + 2))  # where the part that begins here ends
     before = list(range(-1, n))
-    mask = (1 << POSITION_BITS) - 1
-    while tree[1] < NEVER:
-        i = tree[1] & mask
+    while (top := tree[1]) < NEVER:
+        i = top & POSITION_MASK
         j = after[i]
         end = after[j]
         after[i] = end
         before[end] = i
-        changes = [(j, NEVER)]
-        r = get(piece[i : after[end]]) if end < n else None
-        changes.append((i, NEVER if r is None else r << POSITION_BITS | i))
+        at = below = above = width + i
+        if end < n:
+            r = get(piece[i : after[end]])
+            tree[at] = NEVER if r is None else r << POSITION_BITS | i
+        else:
+            tree[at] = NEVER
+        if j < n - 1:
+            above = width + j
+            tree[above] = NEVER
         p = before[i]
         if p >= 0:
+            below = width + p
             r = get(piece[p:end])
-            changes.append((p, NEVER if r is None else r << POSITION_BITS | p))
-        for at, value in changes:
-            k = width + at
-            tree[k] = value
-            while k > 1:
-                other = tree[k ^ 1]
-                k >>= 1
-                if other < value:
-                    value = other
-                if tree[k] == value:
-                    break
-                tree[k] = value
+            tree[below] = NEVER if r is None else r << POSITION_BITS | p
+        while above > 1:  # the paths of the three leaves, which soon meet
+            above >>= 1
+            x, y = tree[2 * above], tree[2 * above + 1]
+            tree[above] = x if x < y else y
+            at >>= 1
+            if at != above:
+                x, y = tree[2 * at], tree[2 * at + 1]
+                tree[at] = x if x < y else y
+            below >>= 1
+            if below != at:
+                x, y = tree[2 * below], tree[2 * below + 1]
+                tree[below] = x if x < y else y
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : after[i]]])
