@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import materialise, parts_for
 
 SHARDS = 24
-GROUPS_PER_BUCKET = 16_384
+GROUPS_PER_BUCKET = 2_048
 MAX_BUCKETS = 4_096
 ROWS_PER_CHUNK = 50_000
 ROW_OVERHEAD = 8
