@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analysis, data_checks, relational
+from . import analysis, data_checks, more_queries, relational
 
-_PARTS = [relational, data_checks, analysis]
+_PARTS = [relational, data_checks, analysis, more_queries]
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
