@@ -62,6 +62,20 @@ def test_windows_at_their_edges(spark):
     assert kept.count() == 3  # 0; 61 (31 minutes after 30); 119 (58 after 61)
 
 
+def test_late_rows_go_however_the_order_is_cut(spark):
+    base = datetime.datetime(2024, 1, 1)
+    e = spark.createDataFrame([(k, base + datetime.timedelta(minutes=k * 37 % 101)) for k in range(100)], "k long, ts timestamp")
+    want = []
+    newest = None
+    for k, ts in sorted(map(tuple, e.collect())):
+        if newest is None or ts >= newest - datetime.timedelta(minutes=20):
+            want.append((k, ts))
+        newest = ts if newest is None else max(newest, ts)
+    for rows in (7, 1000):
+        assert sorted(map(tuple, W.drop_late(e, "k", "ts", "20 MINUTES", rows).collect())) == want
+    assert W.drop_late(e.where("false"), "k", "ts", "20 MINUTES").count() == 0
+
+
 def test_quality_counts_nulls_and_empty_tables(spark):
     t = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c"), (None, None), (2, "z")], "k int, v string")
     assert tuple(quality.unique(t, ["k"]).first())[2:] == (5, 1) and tuple(quality.not_null(t, "k").first())[2:] == (5, 2)

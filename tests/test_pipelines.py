@@ -97,6 +97,12 @@ def test_order_and_ids(issues):
     assert all(len(r.issue_id) == 16 for r in issues)
 
 
+def test_no_pipelines_give_no_issues(spark):
+    t = ir.analyse(spark.createDataFrame([], "pipeline string, source string"))
+    assert rules.run(t).count() == 0
+    assert rules.run(ir.analyse(spark.createDataFrame([("x", "nothing here")], "pipeline string, source string"))).count() == 0
+
+
 # ---- engines
 
 

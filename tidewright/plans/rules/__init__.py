@@ -75,15 +75,19 @@ def load() -> None:
 def run(tables: Tables, ids: list[str] | None = None) -> DataFrame:
     """All issues, in the columns ISSUES. A text's formats choose its rules; ids are digests, so they repeat."""
     load()
+    present = {r["format"] for r in tables.pipelines.select("format").distinct().collect()}  # eight formats at most
     out = None
     for k, r in enumerate(RULES):
-        if ids is not None and r.id not in ids:
+        if ids is not None and r.id not in ids or not present & set(r.formats):
             continue
         found = r.find(tables)
         found = found if "fix" in found.columns else found.withColumn("fix", F.lit(r.fix))
         shown = F.when(F.col("line") > 0, F.col("line"))
         one = found.select("pipeline", F.lit(r.id).alias("rule"), F.lit(r.severity).alias("severity"), F.lit(r.category).alias("category"), F.lit(r.title).alias("title"), "message", shown.alias("line"), F.when(F.col("line") > 0, F.col("col")).alias("col"), "fix", F.lit(k).alias("rule_ord"), F.array(*map(F.lit, r.formats)).alias("formats"))
         out = one if out is None else out.unionByName(one)
+    if out is None:  # no rule is for these texts
+        nothing = tables.pipelines.sparkSession.createDataFrame([], "pipeline string, issue_id string, rule string, severity string, category string, title string, message string, line int, col int, fix string, rule_ord int, emit_ord int")
+        return nothing.select(*ISSUES)
     fmt = tables.pipelines.select("pipeline", "format")
     out = out.join(fmt, "pipeline").where(F.array_contains("formats", F.col("format")))
     key = F.concat_ws("|", "rule", F.coalesce(F.col("line").cast("string"), F.lit("None")), F.coalesce(F.col("col").cast("string"), F.lit("None")), "message")

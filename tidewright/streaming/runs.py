@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -10,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_root, ship
+
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
     """The table's Parquet as a stream; files_per_trigger bounds a batch."""
@@ -22,8 +23,7 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str, files_per_trigger:
 
 
 def _checkpoint(spark: SparkSession) -> str:
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidewright-stream-")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{scratch_root(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def drain(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
@@ -46,6 +46,8 @@ def running_totals(spark: SparkSession, stream: DataFrame) -> DataFrame:
 
     from pyspark.sql.streaming.state import GroupStateTimeout
 
+    ship(spark)
+
     out = stream.select("user_id", "value").groupBy("user_id").applyInPandasWithState(fold, "user_id long, n long, total double", "n long, cents long", "update", GroupStateTimeout.NoTimeout)
     all_rows = drain(spark, out, "update")
     return all_rows.groupBy("user_id").agg(F.max(F.struct("n", "total")).alias("x")).select("user_id", "x.n", "x.total")
