@@ -126,6 +126,31 @@ def test_cost_is_monotone_and_finite(spark):
         assert all(o.usd_month >= r.usd_month for (p2, w2, n2, k2), o in out.items() if (p2, w2) == (p, w) and n2 >= n and k2 >= k)
 
 
+def test_reasons_name_the_largest_multipliers(spark):
+    shapes = spark.createDataFrame([("a", 1, True, 0), ("b", 1, True, 0)], "pipeline string, n_reads int, has_star boolean, n_projected int")
+    found = spark.createDataFrame([("a", r) for r in ("SELECT_STAR", "CARTESIAN_JOIN", "EXPLODING_JOIN", "NESTED_LOOP_RISK")], "pipeline string, rule string")
+    costs = engines.cost(shapes, found, spark.createDataFrame([(10**7, 24, "snowflake")], "n_rows long, runs long, warehouse string"))
+    lines = {r.pipeline: r.lines for r in engines.reasoning(costs, found).collect()}
+    assert len(lines["a"]) == 7 and lines["a"][1].startswith("CARTESIAN_JOIN") and lines["a"][-1] == "first fix: CARTESIAN_JOIN" and lines["b"][-1] == "nothing stands out"
+
+
+def test_generated_tests_render_and_run(spark):
+    import json
+
+    import yaml
+
+    from tidewright.operators import suites
+
+    tests = spark.createDataFrame([("id", "unique"), ("id", "not_null"), ("amount", "between"), ("state", "accepted_values")], "column string, test string")
+    suite = json.loads(suites.to_suite(tests, "t"))
+    doc = yaml.safe_load(suites.to_yaml(tests, "t"))
+    assert [c["name"] for c in doc["models"][0]["columns"]] == ["id", "state"] and len(suite["expectations"]) == 4
+    df = spark.createDataFrame([(1, 5.0), (1, -1.0), (None, None)], "id int, amount double")
+    got = {(r.expectation.removeprefix("expect_column_values_to_"), r.n_rows, r.n_failing, r.success) for r in suites.run_suite(df, suite["expectations"]).collect()}
+    assert got == {("be_unique", 2, 1, False), ("not_be_null", 3, 1, False), ("be_between", 3, 1, False), ("be_in_set", None, None, None)}
+    assert suites.run_suite(df, []).count() == 0
+
+
 def test_depth_of_a_cycle_ends(spark):
     e = spark.createDataFrame([("p", "a", "b"), ("p", "b", "c"), ("p", "c", "b"), ("p", "x", "x")], "pipeline string, source string, target string")
     nodes = e.select("pipeline", F.explode(F.array("source", "target")).alias("node"))

@@ -157,6 +157,21 @@ def cost(shapes: DataFrame, issues: DataFrame, params: DataFrame) -> DataFrame:
     return x.select("pipeline", "n_rows", "runs", "warehouse", "multiplier", "bytes", "usd_run", "usd_month", "usd_month_optimised", saved.alias("savings_pct"), risk.alias("risk"))
 
 
+def reasoning(costs: DataFrame, issues: DataFrame, most: int = 3) -> DataFrame:
+    """pipeline, lines: how a cost came about: bytes, the largest multipliers, dollars, and the fix that saves most."""
+    m = F.when(F.col("rule") == "UNOPTIMIZED_CTE_REUSE", F.pow(F.lit(1.5), F.least("n", F.lit(CTE_CAP)))).otherwise(cases(F.col("rule"), MULTIPLIERS, 1.0))
+    by = issues.groupBy("pipeline", "rule").agg(F.count(F.lit(1)).alias("n")).select("pipeline", "rule", m.alias("m")).where("m > 1")
+    w = Window.partitionBy("pipeline").orderBy(F.desc("m"), "rule")
+    top = by.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most).groupBy("pipeline").agg(F.array_sort(F.collect_list(F.struct("k", "rule", "m"))).alias("top"))
+    x = costs.join(top, "pipeline", "left").withColumn("top", F.coalesce("top", F.array().cast("array<struct<k:int,rule:string,m:double>>")))
+    lines = F.concat(
+        F.array(F.format_string("%.0f bytes are read a run, with all multipliers", "bytes")), F.transform("top", lambda t: F.format_string("%s multiplies the work by %.2f", t["rule"], t["m"])),
+        F.array(F.format_string("%.4f USD a run on %s, %.2f USD a month", "usd_run", "warehouse", "usd_month"), F.format_string("the fixes would leave %.2f USD a month", "usd_month_optimised")),
+        F.when(F.size("top") > 0, F.array(F.concat(F.lit("first fix: "), F.col("top")[0]["rule"]))).otherwise(F.array(F.lit("nothing stands out"))),
+    )
+    return x.select("pipeline", "n_rows", "runs", "warehouse", lines.alias("lines"))
+
+
 # ---- impact
 
 
