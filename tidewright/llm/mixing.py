@@ -19,10 +19,10 @@ them all; copies leaves out those that have its outputs' names).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, parts_for, shield, word_count
+from .common import WORD_CLASS, materialise, parts_for, shield, word_count
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -50,21 +50,32 @@ def targets(cells: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float
     return src.select("mix_src", "mix_source_size", F.least(F.col("cap"), F.col("w") * F.col("level")).alias("mix_target"))
 
 
+def number_of(text: Column, digits: int) -> Column:
+    """A drawn number: the first hexadecimal digits of the text's md5 as a long."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, digits), 16, 10).cast("long")
+
+
+def size_class(size: Column) -> Column:
+    """32 classes an octave of size + 1, in whole numbers only."""
+    octave = F.length(F.bin(size + 1)) - 1
+    return (octave * 32 + F.floor((size + 1) * 32 / F.pow(F.lit(2.0), octave)) - 32).cast("int")
+
+
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED, keep: list[str] | None = None) -> DataFrame:
     """Every row of docs (or its columns `keep`) with mix_size, mix_source_size, mix_target, mix_copies and mix_taken."""
     salts = max(LEAST_SALTS, parts_for(docs.count(), ROWS_PER_CELL, 1_000_000))
     kept = [docs[c] for c in (docs.columns if keep is None else keep) if c not in OUTPUTS]
     src = F.when(docs[source_col].isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), docs[source_col]))
     base = docs.select(*kept, docs[id_col].alias("mix_id"), src.alias("mix_src"), word_count(docs[text_col]).alias("mix_size"))
-    base = base.withColumn("mix_class", F.floor(F.log2(F.col("mix_size") + F.lit(1.0)) * 32).cast("int")).withColumn("mix_salt", F.pmod(F.xxhash64("mix_id"), F.lit(salts)).cast("int"))
+    drawn = number_of(F.coalesce(F.col("mix_id").cast("string"), F.lit("")), 12)
+    base = base.withColumn("mix_class", size_class(F.col("mix_size"))).withColumn("mix_salt", (drawn % salts).cast("int"))
+    base = base.withColumn("mix_slope", F.when(F.floor(drawn / (1 << 24)) % 2 == 0, F.col("mix_class")).otherwise(SLOPES - F.col("mix_class")))
     if keep is not None:
         base = materialise(base, "mix-sizes")  # the texts are read once
-    up = F.pmod(F.xxhash64("mix_id", F.lit("slope")), F.lit(2)) == 0
-    base = base.withColumn("mix_slope", F.when(up, F.col("mix_class")).otherwise(SLOPES - F.col("mix_class")))
     cell = ["mix_src", "mix_slope", "mix_salt"]
     cells = base.groupBy(*cell).agg(F.count(F.lit(1)).alias("cell_rows"), F.sum("mix_size").alias("cell_size"))
     before = Window.partitionBy("mix_src").orderBy("mix_slope", "mix_salt").rowsBetween(Window.unboundedPreceding, -1)
-    offset = (F.pmod(F.xxhash64("mix_src", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))).alias("mix_u")
+    offset = (number_of(F.concat(F.col("mix_src"), F.lit(f"|{seed}")), 10) / F.lit(float(1 << 40))).alias("mix_u")
     plan = targets(cells, weights, share, cap)
     cells = cells.withColumn("rows_before", F.coalesce(F.sum("cell_rows").over(before), F.lit(0))).join(plan, "mix_src")
     rate = F.when(F.col("mix_source_size") > 0, F.least(F.col("mix_target") / F.col("mix_source_size"), F.lit(float(cap)))).otherwise(F.lit(0.0))
@@ -82,3 +93,18 @@ def mix(docs: DataFrame, **params) -> DataFrame:
     safe, restore = shield(docs, *OUTPUTS, *INNER)
     out = copies(safe, **params)
     return restore(out.where("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))))
+
+
+#: The same as SQL, for tables of up to LEAST_SALTS * ROWS_PER_CELL rows.
+ORACLE = rf"""
+    WITH d AS (SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS src, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD_CLASS}')) AS BIGINT) AS size,
+                      CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) AS drawn FROM documents),
+    c AS (SELECT *, drawn % {LEAST_SALTS} AS salt, CAST((length(bin(size + 1)) - 1) * 32 + floor((size + 1) * 32 / pow(2, length(bin(size + 1)) - 1)) - 32 AS BIGINT) AS class FROM d),
+    o AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY CASE WHEN drawn // 16777216 % 2 = 0 THEN class ELSE {SLOPES} - class END, salt, doc_id, size) AS k FROM c),
+    s AS (SELECT src, CAST(sum(size) AS BIGINT) AS source_size, CAST(list_extract({list(WEIGHTS)}, CAST((row_number() OVER (ORDER BY src) - 1) % {len(WEIGHTS)} + 1 AS BIGINT)) AS DOUBLE) AS w FROM d GROUP BY src),
+    f AS (SELECT *, source_size * {CAP} AS cap, sum(source_size) OVER () * CAST({SHARE} AS DOUBLE) AS budget, sum(w) OVER () AS all_w FROM s),
+    g AS (SELECT *, (budget - coalesce(sum(cap) OVER b, 0)) / (all_w - coalesce(sum(w) OVER b, 0)) AS here FROM f WINDOW b AS (ORDER BY cap / w, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    t AS (SELECT src, source_size, least(cap, w * max(here) OVER ()) AS target, CAST('0x' || substr(md5(src || '|{SEED}'), 1, 10) AS BIGINT) / CAST({1 << 40} AS DOUBLE) AS u FROM g),
+    r AS (SELECT *, CASE WHEN source_size > 0 THEN least(target / source_size, CAST({CAP} AS DOUBLE)) ELSE 0 END AS rate FROM t),
+    x AS (SELECT o.*, source_size, target, CAST(floor(k * rate + u) - floor((k - 1) * rate + u) AS INTEGER) AS copies FROM o JOIN r USING (src))
+    SELECT doc_id, size, source_size, target, size * copies AS taken, copies FROM x"""
