@@ -5,8 +5,8 @@ where their left part begins; a segment tree over these positions holds the pair
 the root is the leftmost pair of least rank. A merge writes three leaves (its own, its live left neighbour's and the one
 that it swallows) and the paths above them: O(n log n) for a piece of n bytes, however long.
 
-Pieces recur, so each Python worker keeps the ids of pieces it has met; the store is bounded by CACHE_PIECES entries of at
-most CACHE_BYTES bytes and starts anew when full, which never changes a result.
+Pieces recur, so a task keeps the ids of pieces it has met; the store is bounded by CACHE_PIECES entries of at most
+CACHE_BYTES letters and starts anew when full and with each task, which never changes a result.
 
 Defined cases: a null text counts as empty and has no ids (sha256 of nothing); texts are encoded whole, without special
 tokens; repeated rows give repeated rows; an empty table gives no rows; other columns pass through.
@@ -23,6 +23,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import tidy
+
 CACHE_PIECES = 450_000
 CACHE_BYTES = 48
 ENCODE_ROWS = 500
@@ -130,9 +132,10 @@ _codecs: dict[tuple[str, str], Codec] = {}
 
 
 def codec(path: str, pattern: str) -> Codec:
-    """One codec a worker process; ranks are read where the worker runs."""
+    """One codec a worker process, with an empty store; ranks are read where the worker runs."""
     if (path, pattern) not in _codecs:
         _codecs[path, pattern] = Codec(load_ranks(path), pattern)
+    _codecs[path, pattern].known.clear()
     return _codecs[path, pattern]
 
 
@@ -146,12 +149,13 @@ def _by_text(docs: DataFrame, text_col: str, schema: str, types: list[pa.DataTyp
             arrays = dict(zip(batch.schema.names, batch.columns, strict=True))
             arrays |= {f: pa.array([m[k] for m in made], t) for k, (f, t) in enumerate(zip(fields, types, strict=True))}
             yield pa.RecordBatch.from_arrays(list(arrays.values()), names=list(arrays))
+        own.known.clear()
 
     rest = docs.select([c for c in docs.columns if c not in fields])
     from pyspark.sql import types as T
 
     out = T.StructType([*rest.schema.fields, *T._parse_datatype_string(schema).fields])
-    return rest.mapInArrow(run, out)
+    return rest.mapInArrow(tidy(run), out)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
@@ -172,8 +176,9 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text") ->
                 flat = np.array(",".join(ids for n, ids, _ in made if n).split(","), dtype=np.int32) if offsets[-1] else np.zeros(0, np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.diff(offsets).astype(np.int64)), lists, pa.array([sha256(d).hexdigest() for _, _, d in made])], names=[*batch.schema.names, *ours])
+        own.known.clear()
 
-    return rest.mapInArrow(run, schema)
+    return rest.mapInArrow(tidy(run), schema)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "token_ids") -> DataFrame:
@@ -186,7 +191,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "token_id
             ids = batch.column(batch.schema.get_field_index(ids_col)).to_pylist()
             yield batch.append_column("decoded", pa.array([own.decode(x or []) for x in ids], pa.binary()))
 
-    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))
+    return encoded.mapInArrow(tidy(run), T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))
 
 
 def digests(docs: DataFrame, path: str, pattern: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

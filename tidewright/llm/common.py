@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import math
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +16,7 @@ from ..session import materialise, ship
 #: A word is a run of anything but blank, tab, line feed, vertical tab, form feed and carriage return.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
-__all__ = ["SPACE_CLASS", "WORD_CLASS", "materialise", "parts_for", "shield", "table", "word_count", "words_of"]
+__all__ = ["SPACE_CLASS", "WORD_CLASS", "materialise", "parts_for", "release", "shield", "table", "tidy", "word_count", "words_of"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +24,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def release() -> None:
+    """Gives memory that a Python worker no longer uses back to the machine; workers are kept for later tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
+def tidy(run: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """run, a function over batches, with a release at its task's end."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return tidied
+
+
 def shield(df: DataFrame, *names: str):
     """df with its columns of these names renamed out of the way, and what gives a result df's own columns back."""
     away = {c: f"{c}__own" for c in df.columns if c in names}

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_CLASS, materialise
+from .common import WORD_CLASS, materialise, tidy
 from .shingles import mixed, slices, word_bounds, word_hashes
 from .textfilter import texts_near
 
@@ -105,7 +105,7 @@ def lines(docs: DataFrame) -> DataFrame:
                 cols = [pa.array(ids[at + row]), pa.array(number.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(seq.hashed(s, e).view(np.int64))]
                 yield pa.RecordBatch.from_arrays(cols + [pa.array(k, pa.int64(), mask=m) for k, m in zip(keys, alone, strict=True)], names=names)
 
-    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").mapInArrow(run, "doc_id long, line_no int, words int, line long, p1 long, p2 long, s1 long, s2 long")
+    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, line_no int, words int, line long, p1 long, p2 long, s1 long, s2 long")
 
 
 def neighbourhoods(wanted: DataFrame) -> DataFrame:
@@ -152,7 +152,7 @@ def neighbourhoods(wanted: DataFrame) -> DataFrame:
                 cols = [pa.array(np.concatenate(kinds)), pa.array(np.concatenate(keys).view(np.int64)), spread(0, pa.int64()), spread(1, pa.int64()), spread(2, pa.int32()), pa.array(content, pa.string())]
                 yield pa.RecordBatch.from_arrays(cols, names=["kind", "key", "line", "doc_id", "line_no", "content"])
 
-    return wanted.mapInArrow(run, out)
+    return wanted.mapInArrow(tidy(run), out)
 
 
 def edits(a: list[str], b: list[str]) -> int:
@@ -194,7 +194,7 @@ def doomed(kept: DataFrame, docs: DataFrame) -> DataFrame:
             same = [edits(WORD.findall(a), WORD.findall(b)) <= 1 for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0)], names=["line"]).filter(pa.array(same, pa.bool_()))
 
-    return pairs.select("line", "content", "earlier").mapInArrow(verify, "line long")
+    return pairs.select("line", "content", "earlier").mapInArrow(tidy(verify), "line long")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,4 +224,4 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             cols = dict(zip(names, batch.columns, strict=True)) | {text_col: pa.array(texts, pa.string()), "n_lines": pa.array(before, pa.int32()), "n_kept": pa.array(after, pa.int32())}
             yield pa.RecordBatch.from_arrays([cols[f.name] for f in out.fields], names=[f.name for f in out.fields])
 
-    return joined.mapInArrow(run, out)
+    return joined.mapInArrow(tidy(run), out)

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise
+from .common import materialise, tidy
 from .components import components
 from .shingles import mixed, shingle_lists
 from .textfilter import texts_near
@@ -84,7 +84,7 @@ def sketch(docs: DataFrame, width: int) -> np.ndarray:
                 total += np.frombuffer(x, np.uint32)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["chunk", "counts"])
 
-    parts = docs.select("text").mapInArrow(count, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, counts binary")
+    parts = docs.select("text").mapInArrow(tidy(count), "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, counts binary")
     out = np.zeros(1 << SKETCH_BITS, np.uint64)
     for chunk, counts in parts.collect():  # 2^SKETCH_BITS counters, whatever the input
         out[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(counts, np.uint64)
@@ -152,7 +152,7 @@ def nodes(docs: DataFrame, classes: np.ndarray, light_to: int, width: int, perce
                 names=["doc_id", "n", "s1", "s2", "lists", "keys", *MAPS, "wide"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, s1 long, s2 long, lists int, keys array<long>, " + ", ".join(f"{g} long" for g in MAPS) + ", wide binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n int, s1 long, s2 long, lists int, keys array<long>, " + ", ".join(f"{g} long" for g in MAPS) + ", wide binary")
 
 
 def parity_map(hashes: np.ndarray) -> bytes:
@@ -181,7 +181,7 @@ def close_maps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = [(100 + percent) * bits_apart(x, y) <= (100 - percent) * (n + m) for n, m, x, y in rows]
             yield batch.filter(pa.array(keep, pa.bool_())).select(columns)
 
-    return wide.mapInArrow(run, pairs.schema).distinct()
+    return wide.mapInArrow(tidy(run), pairs.schema).distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -204,7 +204,7 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
                 keep.append(both > 0 and 100 * both >= percent * (len(last[1]) + len(b) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return both.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -254,3 +254,14 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     out = sets.select("doc_id", *digest).join(known, digest, "left")
     own = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.cast("long").alias("component_id"))
+
+
+#: The same as SQL: all pairs that share a shingle, and the least id that links reach.
+ORACLE = r"""
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+    e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n + b.n - count(*) AS u, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n),
+    l AS (SELECT a, b FROM p WHERE 100 * c >= 80 * u UNION ALL SELECT b, a FROM p WHERE 100 * c >= 80 * u),
+    r(doc_id, other) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.other = l.a)
+    SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.other) AS component_id FROM s JOIN r USING (doc_id) GROUP BY s.doc_id, len(s.s)"""

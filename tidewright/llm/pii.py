@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import tidy
+
 ROUNDS = 8
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
@@ -231,4 +233,4 @@ def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", undo: bool
             spans = pa.array([[{"start": s, "end": e, "kind": k} for s, e, k in x] for _, x in made], span)
             yield pa.RecordBatch.from_arrays([*(cols[f.name] for f in rest), spans], names=[*(f.name for f in rest), "pii_spans"])
 
-    return docs.select([f.name for f in rest]).mapInArrow(run, schema)
+    return docs.select([f.name for f in rest]).mapInArrow(tidy(run), schema)

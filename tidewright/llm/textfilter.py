@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 FILTER_BITS = 1 << 23
 
 
@@ -30,4 +32,4 @@ def texts_near(docs: DataFrame, ids: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], names=["doc_id", "text"]).filter(pa.array(hit.astype(bool)))
 
     keyed = docs.where("doc_id IS NOT NULL").select("doc_id", word.alias("word"), "text")
-    return keyed.mapInArrow(near, "doc_id long, text string")
+    return keyed.mapInArrow(tidy(near), "doc_id long, text string")
