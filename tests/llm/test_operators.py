@@ -304,6 +304,13 @@ def test_top_k_is_exact(spark, dim, scale):
     assert got == want and got[420] == [(440, got[420][0][1])]
 
 
+def test_top_k_of_repeated_rows(spark):
+    frame = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(40)] * 2, "vec_id long, embedding array<float>")
+    out = vafile.top_k(frame, frame.where("vec_id % 20 = 0"), k=5).collect()
+    assert Counter(r.query_id for r in out) == {0: 5, 20: 5}
+    assert [(r.vec_id, r.score) for r in sorted(out) if r.query_id == 20] == [(2, 64 * 64 * 5), (2, 64 * 64 * 5), (5, 64 * 64 * 5), (5, 64 * 64 * 5), (8, 64 * 64 * 5)]
+
+
 def test_top_k_of_nothing(spark):
     frame = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert vafile.top_k(frame, frame).count() == 0

@@ -12,11 +12,12 @@ each, and gives k rows a query and block, which one ranking per query then merge
 
 Defined cases: vectors that are null or hold null or non-finite components take no part; queries meet vectors of their own
 length only; equal scores go to the smaller id; with fewer than k candidates all are returned; a query's own row (same id)
-is no candidate; an empty table gives no rows. Scores are exact while |score| < 2^63.
+is no candidate; query rows of equal id are one query, repeated vectors are candidates each; an empty table gives no rows. Scores are exact while |score| < 2^63.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, parts_for
+from .common import materialise, parts_for, tidy
 
 SCALE = 64
 CELLS = 256
@@ -42,7 +43,7 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def blocks(rows: DataFrame, each: int, name: str) -> DataFrame:
-    """One row a block of at most `each` vectors of one length: dim, name_n, name_ids and name_v, packed."""
+    """One row a block of at most `each` vectors of one length: dim, name_block (its name), name_n, name_ids and name_v, packed."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ids: dict[int, list[np.ndarray]] = {}
@@ -50,7 +51,7 @@ def blocks(rows: DataFrame, each: int, name: str) -> DataFrame:
 
         def flush(dim: int) -> pa.RecordBatch:
             ids, v = np.concatenate(open_ids.pop(dim)), np.concatenate(open_v.pop(dim))
-            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([len(ids)], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([v.astype(np.int64).tobytes()], pa.binary())], names=["dim", f"{name}_n", f"{name}_ids", f"{name}_v"])
+            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([uuid.uuid4().hex]), pa.array([len(ids)], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([v.astype(np.int64).tobytes()], pa.binary())], names=["dim", f"{name}_block", f"{name}_n", f"{name}_ids", f"{name}_v"])
 
         for batch in batches:
             ids, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
@@ -68,7 +69,7 @@ def blocks(rows: DataFrame, each: int, name: str) -> DataFrame:
         for dim in list(open_ids):
             yield flush(dim)
 
-    return rows.mapInArrow(pack, f"dim int, {name}_n int, {name}_ids binary, {name}_v binary")
+    return rows.mapInArrow(tidy(pack), f"dim int, {name}_block string, {name}_n int, {name}_ids binary, {name}_v binary")
 
 
 def approximate(v: np.ndarray, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -126,14 +127,10 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarra
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k vectors of largest integer inner product with each query."""
     data = materialise(blocks(usable(vectors, id_col, vec_col), VECTORS_PER_BLOCK, "d"), "va-file")
-    asked = usable(queries, id_col, vec_col)
+    asked = usable(queries, id_col, vec_col).groupBy("vec_id").agg(F.min("v").alias("v"))
     dealt = parts_for(queries.count(), QUERIES_PER_BLOCK, 1_000_000)
     asked = materialise(blocks(asked.repartition(dealt), QUERIES_PER_BLOCK, "q"), "va-queries")
-    numbered = []
-    for df, name in ((data, "d"), (asked, "q")):
-        keyed = df.withColumn(f"{name}_block", F.sha1(F.concat(f"{name}_ids", F.col("dim").cast("string"))))
-        numbered.append((keyed, keyed.select("dim", f"{name}_block")))
-    (data, d_names), (asked, q_names) = numbered
+    d_names, q_names = data.select("dim", "d_block"), asked.select("dim", "q_block")
     pairs = d_names.join(q_names, "dim")  # names of blocks only
     meet = pairs.join(data, ["dim", "d_block"]).join(asked, ["dim", "q_block"]).select("dim", "d_n", "d_ids", "d_v", "q_n", "q_ids", "q_v")
 
@@ -145,6 +142,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
                 found = search_block(q_ids, q, ids, v, k)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["query_id", "vec_id", "score"])
 
-    near = meet.mapInArrow(run, "query_id long, vec_id long, score long")
+    near = meet.mapInArrow(tidy(run), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
