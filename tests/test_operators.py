@@ -40,6 +40,16 @@ def test_salted_join_keeps_every_pair(spark):
         joins.salted_join(left, right, "k", 5, "full")
 
 
+def test_not_in_has_the_nulls_of_sql(spark):
+    left = spark.createDataFrame([(1,), (2,), (None,), (2,)], "k int")
+    rights = {"some": [(2,), (3,)], "null": [(3,), (None,)], "none": []}
+    left.createOrReplaceTempView("not_in_left")
+    for name, rows in rights.items():
+        right = spark.createDataFrame(rows, "v int")
+        right.createOrReplaceTempView("not_in_right")
+        assert got(joins.not_in(left, right, "k", "v")) == got(spark.sql("SELECT k FROM not_in_left WHERE k NOT IN (SELECT v FROM not_in_right)")), name
+
+
 def test_row_changes_and_null_conditions(spark):
     t = spark.createDataFrame([(1, "a"), (2, None), (3, "c")], "k int, v string")
     assert got(dml.delete_where(t, F.col("v") == "a")) == got(t.where("k > 1"))

@@ -37,6 +37,16 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, salts: int, how: st
     return l.join(r, [key, "salt"], how).drop("salt")
 
 
+def not_in(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
+    """left_key NOT IN (SELECT right_key FROM right), with SQL's nulls, as a plain anti join behind two counts: Spark's own
+    null-aware anti join has to broadcast right, whatever its size. Nothing stays if right holds a null; a null on the left
+    stays only if right is empty."""
+    keys = right.select(right[right_key].alias("not_in_key"))
+    counts = keys.agg(F.count(F.lit(1)).alias("not_in_rows"), F.count_if(F.col("not_in_key").isNull()).alias("not_in_nulls"))  # one row
+    able = left.crossJoin(F.broadcast(counts)).where((F.col("not_in_rows") == 0) | ((F.col("not_in_nulls") == 0) & F.col(left_key).isNotNull()))
+    return able.join(keys, F.col(left_key) == F.col("not_in_key"), "left_anti").select(*left.columns)
+
+
 def or_to_in(df: DataFrame, column: str, values: list) -> DataFrame:
     """One IN filter for a chain of equalities, which the scan takes as one predicate."""
     return df.where(F.col(column).isin(*values))

@@ -175,9 +175,9 @@ def join_anti_not_exists(spark: SparkSession, d: str) -> DataFrame:
 @R.query("""WITH few AS (SELECT o_custkey AS k FROM orders WHERE o_totalprice > 250000), nul AS (SELECT k FROM few UNION ALL SELECT NULL)
 SELECT 'without null' AS side, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT k FROM few) UNION ALL SELECT 'with null', count(*) FROM customer WHERE c_custkey NOT IN (SELECT k FROM nul)""")
 def join_not_in_null_aware(spark: SparkSession, d: str) -> DataFrame:
-    register(spark, d, ("customer", "orders"))
-    few = "SELECT o_custkey AS k FROM orders WHERE o_totalprice > 250000"
-    return spark.sql(f"SELECT 'without null' AS side, count(*) AS n FROM customer WHERE c_custkey NOT IN ({few}) UNION ALL SELECT 'with null', count(*) FROM customer WHERE c_custkey NOT IN ({few} UNION ALL SELECT NULL)")
+    customers, few = read(spark, d, "customer"), read(spark, d, "orders").where("o_totalprice > 250000").select(c("o_custkey").alias("k"))
+    counted = lambda right, side: joins.not_in(customers, right, "c_custkey", "k").agg(F.lit(side).alias("side"), F.count(F.lit(1)).alias("n"))
+    return counted(few, "without null").unionAll(counted(few.unionAll(spark.sql("SELECT CAST(NULL AS BIGINT) AS k")), "with null"))
 
 
 BANDS = "VALUES ('a', 0.0, 1000.0), ('b', 900.0, 2500.0), ('c', 2400.0, 2400.0), ('d', 8000.0, 20000.0)"
