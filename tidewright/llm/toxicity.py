@@ -32,6 +32,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise, tidy
+
 TRAIN_ROWS = 20_000
 THRESHOLD = 0.3
 TARGET_SCOPE = 4
@@ -193,7 +195,7 @@ def learn_lexicon(rows: DataFrame, n_toxic: int, n_clean: int) -> dict[str, floa
                     yield flush()
         yield flush()
 
-    counts = rows.mapInArrow(count, "key string, n1 long, n long").groupBy("key").agg(F.sum("n1").alias("n1"), F.sum("n").alias("n"))
+    counts = rows.mapInArrow(tidy(count), "key string, n1 long, n long").groupBy("key").agg(F.sum("n1").alias("n1"), F.sum("n").alias("n"))
     p = n_toxic / (n_toxic + n_clean)
     rate = F.col("n1") / F.col("n")
     other = F.when(rate < 1, (1 - rate) * F.log((1 - rate) / (1 - p))).otherwise(F.lit(0.0))
@@ -232,7 +234,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
     """docs: doc_id, text. labels: doc_id, toxic."""
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    rows = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "text", (F.col("toxic") > 0).cast("int").alias("toxic"))  # train_rows at most
+    rows = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "text", (F.col("toxic") > 0).cast("int").alias("toxic"))
+    rows = materialise(rows, "toxicity-rows")  # train_rows at most; the corpus is read once for them
     counted = dict(rows.groupBy("toxic").count().collect())
     n1, n0 = counted.get(1, 0), counted.get(0, 0)
     if not n1 or not n0:
@@ -244,7 +247,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([scorer.features(t or "") for t in batch.column(1).to_pylist()], pa.list_(pa.float64())), batch.column(2), batch.column(0)], names=["f", "toxic", "doc_id"])
 
-    known = rows.mapInArrow(features, "f array<double>, toxic int, doc_id long").orderBy("doc_id").toPandas()  # train_rows at most
+    known = rows.mapInArrow(tidy(features), "f array<double>, toxic int, doc_id long").orderBy("doc_id").toPandas()  # train_rows at most
     return Model(lexicon, fit(np.stack(known["f"].to_numpy()), known["toxic"].to_numpy(float)))
 
 
@@ -265,4 +268,4 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
             s = 1 / (1 + np.exp(-np.clip(np.c_[x, np.ones(len(x))] @ own.weights, -30, 30))) if own.constant is None else np.full(len(texts), own.constant)
             yield batch.append_column("tox_score", pa.array(s)).append_column("tox_predicted", pa.array((s >= threshold).astype(np.int32)))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
