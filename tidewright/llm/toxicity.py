@@ -41,7 +41,7 @@ NEGATION_SCOPE = 3
 PREFIX_LENGTHS = range(4, 11)
 LEXICON_LIMIT = 5_000
 WORD_CACHE = 150_000
-PRUNE_AT = 1_000_000
+PRUNE_AT = 300_000
 
 # The words of the small transducers.
 TARGETS = "you your yours yourself u ur they them their he him his she her this that these those people everyone tu te toi vous il elle ils du dich dir ihr sie er usted ustedes ellos ella".split()
