@@ -63,6 +63,8 @@ def materialise(df: DataFrame, label: str, partition_by: str | None = None) -> D
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    if not _written:
+        atexit.register(_drop_written)  # now, so that it runs before Spark's own end
     _written[path] = spark
     return spark.read.schema(df.schema).parquet(path)
 
@@ -75,6 +77,3 @@ def _drop_written() -> None:
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
         except Exception:  # noqa: BLE001  the session may be gone already
             return
-
-
-atexit.register(_drop_written)
