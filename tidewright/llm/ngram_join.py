@@ -240,6 +240,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
 
     named = lists.join(first.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+    split = materialise(split, "ngram-split")  # a table, so that the join below may be split where one key has very many rows
     still = named.where("node <> least").join(split, "key").join(sets.select(F.col("doc_id").alias("node"), *MAPS), "node")
     still = materialise(still.select("key", "node", "n", "place", "component", *MAPS), "ngram-open")
     side = lambda s: still.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "n", "place", "component", *MAPS)])
