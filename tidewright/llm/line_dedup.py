@@ -186,7 +186,7 @@ def doomed(kept: DataFrame, docs: DataFrame) -> DataFrame:
     less = near.where("kind = 1").select("key", own.alias("own")).join(near.where("kind = 2").select("key", own.alias("other")), "key").select("own", "other")
     inserted = less.union(less.select(F.col("other"), F.col("own")))
     pairs = replaced.union(inserted).where("other < own").groupBy(F.col("own.line").alias("line")).agg(F.min("other").alias("other"))
-    content = near.where("kind = 2").groupBy("line").agg(F.min("content").alias("content"))
+    content = near.where("kind = 2").select("line", "content")  # not made distinct, so that the joins may be split at a hot line
     pairs = pairs.select("line", F.col("other.line").alias("other")).join(content, "line").join(content.select(F.col("line").alias("other"), F.col("content").alias("earlier")), "other")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
