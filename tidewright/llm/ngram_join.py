@@ -252,6 +252,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
 
     known = classed.groupBy(*digest).agg(F.min("doc_id").alias("node")).join(first.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     known = known.join(second.select(F.col("id").alias("component"), F.col("component").alias("final")), "component", "left").select(*digest, F.coalesce("final", "component").alias("component"))
+    known = materialise(known, "ngram-known")  # a table, so that the join may be split at a group of many copies
     out = sets.select("doc_id", *digest).join(known, digest, "left")
     own = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.cast("long").alias("component_id"))
