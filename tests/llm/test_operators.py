@@ -249,6 +249,36 @@ def test_line_dedup_on_odd_rows(odd, clashing, none):
     assert line_dedup.dedup(none).count() == 0
 
 
+def test_line_dedup_allows_more_edits_in_longer_lines(spark):
+    rng = random.Random(4)
+    vocab = [f"w{i}" for i in range(60)]
+    base = [[rng.choice(vocab) for _ in range(rng.choice([23, 24, 30, 36, 60, 130]))] for _ in range(12)]
+    rows = []
+    for i in range(150):
+        w = list(rng.choice(base))
+        for _ in range(rng.randint(0, len(w) // 8)):
+            p, how = rng.randrange(len(w)), rng.random()
+            w = w[:p] + ([rng.choice(vocab)] if how < 0.5 else [rng.choice(vocab), w[p]] if how < 0.75 else []) + w[p + 1 :]
+        rows.append((i, " ".join(w)))
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    got = {r.doc_id: r.n_kept for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    words = [t.split() for _, t in rows]
+    near = [[distance(words[i], words[j]) for j in range(i)] for i in range(len(rows))]
+    want = {i: int(not any(d <= max(1, min(len(words[i]), len(words[j])) // 12) for j, d in enumerate(near[i]))) for i in range(len(rows))}
+    assert got == want and any(not want[i] and min(near[i]) > 1 for i in want)
+    for i in range(40):
+        for j in range(i):
+            assert line_dedup.edits(words[i], words[j], 9) == min(near[i][j], 10)
+
+
 # ---- 5
 
 

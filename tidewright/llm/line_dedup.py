@@ -1,7 +1,8 @@
 """Line dedup by a deletion-neighbourhood join.
 
-Two lines are alike when their word sequences are equal, or when both have MIN_WORDS words or more and one edit of a word
-(replaced, inserted or left out) turns one into the other. A line goes when an alike line stands earlier, by (doc_id, line
+Two lines are alike when their word sequences are equal, or when both have MIN_WORDS words or more and as many edits of a
+word (replaced, inserted or left out) as `allowed` turn one into the other: one for each words_per_edit words of the shorter
+line, and one at least, without an upper end. A line goes when an alike line stands earlier, by (doc_id, line
 number); the earliest of its kind stays. Blank lines stay.
 
 1. Equal lines are one: a combining aggregation by the line's hash keeps the earliest place, so a line that millions of
@@ -12,6 +13,9 @@ number); the earliest of its kind stays. Blank lines stay.
    same word place left out are equal exactly if a replacement joins the lines, so the earliest of a key stands for all its
    lines and no pairs are made; a line that equals another's variant is an insertion, and joins it by that key alone.
 4. The pair (line, earliest alike) is verified by the edit distance of the words themselves.
+5. Lines long enough for k > 1 edits: k edits spoil k * RUN runs of RUN words at most, so two alike lines share one of the
+   k * RUN + 1 least run hashes of each. Lines that share one and whose lengths allow it are verified: first with the earliest
+   of the key and length, then, if that is not alike, with all earlier ones.
 
 Defined cases: null or blank texts have no lines and come back unchanged; a row without doc_id takes no part and comes back
 unchanged; rows of equal doc_id count as one document, so repeated rows are treated alike; the empty table gives no rows;
@@ -31,9 +35,12 @@ from pyspark.sql import types as T
 
 from .common import WORD_CLASS, materialise, tidy
 from .shingles import mixed, slices, word_bounds, word_hashes
-from .textfilter import texts_near
+from .textfilter import bits_of, texts_near
 
 MIN_WORDS = 8
+#: One edit is allowed for each so many words of the shorter line; 2 * RUN at least, as else k edits could spoil all its runs.
+WORDS_PER_EDIT = 12
+RUN = 4
 WORD = re.compile(WORD_CLASS)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _UNSTEP = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
@@ -155,20 +162,130 @@ def neighbourhoods(wanted: DataFrame) -> DataFrame:
     return wanted.mapInArrow(tidy(run), out)
 
 
-def edits(a: list[str], b: list[str]) -> int:
-    """Word edits from a to b: 0, 1, or 2 for two and more."""
-    if abs(len(a) - len(b)) > 1:
-        return 2
-    i = 0
-    while i < min(len(a), len(b)) and a[i] == b[i]:
-        i += 1
-    if i == len(a) == len(b):
-        return 0
-    short, long = (a, b) if len(a) <= len(b) else (b, a)
-    return 1 if (short[i + 1 :] if len(a) == len(b) else short[i:]) == long[i + 1 :] else 2
+def allowed(words: int, words_per_edit: int = WORDS_PER_EDIT) -> int:
+    """Edits that make two lines alike, of which the shorter has so many words."""
+    return max(1, words // words_per_edit) if words >= MIN_WORDS else 0
+
+
+def edits(a: list[str], b: list[str], limit: int = 1) -> int:
+    """Word edits from a to b up to `limit`, or limit + 1 for more. Furthest places on the diagonals, edit by edit."""
+    n, m = len(a), len(b)
+    if abs(n - m) > limit:
+        return limit + 1
+    before: dict[int, int] = {}
+    for spent in range(limit + 1):
+        now = {}
+        for d in range(-spent, spent + 1):
+            if abs(m - n - d) > limit - spent:
+                continue  # the rest can't be made up
+            i = max(before.get(d, -2) + 1, before.get(d - 1, -2), before.get(d + 1, -2) + 1) if spent else 0
+            i = min(i, n, m - d)
+            if i < 0 or i + d < 0:
+                continue
+            while i < n and i + d < m and a[i] == b[i + d]:
+                i += 1
+            if i == n and i + d == m:
+                return spent
+            now[d] = i
+        before = now
+    return limit + 1
+
+
+def runs(docs: DataFrame, words_per_edit: int, among=None) -> DataFrame:
+    """key, line, words, doc_id, line_no: of each line that may have two edits or more, its least run hashes; with `among`
+    (a broadcast of bits_of keys) those that are in it, and few others."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for at, _, b, offsets in slices(batch.column(1)):
+                seq, row, number, s, e = line_words(b, offsets)
+                long = e - s >= 2 * words_per_edit
+                row, number, s, e = row[long], number[long], s[long], e[long]
+                if not len(s):
+                    continue
+                n = e - s
+                times = n - RUN + 1
+                owner = np.repeat(np.arange(len(n)), times)
+                start = np.arange(len(owner)) - np.repeat(np.cumsum(times) - times, times) + s[owner]
+                key = seq.hashed(start, start + RUN)
+                key = key[np.lexsort((key, owner))]
+                new = np.r_[True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])]
+                key, owner = key[new], owner[new]
+                place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+                stay = place < (n // words_per_edit * RUN + 1)[owner]
+                if among is not None:
+                    bit = key & np.uint64(len(among.value) * 64 - 1)
+                    stay &= ((among.value[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1)).astype(bool)
+                key, owner = key[stay], owner[stay]
+                cols = [key.view(np.int64), seq.hashed(s, e).view(np.int64)[owner], n.astype(np.int32)[owner], ids[at + row][owner], number.astype(np.int32)[owner]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "line", "words", "doc_id", "line_no"])
+
+    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").mapInArrow(tidy(run), "key long, line long, words int, doc_id long, line_no int")
+
+
+def contents(wanted: DataFrame) -> DataFrame:
+    """line, content of doc_id, text, and asked, an array of line_no and line."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, asked = batch.column(1), batch.column(2).to_pylist()
+            for at, last, b, offsets in slices(texts):
+                seq, rows, number, s, e = line_words(b, offsets)
+                hashes = dict(zip(zip(rows.tolist(), number.tolist(), strict=True), seq.hashed(s, e).view(np.int64).tolist(), strict=True))
+                lines_, found = [], []
+                for row in range(at, last):
+                    text = texts[row].as_py().split("\n")
+                    for line in asked[row]:
+                        if hashes.get((row - at, line["line_no"])) == line["line"]:  # else another row of the same doc_id
+                            lines_.append(line["line"])
+                            found.append(text[line["line_no"]])
+                yield pa.RecordBatch.from_arrays([pa.array(lines_, pa.int64()), pa.array(found, pa.string())], names=["line", "content"])
+
+    return wanted.mapInArrow(tidy(run), "line long, content string")
 
-def doomed(kept: DataFrame, docs: DataFrame) -> DataFrame:
+
+def verified(pairs: DataFrame, words_per_edit: int) -> DataFrame:
+    """line: those of line, content, earlier (two texts) that are alike."""
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same = []
+            for x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                a, b = WORD.findall(x), WORD.findall(y)
+                limit = allowed(min(len(a), len(b)), words_per_edit)
+                same.append(edits(a, b, limit) <= limit)
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["line"]).filter(pa.array(same, pa.bool_()))
+
+    return pairs.select("line", "content", "earlier").mapInArrow(tidy(verify), "line long")
+
+
+def doomed_by_more(docs: DataFrame, gone: DataFrame, words_per_edit: int) -> DataFrame:
+    """line: those not in `gone` that have an earlier line within the edits allowed, where these are two or more."""
+    shared = runs(docs, words_per_edit).groupBy("key").agg(F.min("line").alias("x"), F.max("line").alias("y")).where("x <> y").select("key")
+    shared = materialise(shared, "lines-runs-shared")
+    among = docs.sparkSession.sparkContext.broadcast(bits_of(shared.select("key"), F.col("key")))
+    members = runs(docs, words_per_edit, among).groupBy("key", "line", "words").agg(F.min(F.struct("doc_id", "line_no")).alias("place"))
+    members = materialise(members.join(shared, "key", "left_semi").select("key", "words", F.struct("place.doc_id", "place.line_no", "line").alias("own")), "lines-runs")
+
+    def alike(pairs: DataFrame, label: str) -> DataFrame:
+        pairs = materialise(pairs.select("own", "other").distinct(), f"lines-pairs-{label}")
+        asked = pairs.select("own").union(pairs.select("other")).distinct().groupBy("own.doc_id").agg(F.collect_list(F.struct("own.line_no", "own.line")).alias("asked"))
+        asked = materialise(asked, f"lines-pairs-asked-{label}")
+        content = materialise(contents(texts_near(docs, asked.select("doc_id")).join(asked, "doc_id").select("doc_id", "text", "asked")).dropDuplicates(["line"]), f"lines-pairs-texts-{label}")
+        both = pairs.select("own.line", F.col("other.line").alias("other")).join(content, "line").join(content.select(F.col("line").alias("other"), F.col("content").alias("earlier")), "other")
+        return materialise(verified(both, words_per_edit).distinct(), f"lines-pairs-alike-{label}")
+
+    left = members.select("key", "words", "own", F.col("own.line").alias("line")).join(gone, "line", "left_anti")
+    earliest = members.groupBy("key", "words").agg(F.min("own").alias("other"))
+    first = alike(left.join(earliest, ["key", "words"]).where("other < own"), "first")
+    left = left.join(first, "line", "left_anti")
+    others = members.select("key", F.col("words").alias("other_words"), F.col("own").alias("other"))
+    fits = F.abs(F.col("words") - F.col("other_words")) <= F.floor(F.least("words", "other_words") / words_per_edit)
+    return first.union(alike(left.join(others, "key").where(fits & (F.col("other") < F.col("own"))), "all"))
+
+
+def doomed(kept: DataFrame, docs: DataFrame, words_per_edit: int) -> DataFrame:
     """line: those of the distinct lines `kept` that have an earlier line one edit away."""
     halves = kept.where(F.col("words") >= MIN_WORDS).select("line", "doc_id", "line_no", F.explode(F.array(*[F.struct(F.col(k).alias("key"), F.lit(k[0] == "p").alias("front")) for k in ("p1", "p2", "s1", "s2")])).alias("h"))
     halves = halves.select("line", "doc_id", "line_no", "h.key", "h.front").where("key IS NOT NULL")
@@ -189,20 +306,19 @@ def doomed(kept: DataFrame, docs: DataFrame) -> DataFrame:
     content = near.where("kind = 2").select("line", "content")  # not made distinct, so that the joins may be split at a hot line
     pairs = pairs.select("line", F.col("other.line").alias("other")).join(content, "line").join(content.select(F.col("line").alias("other"), F.col("content").alias("earlier")), "other")
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            same = [edits(WORD.findall(a), WORD.findall(b)) <= 1 for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["line"]).filter(pa.array(same, pa.bool_()))
-
-    return pairs.select("line", "content", "earlier").mapInArrow(tidy(verify), "line long")
+    return verified(pairs, words_per_edit)
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_edit: int = WORDS_PER_EDIT) -> DataFrame:
     """docs with the lines left in text_col, and n_lines and n_kept (lines that have words, before and after)."""
+    if words_per_edit < 2 * RUN:
+        raise ValueError(f"words_per_edit must be {2 * RUN} or more")
     slim = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     found = lines(slim).groupBy("line").agg(F.min(F.struct("doc_id", "line_no", "words", "p1", "p2", "s1", "s2")).alias("x")).select("line", "x.*")
     found = materialise(found, "lines")
-    kept = found.select("line", "doc_id", "line_no").join(doomed(found, slim), "line", "left_anti")
+    gone = materialise(doomed(found, slim, words_per_edit), "lines-gone")
+    gone = gone.union(doomed_by_more(slim, gone, words_per_edit))
+    kept = found.select("line", "doc_id", "line_no").join(gone, "line", "left_anti")
     kept = kept.groupBy("doc_id").agg(F.collect_list("line_no").alias("line_dedup_kept")).withColumnRenamed("doc_id", "line_dedup_id")
     joined = docs.join(kept, docs[id_col].cast("long") == kept["line_dedup_id"], "left").drop("line_dedup_id")
     out = T.StructType([*[f for f in docs.schema.fields if f.name not in ("n_lines", "n_kept")], T.StructField("n_lines", T.IntegerType()), T.StructField("n_kept", T.IntegerType())])

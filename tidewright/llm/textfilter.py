@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import tidy
@@ -14,15 +14,20 @@ from .common import tidy
 FILTER_BITS = 1 << 23
 
 
-def texts_near(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id and text of every row of docs whose doc_id is in ids (one column, doc_id), and of few others: a bit filter of
-    fixed size (FILTER_BITS, so its broadcast never grows) is tested where the texts are read. A join must follow."""
-    word = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    bits = ids.select(word.alias("word")).select(F.shiftright("word", 6).cast("int").alias("at"), F.expr("shiftleft(1L, int(word % 64))").alias("bit"))
+def bits_of(df: DataFrame, hashed: Column) -> np.ndarray:
+    """A filter of FILTER_BITS bits with those at `hashed` modulo FILTER_BITS set, as 64-bit words."""
+    word = F.pmod(hashed, F.lit(FILTER_BITS))
+    bits = df.select(word.alias("word")).select(F.shiftright("word", 6).cast("int").alias("at"), F.expr("shiftleft(1L, int(word % 64))").alias("bit"))
     filled = np.zeros(FILTER_BITS // 64, np.int64)
     for at, x in bits.groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas().itertuples(index=False):  # FILTER_BITS / 64 rows at most
         filled[at] = x
-    shared = docs.sparkSession.sparkContext.broadcast(filled.view(np.uint64))
+    return filled.view(np.uint64)
+
+
+def texts_near(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of every row of docs whose doc_id is in ids (one column, doc_id), and of few others: a bit filter of
+    fixed size (FILTER_BITS, so its broadcast never grows) is tested where the texts are read. A join must follow."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits_of(ids, F.xxhash64("doc_id")))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -31,5 +36,5 @@ def texts_near(docs: DataFrame, ids: DataFrame) -> DataFrame:
             hit = (own[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], names=["doc_id", "text"]).filter(pa.array(hit.astype(bool)))
 
-    keyed = docs.where("doc_id IS NOT NULL").select("doc_id", word.alias("word"), "text")
+    keyed = docs.where("doc_id IS NOT NULL").select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("word"), "text")
     return keyed.mapInArrow(tidy(near), "doc_id long, text string")
