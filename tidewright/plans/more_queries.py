@@ -27,6 +27,11 @@ def io_text_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return files.round_trip(read(spark, d, "customer").where("c_custkey <= 100").select(c("c_name").alias("value")), "text")
 
 
+@R.query("SELECT c_name AS value FROM customer")
+def io_text_round_trip_all(spark: SparkSession, d: str) -> DataFrame:
+    return files.round_trip(read(spark, d, "customer").select(c("c_name").alias("value")), "text")
+
+
 @R.query("SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders WHERE o_orderpriority = '2-HIGH'")
 def io_partitioned_pruning(spark: SparkSession, d: str) -> DataFrame:
     o = read(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")

@@ -113,6 +113,17 @@ def date_functions(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "orders").where("o_orderkey % 5 = 0").select("o_orderkey", F.trunc(c("o_orderdate").cast("date"), "month").alias("month"), F.date_sub(c("o_orderdate").cast("date"), 7).alias("week_before"))
 
 
+@R.query("WITH x AS (SELECT c_custkey, c_acctbal, nullif(c_mktsegment, 'BUILDING') AS seg FROM customer) SELECT c_custkey, seg, seg IS NULL AS missing FROM x WHERE seg IS NULL OR c_acctbal >= 0")
+def filter_is_null_all(spark: SparkSession, d: str) -> DataFrame:
+    x = read(spark, d, "customer").select("c_custkey", "c_acctbal", F.nullif(c("c_mktsegment"), F.lit("BUILDING")).alias("seg"))
+    return x.where(c("seg").isNull() | (c("c_acctbal") >= 0)).select("c_custkey", "seg", c("seg").isNull().alias("missing"))
+
+
+@R.query("SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, CAST(o_orderdate AS DATE) - 7 AS week_before FROM orders")
+def date_functions_all(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "orders").select("o_orderkey", F.trunc(c("o_orderdate").cast("date"), "month").alias("month"), F.date_sub(c("o_orderdate").cast("date"), 7).alias("week_before"))
+
+
 # ---- joins
 
 
@@ -139,6 +150,12 @@ def join_full(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "customer").where("c_custkey % 2 = 0").join(read(spark, d, "supplier").where("s_suppkey % 3 = 0"), c("c_custkey") == c("s_suppkey"), "full").select("c_custkey", "s_suppkey")
 
 
+@R.query("SELECT c_custkey, s_suppkey FROM customer FULL JOIN (SELECT s_suppkey, CASE WHEN s_acctbal >= 0 THEN s_suppkey END AS k FROM supplier) ON c_custkey = k")
+def join_full_all(spark: SparkSession, d: str) -> DataFrame:
+    s = read(spark, d, "supplier").select("s_suppkey", F.when(c("s_acctbal") >= 0, c("s_suppkey")).alias("k"))
+    return read(spark, d, "customer").join(s, c("c_custkey") == c("k"), "full").select("c_custkey", "s_suppkey")
+
+
 @R.query("SELECT r_name, n_name FROM region CROSS JOIN nation")
 def join_cross_small(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "region").crossJoin(read(spark, d, "nation")).select("r_name", "n_name")  # both tables are fixed in size
@@ -197,6 +214,14 @@ def join_null_safe(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, c("a_k").eqNullSafe(c("b_k"))).select("c_custkey", "s_suppkey")
 
 
+@R.query("""WITH a AS (SELECT nullif(c_nationkey, 3) AS k FROM customer), b AS (SELECT nullif(s_nationkey, 3) AS k FROM supplier)
+SELECT a.k AS nationkey, count(*) AS pairs FROM a JOIN b ON a.k IS NOT DISTINCT FROM b.k GROUP BY a.k""")
+def join_null_safe_all(spark: SparkSession, d: str) -> DataFrame:
+    counted = lambda t, k, n: read(spark, d, t).groupBy(F.nullif(c(k), F.lit(3)).alias(f"{n}_k")).agg(F.count(F.lit(1)).alias(n))  # noqa: E731  before the join, so that the NULL key is one row
+    a, b = counted("customer", "c_nationkey", "a"), counted("supplier", "s_nationkey", "b")
+    return a.join(b, c("a_k").eqNullSafe(c("b_k"))).select(c("a_k").alias("nationkey"), (c("a") * c("b")).alias("pairs"))
+
+
 @R.query("SELECT a.n_name AS n1, b.n_name AS n2 FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
 def join_self_double(spark: SparkSession, d: str) -> DataFrame:
     n = read(spark, d, "nation")
@@ -209,6 +234,12 @@ def join_cast_key(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "orders").where("o_orderkey % 10 = 0").join(k, c("o_custkey").cast("string") == c("k")).select("o_orderkey", "c_name")
 
 
+@R.query("SELECT o_orderkey, c_name FROM orders JOIN (SELECT c_name, CAST(c_custkey AS VARCHAR) AS k FROM customer) ON CAST(o_custkey AS VARCHAR) = k")
+def join_cast_key_all(spark: SparkSession, d: str) -> DataFrame:
+    k = read(spark, d, "customer").select("c_name", c("c_custkey").cast("string").alias("k"))
+    return read(spark, d, "orders").join(k, c("o_custkey").cast("string") == c("k")).select("o_orderkey", "c_name")
+
+
 @R.query("SELECT r_name, count(*) AS n_customers FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
 def join_broadcast_star(spark: SparkSession, d: str) -> DataFrame:
     n, r = read(spark, d, "nation"), read(spark, d, "region")  # 25 and 5 rows at any scale
@@ -468,6 +499,13 @@ def merge_upsert(spark: SparkSession, d: str) -> DataFrame:
     return dml.merge(x.where("k <= 1000"), x.where("k > 900").withColumn("v", -c("v")), ["k"])
 
 
+@R.query("""WITH t AS (SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_acctbal < 5000), s AS (SELECT c_custkey AS k, -c_acctbal AS v FROM customer WHERE c_acctbal >= 0)
+SELECT coalesce(s.k, t.k) AS k, CASE WHEN s.k IS NOT NULL THEN s.v ELSE t.v END AS v FROM t FULL JOIN s ON t.k = s.k""")
+def merge_upsert_all(spark: SparkSession, d: str) -> DataFrame:
+    x = read(spark, d, "customer").select(c("c_custkey").alias("k"), c("c_acctbal").alias("v"))
+    return dml.merge(x.where("v < 5000"), x.where("v >= 0").withColumn("v", -c("v")), ["k"])
+
+
 @R.query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01' UNION ALL SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate > (SELECT max(o_orderdate) FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01')")
 def incremental_append(spark: SparkSession, d: str) -> DataFrame:
     o = read(spark, d, "orders").select("o_orderkey", "o_orderdate")
