@@ -301,6 +301,23 @@ def test_pseudonyms_keep_format_link_and_undo():
     assert p.apply("4111 1111 1111 1111")[0] in new and pii.Pseudonyms(b"another").apply(text)[0] != new
 
 
+def test_pseudonyms_beside_other_groups(spark):
+    p = pii.Pseudonyms(b"secret key 12345")
+    texts = {
+        "4111 1111 1111 1111 12/27": "4111 1111 1111 1111", "4111111111111111 123": "4111111111111111", "4111-1111-1111-1111-123": "4111-1111-1111-1111",
+        "BE68 5390 0754 7034 USD 500": "BE68 5390 0754 7034", "no 77 4111 1111 1111 1111 12": "4111 1111 1111 1111",
+    }
+    for text, value in texts.items():
+        new, spans = p.apply(text)
+        assert [text[s:e] for s, e, _ in spans] == [value] and value not in new and len(new) == len(text)
+        assert p.apply(new, undo=True, spans=spans)[0] == text
+    odd = "١٢٣-٤٥-٦٧٨٩ and ٤١١١١١١١١١١١١١١١, 4111 1111 1111 1112"
+    assert p.apply(odd) == (odd, [])
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, odd, None])], "doc_id long, text string")
+    hidden = pii.pseudonymise(docs, b"k")
+    assert {r.doc_id: r.text for r in pii.pseudonymise(hidden, b"k", undo=True).collect()} == {r.doc_id: r.text for r in docs.collect()}
+
+
 def test_pii_on_odd_rows(odd, clashing, none):
     for frame in (odd, clashing):
         out = pii.pseudonymise(frame, b"k").collect()

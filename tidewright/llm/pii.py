@@ -7,8 +7,9 @@ Feistel network over that domain (cycle walking keeps it inside) and written bac
 country code and check digits stay valid. The permutation depends on the key and the kind only, so equal values get equal
 pseudonyms in all documents, different values different ones, and the key's holder can undo it.
 
-Each text is handled on its own, so nothing is dealt out. Overlapping finds: the earlier start wins, then the kind named
-first above.
+Each text is handled on its own, so nothing is dealt out. Overlapping finds: the earlier start wins, then the kind that
+stands first in PATTERNS, then the longer reading. What is not valid as a whole is read again without its last groups and then from
+the next character on. Digits are those of ASCII.
 
 Defined cases: null texts stay null with no finds; empty texts stay empty; repeated rows give repeated rows; an empty
 table gives no rows; other columns pass through.
@@ -30,6 +31,8 @@ from pyspark.sql import types as T
 from .common import tidy
 
 ROUNDS = 8
+#: What may stand between the groups of a value.
+SEPARATOR = regex.compile(r"[ \-]")
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 
@@ -94,16 +97,17 @@ class Pseudonyms:
     PATTERNS = [
         ("email", r"(?<![\w.+\-])[A-Za-z0-9][\w.+\-]*@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"),
         ("secret", r"(?<=[\"'])[0-9a-f]{24,128}(?=[\"'])"),
-        ("iban", r"(?<![\w])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\w])"),
-        ("ip", r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\w)"),
-        ("date", r"(?<![\w.\-/])(?:(?P<y>\d{4})(?P<s>[\-/.])(?P<m>\d{1,2})(?P=s)(?P<d>\d{1,2})|(?P<d2>\d{1,2})(?P<s2>[\-/.])(?P<m2>\d{1,2})(?P=s2)(?P<y2>\d{4}))(?![\w\-/]|\.\d)"),
-        ("ssn", r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])"),
-        ("phone", r"(?<![\w+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){2,4}(?!\w)|(?<![\w(+.\-])(?:\(\d{3}\) ?|\d{3}[.\-])\d{3}[.\-]\d{4}(?![\w\-])"),
-        ("card", r"(?<![\w\-])\d(?:[ \-]?\d){12,18}(?![\w\-])"),
+        ("iban", r"(?<![\w])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\w])"),
+        ("ip", r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?\w)"),
+        ("date", r"(?<![\w.\-/])(?:(?P<y>[0-9]{4})(?P<s>[\-/.])(?P<m>[0-9]{1,2})(?P=s)(?P<d>[0-9]{1,2})|(?P<d2>[0-9]{1,2})(?P<s2>[\-/.])(?P<m2>[0-9]{1,2})(?P=s2)(?P<y2>[0-9]{4}))(?![\w\-/]|\.[0-9])"),
+        ("ssn", r"(?<![\w\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w\-])"),
+        ("phone", r"(?<![\w+])\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .\-]?[0-9]{2,4}){2,4}(?!\w)|(?<![\w(+.\-])(?:\([0-9]{3}\) ?|[0-9]{3}[.\-])[0-9]{3}[.\-][0-9]{4}(?![\w\-])"),
+        ("card", r"(?<![\w\-])[0-9](?:[ \-]?[0-9]){12,18}(?![\w\-])"),
     ]
 
     def __init__(self, key: bytes):
         self.key = key
+        self.kinds = {k: regex.compile(f"(?P<{k}>{p})") for k, p in self.PATTERNS}
         self.find = regex.compile("|".join(f"(?P<{k}>{p})" for k, p in self.PATTERNS))
         self.may = regex.compile(r"[0-9@]")
         self.known: dict[tuple[str, int], Feistel] = {}
@@ -188,7 +192,7 @@ class Pseudonyms:
 
     def phone(self, m: regex.Match, undo: bool) -> str | None:
         s = m["phone"]
-        code = len(regex.match(r"\+\d{1,3}(?=\D)|\+\d|", s)[0])
+        code = len(regex.match(r"\+[0-9]{1,3}(?=[^0-9])|\+[0-9]|", s)[0])
         digits = _digits(s[code:])
         if not 6 <= len(digits) <= 14:
             return None
@@ -203,24 +207,56 @@ class Pseudonyms:
         new = f"{self.permute(f'card:{len(payload)}', 10 ** len(payload), int(payload), ok, undo):0{len(payload)}d}"
         return _refill(m["card"], new + luhn_digit(new))
 
-    def apply(self, text: str, undo: bool = False) -> tuple[str, list[tuple[int, int, str]]]:
-        """The text with pseudonyms, and start, end and kind of each find in the text as it was."""
+    def reading(self, text: str, start: int, undo: bool) -> tuple[int, str, str] | None:
+        """End, kind and new value of the first valid reading at start: kinds in their order, the whole match and then what is
+        left of it when groups at its end are left out."""
+        for kind, pattern in self.kinds.items():
+            whole = pattern.match(text, start)
+            if not whole:
+                continue
+            new = getattr(self, kind)(whole, undo)
+            if new is not None:
+                return whole.end(), kind, new
+            for gap in reversed(list(SEPARATOR.finditer(text, start, whole.end()))):
+                m = pattern.fullmatch(text, start, gap.start())
+                new = getattr(self, kind)(m, undo) if m else None
+                if new is not None:
+                    return gap.start(), kind, new
+        return None
+
+    def apply(self, text: str, undo: bool = False, spans: list[tuple[int, int, str]] | None = None) -> tuple[str, list[tuple[int, int, str]]]:
+        """The text with pseudonyms, and start, end and kind of each find in the text as it was. Where these are given, they
+        are taken and nothing is searched: the length of a value stays, and a pseudonym may have another valid reading
+        together with what stands behind it."""
+        out, found, end = [], [], 0
+        if spans is not None:
+            for start, stop, kind in spans:
+                m = self.kinds[kind].fullmatch(text, start, stop)
+                new = getattr(self, kind)(m, undo) if m else None
+                if new is not None:
+                    out += [text[end:start], new]
+                    end = stop
+                    found.append((start, stop, kind))
+            return "".join(out) + text[end:], found
         if not self.may.search(text):
             return text, []
-        out, spans, end = [], [], 0
-        for m in self.find.finditer(text):
-            kind = m.lastgroup if m.lastgroup in dict(self.PATTERNS) else next(k for k, _ in self.PATTERNS if m[k] is not None)
-            new = getattr(self, kind)(m, undo)
-            if new is not None:
-                out += [text[end : m.start()], new]
-                end = m.end()
-                spans.append((m.start(), end, kind))
-        return "".join(out) + text[end:], spans
+        at = self.find.search(text)
+        while at:
+            read = self.reading(text, at.start(), undo)
+            if read:
+                stop, kind, new = read
+                out += [text[end : at.start()], new]
+                found.append((at.start(), stop, kind))
+                end = stop
+            at = self.find.search(text, stop if read else at.start() + 1)
+        return "".join(out) + text[end:], found
 
 
 def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", undo: bool = False) -> DataFrame:
-    """docs with pseudonyms in text_col, and pii_spans (start, end, kind) of the text as it was."""
+    """docs with pseudonyms in text_col, and pii_spans (start, end, kind) of the text as it was. To undo, docs should still have
+    their pii_spans; without them the values are searched again."""
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
+    told = undo and isinstance(dict((f.name, f.dataType) for f in docs.schema.fields).get("pii_spans"), T.ArrayType)
     rest = [f for f in docs.schema.fields if f.name != "pii_spans"]
     schema = T.StructType([*rest, T.StructField("pii_spans", T.ArrayType(T._parse_datatype_string("start int, end int, kind string")))])
 
@@ -228,9 +264,11 @@ def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", undo: bool
         own = Pseudonyms(key)
         for batch in batches:
             names = batch.schema.names
-            made = [(None, []) if t is None else own.apply(t, undo) for t in batch.column(names.index(text_col)).to_pylist()]
+            known = batch.column(names.index("pii_spans")).to_pylist() if told else [None] * batch.num_rows
+            known = [k if k is None else [(x["start"], x["end"], x["kind"]) for x in k] for k in known]
+            made = [(None, []) if t is None else own.apply(t, undo, k) for t, k in zip(batch.column(names.index(text_col)).to_pylist(), known, strict=True)]
             cols = dict(zip(names, batch.columns, strict=True)) | {text_col: pa.array([x for x, _ in made], pa.string())}
             spans = pa.array([[{"start": s, "end": e, "kind": k} for s, e, k in x] for _, x in made], span)
             yield pa.RecordBatch.from_arrays([*(cols[f.name] for f in rest), spans], names=[*(f.name for f in rest), "pii_spans"])
 
-    return docs.select([f.name for f in rest]).mapInArrow(tidy(run), schema)
+    return docs.select([f.name for f in rest] + ["pii_spans"] * told).mapInArrow(tidy(run), schema)
