@@ -467,3 +467,15 @@ def test_fingerprints_on_odd_rows(odd, clashing, none, spark):
     assert fingerprint.edited(none).count() == 0
     one = fingerprint.edited(spark.createDataFrame([(1, "abcdefgh")], "doc_id long, text string")).first()
     assert one.edited_sha256 == hashlib.sha256(b"abcdefab").hexdigest()
+
+
+@pytest.mark.parametrize("share", [0.1, 0.4, 0.5, 0.7])
+def test_toxicity_at_any_share_of_labels(spark, share):
+    rng = random.Random(5)
+    plain = [f"calm{chr(97 + i)}{chr(97 + j)}" for i in range(12) for j in range(12)]
+    rows = [(i, " ".join(rng.choices(plain, k=20) + (["zorgle", "blickfang"] if i % 10 < share * 10 else [])), int(i % 10 < share * 10)) for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert any("zorgle" in k for k in model.lexicon)
+    got = {r.doc_id: r.tox_predicted for r in toxicity.score(df.select("doc_id", "text"), model).collect()}
+    assert got == {i: y for i, _, y in rows}

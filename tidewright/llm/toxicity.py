@@ -199,11 +199,11 @@ def learn_lexicon(rows: DataFrame, n_toxic: int, n_clean: int) -> dict[str, floa
     p = n_toxic / (n_toxic + n_clean)
     rate = F.col("n1") / F.col("n")
     other = F.when(rate < 1, (1 - rate) * F.log((1 - rate) / (1 - p))).otherwise(F.lit(0.0))
-    counts = counts.where("n1 >= 4").where(rate > 2 * p).withColumn("bits", F.col("n") * (rate * F.log(rate / p) + other))
+    counts = counts.where("n1 >= 4").where(rate > p).withColumn("bits", F.col("n") * (rate * F.log(rate / p) + other))
     odds = F.log((F.col("n1") + 0.5) / (n_toxic + 1)) - F.log((F.col("n") - F.col("n1") + 0.5) / (n_clean + 1))
     total = 2e5 + 50 * (n_toxic + n_clean)  # candidates grow with the rows
-    found = counts.where(F.col("bits") >= math.log(total / 0.05)).select("key", odds.alias("odds"), "bits").orderBy(F.desc("bits"), "key").limit(LEXICON_LIMIT)
-    return {k: float(w) for k, w, _ in found.collect() if w > 1.5}
+    found = counts.where(F.col("bits") >= math.log(total / 0.05)).where(odds > 1.5).select("key", odds.alias("odds"), "bits").orderBy(F.desc("bits"), "key").limit(LEXICON_LIMIT)
+    return {k: float(w) for k, w, _ in found.collect()}
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
