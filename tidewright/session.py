@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -14,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 _shipped: set[str] = set()
 #: Rows of an Arrow batch. Texts are kilobytes each, so this bounds what a Python worker and its task hold at once.
 ARROW_ROWS = "1000"
+#: And its bytes, where texts are longer than that.
+ARROW_BYTES = "4m"
 
 
 def build(app: str = "tidewright", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -30,6 +33,7 @@ def ship(spark: SparkSession) -> None:
     """Adds this package to the Python path of all workers, once a Spark application (the driver serves the archive), and sets
     the size of Arrow batches."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
@@ -47,10 +51,12 @@ _written: dict[str, SparkSession] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one of our own only where none is set."""
+    """The folder of spark.checkpoint.dir; a temporary one of our own only where none is set and all runs in one process."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidewright-checkpoint-"))
         root = sc.getCheckpointDir()
     return root.rstrip("/")
