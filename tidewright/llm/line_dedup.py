@@ -1,6 +1,6 @@
 """Line dedup by a deletion-neighbourhood join.
 
-Two lines are alike when their word sequences are equal, or when both have MIN_WORDS words or more and as many edits of a
+Two lines are alike when their word sequences are equal, or when both have `min_words` words or more and as many edits of a
 word (replaced, inserted or left out) as `allowed` turn one into the other: one for each words_per_edit words of the shorter
 line, and one at least, without an upper end. A line goes when an alike line stands earlier, by (doc_id, line
 number); the earliest of its kind stays. Blank lines stay.
@@ -34,9 +34,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import WORD_CLASS, materialise, tidy
+from . import shingles
 from .shingles import mixed, slices, word_bounds, word_hashes
 from .textfilter import bits_of, texts_near
 
+#: The default of min_words: an edit changes more of a shorter line than near copies differ; such lines are alike when equal.
 MIN_WORDS = 8
 #: One edit is allowed for each so many words of the shorter line; 2 * RUN at least, as else k edits could spoil all its runs.
 WORDS_PER_EDIT = 12
@@ -75,6 +77,21 @@ class Sequences:
         return mixed(form + np.uint64(end - start - 1))
 
 
+def line_slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int]]:
+    """As slices, with the number of the first line; a text longer than a slice comes in parts that end with lines."""
+    for first, last, b, offsets in slices(texts):
+        if last - first > 1 or len(b) <= 2 * shingles.SLICE_BYTES:
+            yield first, last, b, offsets, 0
+            continue
+        feeds = np.flatnonzero(b == 10) + 1
+        start = passed = 0
+        while start < len(b):
+            k = int(np.searchsorted(feeds, start + shingles.SLICE_BYTES))
+            end = int(feeds[k]) if k < len(feeds) else len(b)
+            yield first, last, b[start:end], np.array([0, end - start]), passed
+            passed, start = k + 1, end
+
+
 def line_words(b: np.ndarray, offsets: np.ndarray) -> tuple[Sequences, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of one slice: its word hashes, and for each line that has words its row, line number, first word and word after."""
     starts, ends = word_bounds(b, offsets)
@@ -90,19 +107,20 @@ def line_words(b: np.ndarray, offsets: np.ndarray) -> tuple[Sequences, np.ndarra
     return words, row[some], number[some], first[some], after[some]
 
 
-def lines(docs: DataFrame) -> DataFrame:
+def lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, line_no, words, line (hash) and the half keys p1, p2, s1, s2 of every line that has words."""
     names = ["doc_id", "line_no", "words", "line", "p1", "p2", "s1", "s2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for at, _, b, offsets in slices(batch.column(1)):
+            for at, _, b, offsets, passed in line_slices(batch.column(1)):
                 seq, row, number, s, e = line_words(b, offsets)
+                number += passed
                 n = e - s
                 if not len(n):
                     continue
-                long = n >= MIN_WORDS
+                long = n >= min_words
                 keys = []
                 for size, tag, head in (((n // 2), _PREFIX, True), (((n - 1) // 2), _PREFIX, True), (((n + 1) // 2), _SUFFIX, False), ((n // 2), _SUFFIX, False)):
                     part = seq.hashed(s, s + size) if head else seq.hashed(e - size, e)
@@ -123,15 +141,14 @@ def neighbourhoods(wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts, asked = batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()
-            for at, last, b, offsets in slices(texts):
+            for at, last, b, offsets, passed in line_slices(texts):
                 seq, rows, number, s, e = line_words(b, offsets)
                 place = {(r, k): i for i, (r, k) in enumerate(zip(rows.tolist(), number.tolist(), strict=True))}
-                raw = b.tobytes()
                 kinds, keys, made = [], [], []
                 for row in range(at, last):
                     text = None
                     for line in asked[row]:
-                        i = place.get((row - at, line["line_no"]))
+                        i = place.get((row - at, line["line_no"] - passed))
                         start, end = (int(s[i]), int(e[i])) if i is not None else (0, 0)
                         if i is None or seq.hashed(s[i : i + 1], e[i : i + 1]).view(np.int64)[0] != line["line"]:
                             continue  # another row of the same doc_id
@@ -143,10 +160,10 @@ def neighbourhoods(wanted: DataFrame) -> DataFrame:
                         same = mixed(less + _SAME_PLACE + (places - start).astype(np.uint64) * _STEP)
                         fewer = np.unique(mixed(less + _ONE_LESS))
                         whole = mixed(seq.hashed(s[i : i + 1], e[i : i + 1]) + _ONE_LESS)
-                        text = raw[offsets[row - at] : offsets[row - at + 1]].decode().split("\n") if text is None else text
+                        text = b[offsets[row - at] : offsets[row - at + 1]].tobytes().decode().split("\n") if text is None else text
                         kinds.append(np.repeat(np.array([0, 1, 2], np.int8), [len(same), len(fewer), 1]))
                         keys.append(np.concatenate([same, fewer, whole]))
-                        made.append((line["line"], ids[row], line["line_no"], text[line["line_no"]], len(keys[-1])))
+                        made.append((line["line"], ids[row], line["line_no"], text[line["line_no"] - passed], len(keys[-1])))
                 if not made:
                     continue
                 times = [m[4] for m in made]
@@ -162,9 +179,9 @@ def neighbourhoods(wanted: DataFrame) -> DataFrame:
     return wanted.mapInArrow(tidy(run), out)
 
 
-def allowed(words: int, words_per_edit: int = WORDS_PER_EDIT) -> int:
+def allowed(words: int, words_per_edit: int = WORDS_PER_EDIT, min_words: int = MIN_WORDS) -> int:
     """Edits that make two lines alike, of which the shorter has so many words."""
-    return max(1, words // words_per_edit) if words >= MIN_WORDS else 0
+    return max(1, words // words_per_edit) if words >= min_words else 0
 
 
 def edits(a: list[str], b: list[str], limit: int = 1) -> int:
@@ -198,8 +215,9 @@ def runs(docs: DataFrame, words_per_edit: int, among=None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for at, _, b, offsets in slices(batch.column(1)):
+            for at, _, b, offsets, passed in line_slices(batch.column(1)):
                 seq, row, number, s, e = line_words(b, offsets)
+                number += passed
                 long = e - s >= 2 * words_per_edit
                 row, number, s, e = row[long], number[long], s[long], e[long]
                 if not len(s):
@@ -230,22 +248,23 @@ def contents(wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, asked = batch.column(1), batch.column(2).to_pylist()
-            for at, last, b, offsets in slices(texts):
+            for at, last, b, offsets, passed in line_slices(texts):
                 seq, rows, number, s, e = line_words(b, offsets)
                 hashes = dict(zip(zip(rows.tolist(), number.tolist(), strict=True), seq.hashed(s, e).view(np.int64).tolist(), strict=True))
                 lines_, found = [], []
                 for row in range(at, last):
-                    text = texts[row].as_py().split("\n")
+                    text = None
                     for line in asked[row]:
-                        if hashes.get((row - at, line["line_no"])) == line["line"]:  # else another row of the same doc_id
+                        if hashes.get((row - at, line["line_no"] - passed)) == line["line"]:  # else another part, or another row of the same doc_id
+                            text = b[offsets[row - at] : offsets[row - at + 1]].tobytes().decode().split("\n") if text is None else text
                             lines_.append(line["line"])
-                            found.append(text[line["line_no"]])
+                            found.append(text[line["line_no"] - passed])
                 yield pa.RecordBatch.from_arrays([pa.array(lines_, pa.int64()), pa.array(found, pa.string())], names=["line", "content"])
 
     return wanted.mapInArrow(tidy(run), "line long, content string")
 
 
-def verified(pairs: DataFrame, words_per_edit: int) -> DataFrame:
+def verified(pairs: DataFrame, words_per_edit: int, min_words: int) -> DataFrame:
     """line: those of line, content, earlier (two texts) that are alike."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,14 +272,14 @@ def verified(pairs: DataFrame, words_per_edit: int) -> DataFrame:
             same = []
             for x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 a, b = WORD.findall(x), WORD.findall(y)
-                limit = allowed(min(len(a), len(b)), words_per_edit)
+                limit = allowed(min(len(a), len(b)), words_per_edit, min_words)
                 same.append(edits(a, b, limit) <= limit)
             yield pa.RecordBatch.from_arrays([batch.column(0)], names=["line"]).filter(pa.array(same, pa.bool_()))
 
     return pairs.select("line", "content", "earlier").mapInArrow(tidy(verify), "line long")
 
 
-def doomed_by_more(docs: DataFrame, gone: DataFrame, words_per_edit: int) -> DataFrame:
+def doomed_by_more(docs: DataFrame, gone: DataFrame, words_per_edit: int, min_words: int) -> DataFrame:
     """line: those not in `gone` that have an earlier line within the edits allowed, where these are two or more."""
     shared = runs(docs, words_per_edit).groupBy("key").agg(F.min("line").alias("x"), F.max("line").alias("y")).where("x <> y").select("key")
     shared = materialise(shared, "lines-runs-shared")
@@ -274,7 +293,7 @@ def doomed_by_more(docs: DataFrame, gone: DataFrame, words_per_edit: int) -> Dat
         asked = materialise(asked, f"lines-pairs-asked-{label}")
         content = materialise(contents(texts_near(docs, asked.select("doc_id")).join(asked, "doc_id").select("doc_id", "text", "asked")).dropDuplicates(["line"]), f"lines-pairs-texts-{label}")
         both = pairs.select("own.line", F.col("other.line").alias("other")).join(content, "line").join(content.select(F.col("line").alias("other"), F.col("content").alias("earlier")), "other")
-        return materialise(verified(both, words_per_edit).distinct(), f"lines-pairs-alike-{label}")
+        return materialise(verified(both, words_per_edit, min_words).distinct(), f"lines-pairs-alike-{label}")
 
     left = members.select("key", "words", "own", F.col("own.line").alias("line")).join(gone, "line", "left_anti")
     earliest = members.groupBy("key", "words").agg(F.min("own").alias("other"))
@@ -285,9 +304,9 @@ def doomed_by_more(docs: DataFrame, gone: DataFrame, words_per_edit: int) -> Dat
     return first.union(alike(left.join(others, "key").where(fits & (F.col("other") < F.col("own"))), "all"))
 
 
-def doomed(kept: DataFrame, docs: DataFrame, words_per_edit: int) -> DataFrame:
+def doomed(kept: DataFrame, docs: DataFrame, words_per_edit: int, min_words: int) -> DataFrame:
     """line: those of the distinct lines `kept` that have an earlier line one edit away."""
-    halves = kept.where(F.col("words") >= MIN_WORDS).select("line", "doc_id", "line_no", F.explode(F.array(*[F.struct(F.col(k).alias("key"), F.lit(k[0] == "p").alias("front")) for k in ("p1", "p2", "s1", "s2")])).alias("h"))
+    halves = kept.where(F.col("words") >= min_words).select("line", "doc_id", "line_no", F.explode(F.array(*[F.struct(F.col(k).alias("key"), F.lit(k[0] == "p").alias("front")) for k in ("p1", "p2", "s1", "s2")])).alias("h"))
     halves = halves.select("line", "doc_id", "line_no", "h.key", "h.front").where("key IS NOT NULL")
     shared = halves.groupBy("key").agg(F.min("line").alias("x"), F.max("line").alias("y")).where("x <> y").select("key")
     # `front`: it shares a front half, so the edit may be in the rest; `end`: the other way round
@@ -306,18 +325,20 @@ def doomed(kept: DataFrame, docs: DataFrame, words_per_edit: int) -> DataFrame:
     content = near.where("kind = 2").select("line", "content")  # not made distinct, so that the joins may be split at a hot line
     pairs = pairs.select("line", F.col("other.line").alias("other")).join(content, "line").join(content.select(F.col("line").alias("other"), F.col("content").alias("earlier")), "other")
 
-    return verified(pairs, words_per_edit)
+    return verified(pairs, words_per_edit, min_words)
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_edit: int = WORDS_PER_EDIT) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_edit: int = WORDS_PER_EDIT, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the lines left in text_col, and n_lines and n_kept (lines that have words, before and after)."""
     if words_per_edit < 2 * RUN:
         raise ValueError(f"words_per_edit must be {2 * RUN} or more")
+    if min_words < 2:
+        raise ValueError("min_words must be 2 or more: a line of one word has no half")
     slim = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    found = lines(slim).groupBy("line").agg(F.min(F.struct("doc_id", "line_no", "words", "p1", "p2", "s1", "s2")).alias("x")).select("line", "x.*")
+    found = lines(slim, min_words).groupBy("line").agg(F.min(F.struct("doc_id", "line_no", "words", "p1", "p2", "s1", "s2")).alias("x")).select("line", "x.*")
     found = materialise(found, "lines")
-    gone = materialise(doomed(found, slim, words_per_edit), "lines-gone")
-    gone = gone.union(doomed_by_more(slim, gone, words_per_edit))
+    gone = materialise(doomed(found, slim, words_per_edit, min_words), "lines-gone")
+    gone = gone.union(doomed_by_more(slim, gone, words_per_edit, min_words))
     kept = found.select("line", "doc_id", "line_no").join(gone, "line", "left_anti")
     kept = kept.groupBy("doc_id").agg(F.collect_list("line_no").alias("line_dedup_kept")).withColumnRenamed("doc_id", "line_dedup_id")
     joined = docs.join(kept, docs[id_col].cast("long") == kept["line_dedup_id"], "left").drop("line_dedup_id")

@@ -1,7 +1,9 @@
 """Word shingles of whole Arrow columns as 64-bit hashes, without a Python loop over words.
 
 Word hashes come from one prefix sum of a polynomial over the bytes (modulo 2^64, base odd and so invertible); a shingle's
-hash is a mixed linear form of its words' hashes. Texts are taken in slices of about SLICE_BYTES to bound memory.
+hash is a mixed linear form of its words' hashes. Texts are taken in slices of about SLICE_BYTES, and their bytes are hashed
+CHUNK_BYTES at once, so what is held besides a slice's words does not grow with a text; a text longer than a slice takes about
+ten times its length.
 """
 
 from __future__ import annotations
@@ -12,12 +14,22 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
+CHUNK_BYTES = 1 << 17
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _FORM = [np.uint64(x) for x in (1, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165)]
 
 
+def _powers(x: np.uint64) -> np.ndarray:
+    out = np.full(CHUNK_BYTES + 1, x, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_UP, _DOWN = _powers(_BASE), _powers(_BACK)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64."""
     x = x.astype(np.uint64)
@@ -58,17 +70,32 @@ def word_bounds(b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def word_hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    powers = np.full(len(b) + 1, _BASE, np.uint64)
-    powers[0] = 1
-    np.multiply.accumulate(powers, out=powers)
-    total = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * powers[:-1], out=total[1:])
-    back = np.full(len(b) + 1, _BACK, np.uint64)
-    back[0] = 1
-    np.multiply.accumulate(back, out=back)
-    return mixed((total[ends] - total[starts]) * back[starts])
+    """Of each word: the mixed sum of (byte + 1) * BASE^place. Words are taken as many as end within CHUNK_BYTES."""
+    out = np.zeros(len(starts), np.uint64)
+    total = np.zeros(CHUNK_BYTES + 1, np.uint64)
+    first = 0
+    while first < len(starts):
+        origin = starts[first]
+        after = int(np.searchsorted(ends, origin + CHUNK_BYTES, side="right"))
+        if after == first:  # one word longer than a chunk
+            out[first] = _long_word(b[origin : ends[first]])
+            first += 1
+            continue
+        n = int(ends[after - 1] - origin)
+        np.cumsum((b[origin : origin + n].astype(np.uint64) + np.uint64(1)) * _UP[:n], out=total[1 : n + 1])
+        begin = starts[first:after] - origin
+        out[first:after] = (total[ends[first:after] - origin] - total[begin]) * _DOWN[begin]
+        first = after
+    return mixed(out)
+
+
+def _long_word(b: np.ndarray) -> np.uint64:
+    total, lift = np.zeros(1, np.uint64), np.ones(1, np.uint64)
+    for k in range(0, len(b), CHUNK_BYTES):
+        part = b[k : k + CHUNK_BYTES].astype(np.uint64) + np.uint64(1)
+        total += lift * (part * _UP[: len(part)]).sum(dtype=np.uint64)
+        lift *= _UP[CHUNK_BYTES]
+    return total[0]
 
 
 def lower_ascii(b: np.ndarray) -> np.ndarray:
