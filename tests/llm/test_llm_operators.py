@@ -351,6 +351,33 @@ def test_top_k_is_exact(spark, dim, scale):
     assert got == want and got[420] == [(440, got[420][0][1])]
 
 
+def test_the_file_spares_exact_reads(spark):
+    """Clashing columns, copies, and far fewer exact vectors read than the queries have candidates."""
+    rng = np.random.default_rng(11)
+    rows = [(i, [float(x) for x in rng.normal(0, 0.125, 48)]) for i in range(3000)] + [(5000 + i, [0.5] * 48) for i in range(500)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({c: F.lit("mine") for c in ("v", "key", "times", "upper", "part", "salt", "query_id", "score", "place")})
+    queries = frame.where("vec_id % 20 = 0")
+    counts: dict = {}
+    got: dict = {}
+    for r in vafile.top_k(frame, queries, k=7, counts=counts).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got == brute_top([(i, np.float32(v).tolist()) for i, v in rows], 7, 20)
+    pairs = len(got) * (len(rows) - 1)
+    assert counts["read"] <= counts["candidates"] < pairs / 5 and counts["read"] < pairs / 20
+    exact = vafile.usable(frame, "vec_id", "embedding").withColumn("key", F.col("vec_id"))
+    block = vafile.approximation_file(exact.coalesce(1)).first()
+    assert len(block.cells) == len(block.ids) // 8 * 48 and max(block.cells) < vafile.CELLS  # a byte a component, no exact value
+
+
+def test_bounds_hold_the_scores():
+    rng = np.random.default_rng(1)
+    for scale in (3, 300, 10**7):
+        v, q = (rng.integers(-scale, scale, (n, 9)) for n in (200, 30))
+        lower, upper = vafile.bounds(q, *vafile.approximate(v))
+        score = q @ v.T
+        assert (lower <= score).all() and (score <= upper).all()
+
+
 def test_top_k_of_repeated_rows(spark):
     frame = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(40)] * 2, "vec_id long, embedding array<float>")
     out = vafile.top_k(frame, frame.where("vec_id % 20 = 0"), k=5).collect()

@@ -1,4 +1,4 @@
-"""Reading the texts of some documents without dealing out the texts of all."""
+"""Reading some rows of a table without dealing out all of them."""
 
 from __future__ import annotations
 
@@ -24,17 +24,23 @@ def bits_of(df: DataFrame, hashed: Column) -> np.ndarray:
     return filled.view(np.uint64)
 
 
-def texts_near(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id and text of every row of docs whose doc_id is in ids (one column, doc_id), and of few others: a bit filter of
-    fixed size (FILTER_BITS, so its broadcast never grows) is tested where the texts are read. A join must follow."""
-    shared = docs.sparkSession.sparkContext.broadcast(bits_of(ids, F.xxhash64("doc_id")))
+def rows_near(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """Every row of `rows` whose `column` is in `wanted` (one column of that name), and few others: a bit filter of fixed size
+    (FILTER_BITS, so its broadcast never grows) is tested where the rows are read. A join must follow."""
+    shared = rows.sparkSession.sparkContext.broadcast(bits_of(wanted, F.xxhash64(column)))
+    own_columns = rows.columns
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            at = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            at = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(np.int64)
             hit = (own[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], names=["doc_id", "text"]).filter(pa.array(hit.astype(bool)))
+            yield batch.select(own_columns).filter(pa.array(hit.astype(bool)))
+
+    keyed = rows.where(F.col(column).isNotNull())
+    return keyed.withColumn("filter_word", F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))).mapInArrow(tidy(near), keyed.schema)
 
-    keyed = docs.where("doc_id IS NOT NULL").select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("word"), "text")
-    return keyed.mapInArrow(tidy(near), "doc_id long, text string")
+
+def texts_near(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of the rows whose doc_id is in ids (one column, doc_id), and of few others."""
+    return rows_near(docs.select("doc_id", "text"), "doc_id", ids)
