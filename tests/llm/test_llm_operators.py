@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import random
 import re
@@ -318,6 +319,99 @@ def test_pseudonyms_beside_other_groups(spark):
     assert {r.doc_id: r.text for r in pii.pseudonymise(hidden, b"k", undo=True).collect()} == {r.doc_id: r.text for r in docs.collect()}
 
 
+def test_equal_values_stay_linked_over_their_forms():
+    p = pii.Pseudonyms(b"secret key 12345")
+    one = lambda t: p.apply(t)[0]
+    digits = lambda t: re.sub(r"[^0-9+]", "", t)
+    phones = {digits(one(t)) for t in ("+44 20 7946 0958", "+442079460958", "+44-20-7946-0958", "+44 (0)20 7946 0958".replace("(0)", ""))}
+    assert len(phones) == 1 and phones.pop().startswith("+44") and "+442079460958" not in one("+442079460958")
+    assert digits(one("+44 (0)20 7946 0958"))[:4] == "+440" and digits(one("+44 (0)20 7946 0958"))[4:] == digits(one("+442079460958"))[3:]
+    assert digits(one("(555) 123-4567")) == digits(one("+1 555 123 4567"))[2:] == digits(one("555.123.4567"))
+    days = {(r[1] or r[6], int(r[2] or r[5]), int(r[3] or r[4])) for r in (re.fullmatch(r"(\d{4})-(\d+)-(\d+)|(\d+)\.(\d+)\.(\d{4})", one(t)) for t in ("1999-02-28", "28.02.1999", "1999-2-28", "28.2.1999"))}
+    assert len(days) == 1 and days != {("1999", 2, 28)}
+    assert one("05/28/1999").split("/")[::2][0] == f"{next(iter([*p.apply('1999-05-28')[0].split('-')][1:2]))}"  # month first, as no month has 28
+    assert one("Ann.B@x.org").lower() == one("ann.b@X.org".replace("X", "x"))
+
+
+def test_no_value_is_its_own_and_every_letter_changes():
+    p = pii.Pseudonyms(b"secret key 12345")
+    for local in [*"abcdefghijklmnopqrstuvwxyz0123456789", *(a + b for a in "abc" for b in "xyz019"), "élise.martin", "annélise", "Ünal", "яна", "Ωmega", "张伟", "ß"]:
+        text = f"{local}@x.org"
+        new, spans = p.apply(text)
+        assert new != text and len(new) == len(text) and len(spans) == 1 and p.apply(new, undo=True)[0] == text
+        assert [c.isupper() for c in new] == [c.isupper() for c in text]
+    changed = {p.apply(f"{a}{b}@x.org")[0] for a in "abcdefghijklmnopqrstuvwxyz" for b in "0123456789"}
+    assert len(changed) == 260
+    assert all(x != y for x, y in zip("annélise"[3:4], p.apply("annélise@x.org")[0][3:4], strict=True)) or p.apply("annélise@x.org")[0][:8] != "annélise"
+
+
+def plain_finds(text):
+    """Every place from the left, every kind in order, every end from the right; validity told by the definitions."""
+
+    def luhn(d):
+        return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0 and len(set(d)) > 1
+
+    def valid(kind, v):
+        d = re.sub("[^0-9]", "", v)
+        if kind == "card":
+            return 13 <= len(d) <= 19 and re.fullmatch(r"[0-9]([ -]?[0-9])*", v) and luhn(d)
+        if kind == "iban":
+            t = v.replace(" ", "")
+            return re.fullmatch(r"[A-Z]{2}[0-9]{2}( ?[A-Z0-9]{4}){2,7}( ?[A-Z0-9]{1,3})?", v) and int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97 == 1
+        if kind == "ssn":
+            return re.fullmatch(r"[0-9]{3}-[0-9]{2}-[0-9]{4}", v) and v[:3] not in ("000", "666") and v[0] != "9" and v[4:6] != "00" and v[7:] != "0000"
+        if kind == "ip":
+            return re.fullmatch(r"[0-9]+(\.[0-9]+){3}", v) and all(str(int(x)) == x and int(x) < 256 for x in v.split("."))
+        if kind == "date":
+            for form in ("%Y-%m-%d", "%d.%m.%Y", "%d/%m/%Y", "%m/%d/%Y"):
+                try:
+                    return 1900 <= datetime.datetime.strptime(v, form).year <= 2099
+                except ValueError:
+                    pass
+        return False
+
+    out, at = [], 0
+    while at < len(text):
+        hit = None
+        if not (at and re.match(r"[\w.\-/]", text[at - 1])):
+            for kind in ("iban", "ip", "date", "ssn", "card"):
+                for end in range(min(len(text), at + 42), at, -1):
+                    if not re.match(r"[\w\-/]|\.[0-9]", text[end:]) and valid(kind, text[at:end]):
+                        hit = (at, end, kind)
+                        break
+                if hit:
+                    break
+        if hit:
+            out.append(hit)
+        at = hit[1] if hit else at + 1
+    return out
+
+
+def test_finds_equal_a_plain_search(spark):
+    rng = random.Random(12)
+
+    def card():
+        d = "".join(rng.choice("0123456789") for _ in range(15))
+        return d + next(c for c in "0123456789" if sum(sum(divmod(int(x) * (1 + i % 2), 10)) for i, x in enumerate(reversed(d + c))) % 10 == 0)
+
+    def piece():
+        c = card()
+        return rng.choice([c, " ".join(c[i : i + 4] for i in range(0, 16, 4)), c[:-1] + str((int(c[-1]) + 1) % 10), f"{rng.randint(1, 999):03d}-{rng.randint(0, 99):02d}-{rng.randint(0, 9999):04d}", f"{rng.randint(0, 299)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}", f"{rng.randint(1890, 2110)}-{rng.randint(1, 13):02d}-{rng.randint(1, 31):02d}", f"{rng.randint(1, 31):02d}.{rng.randint(1, 12):02d}.{rng.randint(1990, 2020)}", "DE89 3704 0044 0532 0130 00", "DE89370400440532013001", "word", "and so", "x9"])
+
+    rows = [(i, ", ".join(piece() for _ in range(rng.randint(0, 6)))) for i in range(200)] + [(200, None), (201, "")]
+    out = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), b"k").collect()}
+    met, back = {}, {}
+    for i, t in rows:
+        spans = [(s.start, s.end, s.kind) for s in out[i].pii_spans]
+        assert spans == plain_finds(t or ""), t
+        for s, e, kind in spans:
+            plain = lambda v: "/".join(sorted(re.split(r"[-.]", v))) if kind == "date" else re.sub("[^A-Z0-9.]", "", v)  # noqa: E731, B023
+            old, new = (kind, plain(t[s:e])), (kind, plain(out[i].text[s:e]))
+            assert plain_finds(out[i].text[s:e]) == [(0, e - s, kind)] and old != new
+            assert met.setdefault(old, new) == new and back.setdefault(new, old) == old
+    assert len(met) > 150
+
+
 def test_pii_on_odd_rows(odd, clashing, none):
     for frame in (odd, clashing):
         out = pii.pseudonymise(frame, b"k").collect()

@@ -4,8 +4,15 @@ Found and validated: payment card numbers (Luhn), bank account numbers (ISO 1361
 (valid ranges), telephone numbers in international or North American form, IPv4 addresses, calendar dates, e-mail
 addresses and quoted secrets of hexadecimal digits. A value is read as a number of its format's domain, permuted by a
 Feistel network over that domain (cycle walking keeps it inside) and written back in the same format: separators, length,
-country code and check digits stay valid. The permutation depends on the key and the kind only, so equal values get equal
-pseudonyms in all documents, different values different ones, and the key's holder can undo it.
+country code and check digits stay valid. What is permuted is the value, not its writing: a telephone number with or without
+separators, a date in any order and width, an address in any case get one pseudonym each, written in the form that was
+found. The permutation depends on the key and the kind of value only, so equal values stay linked over all documents,
+different values get different pseudonyms, no value is its own, and the key's holder can undo it.
+
+What stays: lengths, a mail's domain, a telephone's country code (by the numbering plan), an account's country and letters, and of a
+date whether month and day have one digit or two and whether the day may be read as a month, so that each form that can
+write the date can write its pseudonym. Letters of a mail's local part change among the letters of their kind on the same
+page of 256 code points; a local part with nothing to change (such as "_") is left.
 
 Each text is handled on its own, so nothing is dealt out. Overlapping finds: the earlier start wins, then the kind that
 stands first in PATTERNS, then the longer reading. What is not valid as a whole is read again without its last groups and then from
@@ -17,10 +24,13 @@ table gives no rows; other columns pass through.
 
 from __future__ import annotations
 
+import bisect
 import calendar
 import datetime
+import functools
 import hashlib
 import math
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -34,6 +44,8 @@ ROUNDS = 8
 #: What may stand between the groups of a value.
 SEPARATOR = regex.compile(r"[ \-]")
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
+#: The country codes of one and of two digits in the international numbering plan; all others have three.
+SHORT_CODES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
 
 
 class Feistel:
@@ -42,7 +54,7 @@ class Feistel:
     def __init__(self, key: bytes, tweak: str, n: int):
         self.n, self.a = n, max(1, math.isqrt(max(0, n - 1)) + 1)
         self.b = max(1, -(-n // self.a))
-        self.base = hashlib.blake2b(tweak.encode(), key=key, digest_size=16)
+        self.base = hashlib.blake2b(tweak.encode(), key=key, digest_size=64)
 
     def _round(self, i: int, x: int) -> int:
         h = self.base.copy()
@@ -67,12 +79,19 @@ class Feistel:
                 left = (left - self._round(i, right)) % self.a
         return left * self.b + right
 
+    def _inside(self, x: int, step: Callable[[int], int]) -> int:
+        x = step(x)
+        while x >= self.n:
+            x = step(x)
+        return x
+
     def walk(self, x: int, ok: Callable[[int], bool] = lambda _: True, undo: bool = False) -> int:
-        """Steps until the value is inside the domain and ok; x itself must be both."""
-        step = self._back if undo else self._once
+        """The next value that is ok on the one cycle that the network makes of all values: there, one step further, and back
+        again. So no value is its own unless it is the only one. x itself must be in the domain and ok."""
+        turn = -1 if undo else 1
         while True:
-            x = step(x)
-            if x < self.n and ok(x):
+            x = self._inside((self._inside(x, self._once) + turn) % self.n, self._back)
+            if ok(x):
                 return x
 
 
@@ -81,6 +100,29 @@ def luhn_digit(payload: str) -> str:
     return str(-total % 10)
 
 
+@functools.cache
+def alphabet(c: str) -> str:
+    """The characters that c, a lower-case or caseless one, may become; empty if it stays."""
+    if c.isascii():
+        return "abcdefghijklmnopqrstuvwxyz" if c.isalpha() else "0123456789" if c.isdigit() else ""
+    kind = unicodedata.category(c)
+    if kind not in ("Ll", "Lo", "Lm", "Nd"):
+        return ""
+    cased = lambda x: len(x.upper()) == 1 and x.upper() != x == x.upper().lower()  # noqa: E731  has a capital of its own
+    page = map(chr, range(ord(c) & ~0xFF, (ord(c) | 0xFF) + 1))
+    return "".join(x for x in page if unicodedata.category(x) == kind and not x.isascii() and cased(x) == cased(c))
+
+
+@functools.cache
+def dates_of(kind: tuple[bool, int]) -> list[int]:
+    """Ordinals of the dates of one kind, ascending."""
+    return [k for k in range(FIRST_DAY, LAST_DAY + 1) if date_kind(datetime.date.fromordinal(k)) == kind]
+
+
+def date_kind(d: datetime.date) -> tuple[bool, int]:
+    return d.month < 10, (d.day >= 10) + (d.day > 12)
+
+
 def _digits(s: str) -> str:
     return "".join(c for c in s if c.isascii() and c.isdigit())
 
@@ -95,7 +137,7 @@ class Pseudonyms:
     """Finds and permutes the kinds. A handler gets the match and the direction; it gives the new value, or None if the value isn't valid."""
 
     PATTERNS = [
-        ("email", r"(?<![\w.+\-])[A-Za-z0-9][\w.+\-]*@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"),
+        ("email", r"(?<![\w.+\-])\w[\w.+\-]*@[\w\-]+(?:\.[\w\-]+)*\.\p{L}{2,}"),
         ("secret", r"(?<=[\"'])[0-9a-f]{24,128}(?=[\"'])"),
         ("iban", r"(?<![\w])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\w])"),
         ("ip", r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?\w)"),
@@ -117,19 +159,20 @@ class Pseudonyms:
         return f.walk(x, ok, undo)
 
     def email(self, m: regex.Match, undo: bool) -> str:
-        """The local part, letters and digits each within their class; the domain stays."""
+        """The local part, letters and digits each within their alphabet; the domain stays."""
         local, domain = m["email"].split("@")
-        sizes = [26 if c.isascii() and c.isalpha() else 10 if c.isascii() and c.isdigit() else 0 for c in local]
+        plain = [c.lower() if len(c.lower()) == 1 else c for c in local]
+        letters = [alphabet(c) for c in plain]
         n, x = 1, 0
-        for c, size in zip(local.lower(), sizes, strict=True):
-            if size:
-                n, x = n * size, x * size + (ord(c) - (97 if size == 26 else 48))
-        x = self.permute(f"email:{sizes}", n, x, undo=undo)
+        for c, own in zip(plain, letters, strict=True):
+            if own:
+                n, x = n * len(own), x * len(own) + own.index(c)
+        x = self.permute(f"email:{[own[:1] and (len(own), own[0]) for own in letters]}", n, x, undo=undo)
         out = []
-        for c, size in zip(reversed(local), reversed(sizes), strict=True):
-            if size:
-                x, d = divmod(x, size)
-                c = (chr(97 + d).upper() if c.isupper() else chr(97 + d)) if size == 26 else chr(48 + d)
+        for c, low, own in zip(reversed(local), reversed(plain), reversed(letters), strict=True):
+            if own:
+                x, d = divmod(x, len(own))
+                c = own[d].upper() if c != low else own[d]
             out.append(c)
         return "".join(reversed(out)) + "@" + domain
 
@@ -154,8 +197,16 @@ class Pseudonyms:
         parts = m["ip"].split(".")
         if any(int(p) > 255 or (len(p) > 1 and p[0] == "0") for p in parts):
             return None
-        x = self.permute("ip", 1 << 32, int.from_bytes(bytes(map(int, parts)), "big"), undo=undo)
-        return ".".join(map(str, x.to_bytes(4, "big")))
+        low, size = zip(*({1: (0, 10), 2: (10, 90), 3: (100, 156)}[len(p)] for p in parts), strict=True)  # each keeps its width
+        x = 0
+        for p, least, many in zip(parts, low, size, strict=True):
+            x = x * many + int(p) - least
+        x = self.permute(f"ip:{size}", math.prod(size), x, undo=undo)
+        out = []
+        for least, many in zip(reversed(low), reversed(size), strict=True):
+            x, d = divmod(x, many)
+            out.append(str(least + d))
+        return ".".join(reversed(out))
 
     def date(self, m: regex.Match, undo: bool) -> str | None:
         first = m["y"] is not None
@@ -168,17 +219,10 @@ class Pseudonyms:
         if not (1900 <= year <= 2099 and 1 <= month <= 12 and 1 <= day <= calendar.monthrange(year, month)[1]):
             return None
 
-        def fits(k: int) -> bool:  # what is written must read back the same way: same widths, same order of day and month
-            t = datetime.date.fromordinal(FIRST_DAY + k)
-            wide = lambda new, old: len(str(new)) == 2 or len(old) == 2 if len(old) == 2 else new < 10
-            if first:
-                return wide(t.month, mo) and wide(t.day, d)
-            a, b = (t.month, t.day) if swapped else (t.day, t.month)
-            return wide(a, d) and wide(b, mo) and (t.day > 12) == swapped if swapped else wide(a, d) and wide(b, mo)
-
-        k = datetime.date(year, month, day).toordinal() - FIRST_DAY
-        form = f"date:{first}:{swapped}:{len(mo)}:{len(d)}"
-        t = datetime.date.fromordinal(FIRST_DAY + self.permute(form, LAST_DAY - FIRST_DAY + 1, k, fits, undo))
+        kind = date_kind(datetime.date(year, month, day))
+        days = dates_of(kind)
+        k = bisect.bisect_left(days, datetime.date(year, month, day).toordinal())
+        t = datetime.date.fromordinal(days[self.permute(f"date:{kind}", len(days), k, undo=undo)])
         a, b = (t.month, t.day) if first or swapped else (t.day, t.month)
         return f"{t.year:04d}{s}{a:0{len(mo)}d}{s}{b:0{len(d)}d}" if first else f"{a:0{len(d)}d}{s}{b:0{len(mo)}d}{s}{t.year:04d}"
 
@@ -191,12 +235,19 @@ class Pseudonyms:
         return _refill(m["ssn"], f"{self.permute('ssn', 10**9, x, ok, undo):09d}") if ok(x) else None
 
     def phone(self, m: regex.Match, undo: bool) -> str | None:
+        """The national number. One digit in brackets is a dialling prefix and no part of it."""
         s = m["phone"]
-        code = len(regex.match(r"\+[0-9]{1,3}(?=[^0-9])|\+[0-9]|", s)[0])
-        digits = _digits(s[code:])
-        if not 6 <= len(digits) <= 14:
+        shown = [k for k, c in enumerate(s) if c.isascii() and c.isdigit() and not (s[k - 1 : k] == "(" and s[k + 1 : k + 2] == ")")]
+        digits = "".join(s[k] for k in shown)
+        code = "1" if s[0] != "+" else next((digits[:n] for n in (1, 2) if digits[:n] in SHORT_CODES), digits[:3])
+        own = shown[len(code) * (s[0] == "+") :]
+        if not 6 <= len(own) <= 14:
             return None
-        return s[:code] + _refill(s[code:], f"{self.permute(f'phone:{len(digits)}', 10 ** len(digits), int(digits), undo=undo):0{len(digits)}d}")
+        new = f"{self.permute(f'phone:{code}:{len(own)}', 10 ** len(own), int(''.join(s[k] for k in own)), undo=undo):0{len(own)}d}"
+        out = list(s)
+        for k, c in zip(own, new, strict=True):
+            out[k] = c
+        return "".join(out)
 
     def card(self, m: regex.Match, undo: bool) -> str | None:
         digits = _digits(m["card"])
