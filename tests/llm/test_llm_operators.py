@@ -11,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tidewright.llm import bpe, components, fingerprint, line_dedup, mixing, ngram_join, pii, sharding, toxicity, urlfilter, vafile
@@ -77,6 +78,21 @@ def test_ngram_join_finds_every_component(spark):
     assert len({c for _, c in want.values()}) < len(want)
 
 
+def test_rows_of_one_id_are_one_node(spark):
+    a, b, c = ("one two three four five six", "seven eight nine ten eleven twelve", "red green blue cyan pink grey black")
+    rows = [(3, a), (5, a), (5, b), (7, b), (9, c), (9, b), (11, c), (13, "alone"), (13, None)]
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter([(3, 2, 3), (5, 2, 3), (5, 2, 3), (7, 2, 3), (9, 3, 3), (9, 2, 3), (11, 3, 3), (13, 1, 13), (13, 0, 13)])
+
+
+def test_the_boundary_has_no_limit_but_cost():
+    cost = lambda n, length: ((p := n - ngram_join.least_overlap(n) + 1) + 1) * p / 2 <= p * (1 + length)
+    for length in (0.0, 0.9, 3.0, 40.0):
+        n = ngram_join.boundary(length)
+        assert cost(n, length) and not cost(n + 1, length)
+    assert ngram_join.boundary(40.0) > 64
+
+
 def test_ngram_join_on_odd_rows(odd, clashing, none):
     for frame in (odd, clashing):
         rows = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join(frame).collect())
@@ -577,6 +593,54 @@ def test_fingerprints_estimate_containment_and_edit_right(spark):
     assert all(r.near_edited > 0.45 and r.near_next < 0.15 for r in long) and abs(sum(r.near_edited for r in long) / len(long) - 0.75) < 0.1
 
 
+def plain_fingerprint(text):
+    def hashed(words):
+        seed = 42
+        for w in words:
+            seed = xxhash.xxh64_intdigest(w.encode(), seed)
+        return seed >> 33
+
+    w = WORD.findall(text or "")
+    runs = [w[i : i + 3] for i in range(len(w) - 2)] if len(w) >= 3 else [w] if w else []
+    hashes = sorted({hashed(r) for r in runs})
+    return [h for h in hashes if h < fingerprint.FRACTION * 2**31] or hashes[:1]
+
+
+def plain_likeness(a, b):
+    return 1.0 if a == b else len(set(a) & set(b)) / min(len(a), len(b)) if a and b else 0.0
+
+
+def test_fingerprints_equal_a_plain_version(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["ab", "cdé", "🙂g"]) + str(rng.randrange(9)) for _ in range(rng.choice([0, 1, 2, 3, 4, 7, 40, 200]))) for _ in range(120)]
+    texts += ["one two three", "one two three", "", None, "", " \n", "a b", "a b", texts[3], texts[3] + " more"]
+    ids = [i * i * 1_000_003 if i % 3 else -i for i in range(len(texts))]  # sparse and of both signs
+    frame = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    got = {r.doc_id: r for r in fingerprint.edited(frame).collect()}
+    order = sorted(zip(ids, texts, strict=True))
+    shown = lambda f: "".join(f"{h:08X}" for h in f)
+    for k, (i, t) in enumerate(order):
+        t, after = t or "", order[(k + 1) % len(order)][1] or ""
+        q = len(t) // 4
+        changed = t[: len(t) - q] + after[:q]
+        own, edited, following = plain_fingerprint(t), plain_fingerprint(changed), plain_fingerprint(after)
+        r = got[i]
+        assert (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) == (len(t), hashlib.sha256(changed.encode()).hexdigest(), shown(own), shown(edited))
+        assert r.near_edited == pytest.approx(plain_likeness(own, edited)) and r.near_next == pytest.approx(plain_likeness(own, following))
+        assert (r.fingerprint == "") == (not WORD.search(t))
+
+
+def test_copies_next_to_each_other_are_alike(spark):
+    rows = [(1, "one two three"), (2, "one two three"), (3, ""), (4, ""), (5, "x y z"), (6, "x y w")]
+    got = {r.doc_id: (r.near_edited, r.near_next) for r in fingerprint.edited(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1][1] == 1.0 and got[3] == (1.0, 1.0) and got[2][1] == 0.0 and got[5][1] == 0.0
+    two = spark.createDataFrame([("p q r s t u", "a b")], "x string, y string")
+    for name in "xy":
+        two = fingerprint.add_sketch(two, F.col(name), f"s{name}")
+    merged = two.select(fingerprint.merge(F.col("sx"), F.col("sy")).alias("m"), "sx", "sy").first()
+    assert merged.m == sorted(v for v in set(merged.sx + merged.sy) if v < fingerprint.FRACTION * 2**31) or merged.m == [min(merged.sx + merged.sy)]
+
+
 def test_fingerprints_on_odd_rows(odd, clashing, none, spark):
     for frame in (odd, clashing):
         out = fingerprint.edited(frame).collect()

@@ -9,7 +9,7 @@ k shingles among the first n - ceil(t n) + k of each.
 * Heavy sets stand in inverted lists under each of their first n - ceil(t n) + 1 shingles, and so do the light sets whose
   size lets them link to a heavy one.
 * The boundary is the largest size at which enumerating costs no more than reading lists: pairs <= list entries * (1 +
-  expected length of a list), the length from the sketch below.
+  expected length of a list), the length from the sketch below. It has no other limit.
 
 Order: shingles by commonness, then by hash. Commonness is a class of a count sketch of all shingles of all texts (SKETCH
 counters whatever the input, so it is broadcast with a fixed size). The order only decides how long lists get; any order
@@ -17,7 +17,7 @@ gives the same links.
 
 Lists of copies are not expanded to pairs. Equal sets are one node. Round one checks every member of a list against the
 list's least node and joins what links into components. Round two checks the pairs of a list that are still in different
-components and may link by size and place: what is left are lists that unlike texts share. Every link between different
+components and may link by size (bands of sizes are part of the join's key) and place: what is left are lists that unlike texts share. Every link between different
 components is found, so the components are exact; links inside a component need no check.
 
 Before texts are read, a pair must pass a lossless filter: each set has a map of parities (how many of its shingles fall on
@@ -27,7 +27,8 @@ stands in the lists; pairs that pass are tried with maps as wide as the sets are
 Nodes, links and components stay in tables in the shared folder; the driver sees the sketch only.
 
 Defined cases: null or blank text: empty set, a component of its own; rows without doc_id take no part (component null);
-rows of equal doc_id are one node for linking; repeated rows come back repeated.
+rows of equal doc_id are one node: what links to one of their texts links to all; repeated rows come back repeated. Nulls in
+other columns and columns with names used here don't matter: two columns are read.
 """
 
 from __future__ import annotations
@@ -38,7 +39,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import materialise, tidy
 from .components import components
@@ -51,7 +51,6 @@ SKETCH_BITS = 20
 CHUNK = 1 << 14
 PARITY_BITS = 512
 MAPS = [f"g{k}" for k in range(PARITY_BITS // 64)]
-LIGHT_LIMIT = 64  # pairs grow with the square of the size; no boundary beyond this
 _PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -101,13 +100,11 @@ def commonness(counts: np.ndarray) -> tuple[np.ndarray, float]:
 
 
 def boundary(length: float, percent: int = PERCENT) -> int:
-    """The largest size whose pairs cost no more than its list entries and their scans."""
-    best = 1
-    for n in range(2, LIGHT_LIMIT + 1):
-        p = n - least_overlap(n, percent) + 1
-        if (p + 1) * p / 2 <= p * (1 + length):
-            best = n
-    return best
+    """The largest size whose pairs, (p + 1) p / 2, cost no more than its p list entries and their scans, p (1 + length)."""
+    n, most = 1, 1 + 2 * length
+    while n + 1 - least_overlap(n + 1, percent) + 1 <= most:
+        n += 1
+    return n
 
 
 def signatures(hashes: np.ndarray, classes: np.ndarray, light_to: int, percent: int) -> np.ndarray:
@@ -217,9 +214,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     least = classed.groupBy(*digest).agg(F.min(F.struct("doc_id", "lists", "keys")).alias("x"))
     entries = least.select(F.col("x.doc_id").alias("node"), "n", "x.lists", F.posexplode("x.keys").alias("place", "key"))
     entries = entries.select("key", "node", "n", F.when(F.col("place") < F.col("lists"), F.col("place")).otherwise(F.lit(0)).alias("place"))
-    in_list = Window.partitionBy("key")
-    lists = entries.withColumn("least", F.min("node").over(in_list)).withColumn("most", F.max("node").over(in_list)).where("least <> most").drop("most")
-    lists = materialise(lists, "ngram-lists")
+    ends = entries.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("key", "least")
+    lists = materialise(entries.join(ends, "key").select("key", "node", "n", "place", "least"), "ngram-lists")  # a join, which may be split at a long list
 
     t = F.lit(percent)
     a_n, b_n = F.col("a_n"), F.col("b_n")
@@ -236,15 +232,18 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     stars = stars.join(of("a"), "a").join(of("b"), "b").where(by_map).select("a", "b").distinct()
     stars = close_maps(stars, sets, percent)
     links = verified(materialise(stars, "ngram-stars"), docs, width, percent)
-    first = materialise(components(links, "a", "b"), "ngram-components")
+    first = materialise(components(links.union(shared_ids(classed, digest)), "a", "b"), "ngram-components")
 
     named = lists.join(first.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
     split = materialise(split, "ngram-split")  # a table, so that the join below may be split where one key has very many rows
     still = named.where("node <> least").join(split, "key").join(sets.select(F.col("doc_id").alias("node"), *MAPS), "node")
     still = materialise(still.select("key", "node", "n", "place", "component", *MAPS), "ngram-open")
-    side = lambda s: still.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "n", "place", "component", *MAPS)])
-    cross = side("a").join(side("b"), "key").where((F.col("a_component") < F.col("b_component")) & by_size & by_place & by_map)
+    band = F.floor(F.log("n") / F.log(100 / t))  # sizes that may link lie in one band or in neighbours
+    still = still.withColumn("band", band.cast("int"))
+    side = lambda s, b: still.select("key", b.alias("band"), *[F.col(c).alias(f"{s}_{c}") for c in ("node", "n", "place", "component", *MAPS)])
+    bands = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))
+    cross = side("a", bands).join(side("b", F.col("band")), ["key", "band"]).where((F.col("a_component") < F.col("b_component")) & by_size & by_place & by_map)
     cross = cross.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), "a_component", "b_component").distinct()
     rest = materialise(close_maps(cross, sets, percent), "ngram-rest")
     more = verified(rest.select("a", "b"), docs, width, percent).join(rest, ["a", "b"])
@@ -258,6 +257,16 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.cast("long").alias("component_id"))
 
 
+def shared_ids(classed: DataFrame, digest: list[str]) -> DataFrame:
+    """a, b: nodes (each the least doc_id of a digest) of digests that stand under one doc_id."""
+    several = classed.groupBy("doc_id").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in digest for f in (F.min, F.max)])
+    several = several.where(" OR ".join(f"min_{c} <> max_{c}" for c in digest)).select("doc_id")
+    mixed_ids = materialise(classed.join(several, "doc_id").select("doc_id", *digest).distinct(), "ngram-mixed-ids")
+    named = classed.join(mixed_ids.select(*digest).distinct(), digest).groupBy(*digest).agg(F.min("doc_id").alias("node"))
+    least = mixed_ids.join(named, digest).select("doc_id", "node")
+    return least.join(least.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").select("a", F.col("node").alias("b")).where("a <> b").distinct()
+
+
 #: The same as SQL: all pairs that share a shingle, and the least id that links reach.
 ORACLE = r"""
     WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
