@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -169,6 +170,91 @@ def test_toxicity_grammar_tells_directed_negated_and_reported():
     assert s.features("I will hurt you")[4:8] != [0.0] * 4 and s.features("") == [0.0] * s.N
 
 
+def plain_candidates(text):
+    words = {m.lower().replace("’", "'") for m in toxicity.TOKEN.findall(text or "") if m[0].isalpha()}
+    return {"=" + w for w in words if len(w) >= 3} | {"^" + w[:n] for w in words for n in range(4, 11) if len(w) >= n}
+
+
+def plain_lexicon(rows):
+    """rows: text, toxic. Every candidate by its counts."""
+    n1, n0 = sum(y for _, y in rows), sum(1 - y for _, y in rows)
+    hit, every = Counter(), Counter()
+    for text, y in rows:
+        every.update(plain_candidates(text))
+        hit.update(plain_candidates(text) if y else ())
+    out, p = {}, n1 / (n1 + n0)
+    for c, n in every.items():
+        rate = hit[c] / n
+        if hit[c] < 4 or rate <= p:
+            continue
+        bits = n * (rate * math.log(rate / p) + ((1 - rate) * math.log((1 - rate) / (1 - p)) if rate < 1 else 0))
+        odds = math.log((hit[c] + 0.5) / (n1 + 1)) - math.log((n - hit[c] + 0.5) / (n0 + 1))
+        if bits >= math.log((2e5 + 50 * (n1 + n0)) / 0.05) and odds > 1.5:
+            out[c] = odds
+    return out
+
+
+def plain_features(text, lexicon):
+    """Clause by clause, looking back from every hit."""
+    sums, clause_sums, total_words, met = [0.0] * 8, [], 0, set()
+    clause = []
+    clauses = [clause]
+    for t in toxicity.TOKEN.findall(text or ""):
+        if t[0] in ".!?;\n":
+            clause = []
+            clauses.append(clause)
+        else:
+            clause.append(t)
+    for clause in clauses:
+        kinds, weights = [], []
+        for t in clause:
+            w = t.lower().replace("’", "'")
+            weight = max([lexicon.get("=" + w, 0.0)] + [lexicon.get("^" + w[:n], 0.0) for n in range(4, 11) if len(w) >= n])
+            kind = "insult" if weight > 0 else "report" if t[0] in '"“”«»' else next((k for k, ws in (("threat", toxicity.THREATS), ("report", toxicity.REPORTS), ("negation", toxicity.NEGATIONS), ("target", toxicity.TARGETS)) if w in ws), "other")
+            kinds.append(kind)
+            weights.append(weight if kind == "insult" else 1.0)
+        total_words += len(clause)
+        mine = 0.0
+        for i, kind in enumerate(kinds):
+            if kind in ("insult", "threat"):
+                how = toxicity.NEGATED if "negation" in kinds[max(0, i - 3) : i] else toxicity.REPORTED if "report" in kinds[:i] else toxicity.DIRECTED if "target" in kinds[max(0, i - 4) : i] else toxicity.PLAIN
+                sums[how + 4 * (kind == "threat")] += weights[i]
+                if kind == "insult":
+                    mine += weights[i]
+                    met.add(clause[i])
+        clause_sums.append(mine)
+    if not any(sums):
+        return [0.0] * 12
+    return [math.log1p(x) for x in sums] + [sum(sums[:4]) / math.sqrt(total_words + 1), math.log1p(sum(x > 0 for x in clause_sums)), math.log1p(max(clause_sums)), math.log1p(len(met))]
+
+
+def test_the_machine_equals_a_plain_reading_of_clauses():
+    rng = random.Random(6)
+    lexicon = {"=dolt": 2.0, "^numpt": 1.25, "=kill": 0.5}
+    words = ["dolt", "numpty", "Numptish", "kill", "hurt", "you", "not", "said", "plain", "word", "house", "töten", "laut", "nicht"]
+    scorer = toxicity.Scorer(lexicon)
+    for _ in range(600):
+        text = "".join(rng.choice(words) + rng.choice([" ", " ", " ", " ", ". ", "! ", ', "', "\n"]) for _ in range(rng.randint(0, 25)))
+        assert np.allclose(scorer.features(text), plain_features(text, lexicon)), text
+
+
+def test_toxicity_equals_a_plain_version(spark):
+    rows, labels = toxic_rows(600, 9)
+    rows = [(i, ("You are not " if i % 7 == 0 else "He said ") + t) for i, t in rows] + [(900, None), (901, "")]
+    marks = dict(labels)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    known = [(t, marks[i]) for i, t in rows if i in marks and zlib.crc32(str(i).encode()) % 4 != 2]
+    assert model.lexicon == pytest.approx(plain_lexicon(known))
+    x = np.array([plain_features(t, model.lexicon) + [1.0] for t, _ in known])
+    y, penalty = np.array([y for _, y in known], float), np.r_[np.ones(12), 1e-6]
+    gradient = x.T @ (1 / (1 + np.exp(-x @ model.weights)) - y) + penalty * model.weights  # the least loss has none
+    assert np.abs(gradient).max() < 1e-3
+    for r in toxicity.score(docs, model).collect():
+        want = 1 / (1 + math.exp(-float(np.array(plain_features(r.text, model.lexicon) + [1.0]) @ model.weights)))
+        assert r.tox_score == pytest.approx(want, abs=1e-9) and r.tox_predicted == (want >= toxicity.THRESHOLD)
+
+
 def test_toxicity_on_odd_rows(odd, none, spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, None), (77, 0)], "doc_id long, toxic int")
     for marks in (labels, labels.where("false"), labels.where("toxic = 1")):
@@ -214,6 +300,37 @@ def test_mixing_meets_its_targets(spark):
     assert mixing.mix(docs).count() == sum(r.mix_copies for r in got)
 
 
+def plain_mix(rows, share=1.5, cap=2.0):
+    """rows: doc_id, text, source. Copies of each row, along one prefix sum a source."""
+    text_of = lambda t: hashlib.md5(t.encode()).hexdigest() if t is not None else "none"
+    by, out = {}, [0] * len(rows)
+    for k, (i, t, s) in enumerate(rows):
+        size = len(WORD.findall(t or ""))
+        drawn = int(hashlib.md5(f"{'' if i is None else i}|{text_of(t)}".encode()).hexdigest()[:12], 16)
+        octave = (size + 1).bit_length() - 1
+        band = octave * 32 + int((size + 1) * 32 / 2**octave) - 32
+        by.setdefault(s, []).append((band if drawn // 2**24 % 2 == 0 else mixing.SLOPES - band, drawn % mixing.SALTS, i is not None, i or 0, text_of(t), size, k))
+    sizes = {s: sum(x[5] for x in own) for s, own in by.items()}
+    wanted = fill(sizes, mixing.WEIGHTS, share, cap)
+    for s, own in by.items():
+        name = "1" if s is None else "0" + s
+        u = int(hashlib.md5(f"{name}|{mixing.SEED}".encode()).hexdigest()[:10], 16) / 2**40
+        rate = min(wanted[s] / sizes[s], cap) if sizes[s] else 0.0
+        for n, x in enumerate(sorted(own)):
+            out[x[6]] = math.floor((n + 1) * rate + u) - math.floor(n * rate + u)
+    return out
+
+
+def test_mixing_equals_a_plain_version_and_ties_are_told_apart(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice([None, 7, 7, i]), rng.choice([None, "", " ".join(["w"] * rng.randint(0, 9)), f"x{i} y"]), rng.choice(["b", "a", "a", "é", None])) for i in range(700)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = Counter(zip(((*r,) for r in rows), plain_mix(rows), strict=True))
+    for parts in (1, 5):
+        got = Counter(((r.doc_id, r.text, r.source), r.mix_copies) for r in mixing.copies(frame.repartition(parts)).collect())
+        assert got == want
+
+
 def test_mixing_on_odd_rows(odd, clashing, none):
     assert mixing.copies(odd).count() == odd.count()
     assert mixing.mix(clashing).columns == clashing.columns
@@ -230,7 +347,7 @@ def brute_lines(rows):
     for i, k, w in places:
         if w:
             first.setdefault(w, (i, k))
-    bad = {x for x in first for y in first if first[y] < first[x] and min(len(x), len(y)) >= line_dedup.MIN_WORDS and line_dedup.edits(list(x), list(y)) == 1}
+    bad = {x for x in first for y in first if first[y] < first[x] and min(len(x), len(y)) >= line_dedup.MIN_WORDS and line_dedup.edits(list(x), list(y), bound := line_dedup.allowed(min(len(x), len(y)))) <= bound}
     return {v for w, v in first.items() if w not in bad}
 
 
@@ -526,6 +643,44 @@ def test_differencing_balances_and_is_a_bijection():
     assert sums.max() - sums.min() < 120 and sorted(sharding.difference(vectors[:1])[0]) == list(range(5))
 
 
+def plain_differencing(sizes, k):
+    """Lists all partial partitions and takes the two of largest spread."""
+    open_ = [(i, [(s, [i])] + [(0, [])] * (k - 1)) for i, s in enumerate(sizes)]
+    at = len(open_)
+    while len(open_) > 1:
+        open_.sort(key=lambda x: (-(x[1][0][0] - x[1][-1][0]), x[0]))
+        (_, a), (_, b), *rest = open_
+        both = sorted(((x[0] + y[0], x[1] + y[1]) for x, y in zip(a, reversed(b), strict=True)), key=lambda x: -x[0])
+        open_ = [*rest, (at, both)]
+        at += 1
+    return sorted((s for s, _ in open_[0][1]), reverse=True)
+
+
+def test_sharding_equals_plain_differencing(spark):
+    rng = random.Random(2)
+    rows = [(i, rng.choice(["same", None, "x" * rng.randint(1, 900) + str(i)])) for i in range(700)]
+    out = sharding.shards(spark.createDataFrame(rows, "doc_id long, text string"), n_shards=7).collect()
+    groups = Counter()
+    for _, t in rows:
+        groups[t or ""] += len((t or "").encode()) + 8
+    got = Counter()
+    for r in out:
+        got[r.shard] += r.size
+    assert sorted(got.values(), reverse=True) == plain_differencing(sorted(groups.values(), reverse=True), 7)
+
+
+def test_sharding_over_several_levels(spark):
+    rng = random.Random(3)
+    rows = [(i, "x" * rng.randint(1, 900) + str(i % 1500)) for i in range(2000)]
+    out = sharding.shards(spark.createDataFrame(rows, "doc_id long, text string"), n_shards=5, groups_per_bucket=40, fan=4).collect()
+    got, where = Counter(), {}
+    for r in out:
+        got[r.shard] += r.size
+        where.setdefault(rows[r.doc_id][1], set()).add(r.shard)
+    assert sum(got.values()) == sum(len(t) + 8 for _, t in rows) and max(got.values()) - min(got.values()) < 100 and all(len(x) == 1 for x in where.values())
+    assert sorted((r.shard, r.slot) for r in out) == [(s, k) for s in range(5) for k in range(sum(r.shard == s for r in out))]
+
+
 def test_sharding(spark, odd, clashing, none):
     rng = random.Random(0)
     rows = [(i, rng.choice(["same", "x" * rng.randint(1, 400), None])) for i in range(3000)]

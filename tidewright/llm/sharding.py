@@ -5,8 +5,9 @@ sum minus smallest), adds them in opposite order and puts the result back, until
 
 Scale: the groups come from a combining aggregation over text digests, so a group of copies of any size is one row. The
 groups are dealt into buckets by digest; each bucket is differenced on its own in one task, which leaves one partial
-partition a bucket, and these (at most MAX_BUCKETS vectors of K sums, whatever the input) are differenced on the driver.
-Slots are numbered inside chunks of a shard with offsets from the chunks' counts, so no window spans a shard.
+partition a bucket. These are differenced in turn, FAN at once in a task, level by level until one is left, so no task holds
+more than GROUPS_PER_BUCKET groups or FAN partial partitions and nothing comes to the driver. Slots are numbered inside chunks
+of a shard with offsets from the chunks' counts, so no window spans a shard.
 
 Defined cases: a null text counts as no bytes (size 8) and groups with empty texts, crc32 0; repeated rows are rows of
 their own and share their group's shard; an empty table gives no rows.
@@ -25,7 +26,7 @@ from .common import materialise, parts_for
 
 SHARDS = 24
 GROUPS_PER_BUCKET = 2_048
-MAX_BUCKETS = 4_096
+FAN = 256
 ROWS_PER_CHUNK = 50_000
 ROW_OVERHEAD = 8
 
@@ -66,14 +67,40 @@ def _difference_singles(sizes: np.ndarray, k: int) -> np.ndarray:
     return difference(vectors)[:, 0]
 
 
-def shards(docs: DataFrame, n_shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", overhead: int = ROW_OVERHEAD) -> DataFrame:
+def levels(sums: DataFrame, buckets: int, k: int, fan: int = FAN) -> DataFrame:
+    """bucket, part, shard for all k parts of every bucket. sums: bucket, part, bytes of the parts that hold something."""
+
+    def step(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        here = np.sort(pdf["bucket"].unique())
+        vectors = np.zeros((len(here), k), dtype=np.int64)
+        vectors[np.searchsorted(here, pdf["bucket"]), pdf["part"]] = pdf["bytes"]
+        to = difference(vectors)
+        return pd.DataFrame({"bucket": np.repeat(here, k), "part": np.tile(np.arange(k), len(here)), "parent": int(key[0]), "to": to.ravel(), "bytes": vectors.ravel()})
+
+    place = None
+    while True:
+        parent = F.floor(F.col("bucket") / fan).cast("int").alias("parent")
+        made = sums.withColumn("parent", parent).groupBy("parent").applyInPandas(step, "bucket int, part int, parent int, to int, bytes long")
+        made = materialise(made, "sharding-level")
+        if place is None:
+            place = made.select("bucket", "part", F.col("parent").alias("at"), F.col("to").alias("shard"))
+        else:
+            up = made.select(F.col("bucket").alias("at"), F.col("part").alias("shard"), F.col("parent").alias("next_at"), "to")
+            place = place.join(up, ["at", "shard"]).select("bucket", "part", F.col("next_at").alias("at"), F.col("to").alias("shard"))
+        buckets = -(-buckets // fan)
+        if buckets <= 1:
+            return place.select("bucket", "part", "shard")
+        sums = made.groupBy(F.col("parent").alias("bucket"), F.col("to").alias("part")).agg(F.sum("bytes").alias("bytes"))
+
+
+def shards(docs: DataFrame, n_shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", overhead: int = ROW_OVERHEAD, groups_per_bucket: int = GROUPS_PER_BUCKET, fan: int = FAN) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of every row."""
     rows = docs.count()
     text = F.coalesce(docs[text_col], F.lit(""))
     slim = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(text).alias("digest"), F.crc32(text).alias("text_crc32"), (F.octet_length(text) + overhead).cast("long").alias("size"))
     slim = materialise(slim, "sharding-rows")
     group = ["digest", "text_crc32", "size"]
-    buckets = parts_for(rows, GROUPS_PER_BUCKET, MAX_BUCKETS)
+    buckets = parts_for(rows, groups_per_bucket, 1 << 30)
     groups = slim.groupBy(*group).agg((F.count(F.lit(1)) * F.col("size")).alias("bytes")).withColumn("bucket", F.pmod("digest", F.lit(buckets)).cast("int"))
 
     def local(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -82,13 +109,8 @@ def shards(docs: DataFrame, n_shards: int = SHARDS, id_col: str = "doc_id", text
 
     placed = groups.groupBy("bucket").applyInPandas(local, "digest long, text_crc32 long, size long, bytes long, bucket int, part int")
     placed = materialise(placed, "sharding-groups")
-    sums = placed.groupBy("bucket", "part").agg(F.sum("bytes").alias("bytes")).collect()  # at most MAX_BUCKETS x n_shards
-    vectors = np.zeros((buckets, n_shards), dtype=np.int64)
-    for b, p, total in sums:
-        vectors[b, p] = total
-    where = difference(vectors)
-    to = docs.sparkSession.createDataFrame([(b, p, int(where[b, p])) for b in range(buckets) for p in range(n_shards)], "bucket int, part int, shard int")
-    placed = placed.join(to, ["bucket", "part"]).select(*group, "shard")
+    sums = placed.groupBy("bucket", "part").agg(F.sum("bytes").alias("bytes"))
+    placed = placed.join(levels(sums, buckets, n_shards, fan), ["bucket", "part"]).select(*group, "shard")
     out = slim.join(placed, group)
     chunk = F.pmod(F.xxhash64("doc_id", "digest"), F.lit(max(8, parts_for(rows, n_shards * ROWS_PER_CHUNK, 1_000_000)))).cast("int")
     out = out.withColumn("chunk", chunk)

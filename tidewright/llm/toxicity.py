@@ -39,15 +39,14 @@ THRESHOLD = 0.3
 TARGET_SCOPE = 4
 NEGATION_SCOPE = 3
 PREFIX_LENGTHS = range(4, 11)
-LEXICON_LIMIT = 5_000
 WORD_CACHE = 150_000
 PRUNE_AT = 300_000
 
 # The words of the small transducers.
-TARGETS = "you your yours yourself u ur they them their he him his she her this that these those people everyone tu te toi vous il elle ils du dich dir ihr sie er usted ustedes ellos ella".split()
-NEGATIONS = "not never no isn't aren't wasn't don't doesn't didn't cannot can't nobody without pas jamais ne nicht kein keine nie nunca jamás".split()
-REPORTS = "said says say told tells reported reports quoted quotes wrote writes claimed claims alleged according stated dit dijo sagte schrieb".split()
-THREATS = "kill killing murder hurt beat destroy shoot stab burn punch attack die tuer töten matar".split()
+TARGETS = "you your yours yourself u ur they them their he him his she her this that these those people everyone tu te toi vous il elle ils elles eux lui ces du dich dir ihr euch sie er ihm ihn usted ustedes ellos ellas ella él ti vosotros".split()
+NEGATIONS = "not never no isn't aren't wasn't weren't don't doesn't didn't cannot can't won't nobody without pas jamais ne non aucun sans nicht kein keine keinen nie niemals ohne nunca jamás ningún sin tampoco".split()
+REPORTS = "said says say told tells reported reports quoted quotes wrote writes claimed claims alleged according stated dit disent raconte raconté affirme affirmé écrit selon prétend dijo dicen cuenta contó afirma afirmó escribió según sagte sagt berichtet schrieb schreibt behauptet erklärte laut".split()
+THREATS = "kill killing murder hurt beat destroy shoot stab burn punch attack tuer frapper brûler détruire crever töten schlagen umbringen verbrennen erschießen matar golpear quemar destruir morir".split()
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 PLAIN, DIRECTED, NEGATED, REPORTED = range(4)
@@ -172,7 +171,7 @@ def candidates(text: str) -> set[str]:
 
 
 def learn_lexicon(rows: DataFrame, n_toxic: int, n_clean: int) -> dict[str, float]:
-    """rows: text, toxic. Counts over the rows are distributed; what comes back is at most LEXICON_LIMIT entries."""
+    """rows: text, toxic, the bounded training rows. Counts over them are distributed; all entries that are significant come back."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic: Counter = Counter()
@@ -202,8 +201,8 @@ def learn_lexicon(rows: DataFrame, n_toxic: int, n_clean: int) -> dict[str, floa
     counts = counts.where("n1 >= 4").where(rate > p).withColumn("bits", F.col("n") * (rate * F.log(rate / p) + other))
     odds = F.log((F.col("n1") + 0.5) / (n_toxic + 1)) - F.log((F.col("n") - F.col("n1") + 0.5) / (n_clean + 1))
     total = 2e5 + 50 * (n_toxic + n_clean)  # candidates grow with the rows
-    found = counts.where(F.col("bits") >= math.log(total / 0.05)).where(odds > 1.5).select("key", odds.alias("odds"), "bits").orderBy(F.desc("bits"), "key").limit(LEXICON_LIMIT)
-    return {k: float(w) for k, w, _ in found.collect()}
+    found = counts.where(F.col("bits") >= math.log(total / 0.05)).where(odds > 1.5).select("key", odds.alias("odds")).orderBy("key")
+    return {k: float(w) for k, w in found.collect()}
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
