@@ -62,13 +62,22 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Shuffle files go when the query that made them ends; what is written is reread from its table, never made again.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
     """Writes df as Parquet in the shared scratch folder and rereads it: the lineage ends there and an executor that is
     lost takes nothing with it. The files go when the driver ends."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     if not _written:
         atexit.register(_drop_written)  # now, so that it runs before Spark's own end
     _written[path] = spark
