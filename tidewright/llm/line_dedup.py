@@ -13,9 +13,11 @@ number); the earliest of its kind stays. Blank lines stay.
    same word place left out are equal exactly if a replacement joins the lines, so the earliest of a key stands for all its
    lines and no pairs are made; a line that equals another's variant is an insertion, and joins it by that key alone.
 4. The pair (line, earliest alike) is verified by the edit distance of the words themselves.
-5. Lines long enough for k > 1 edits: k edits spoil k * RUN runs of RUN words at most, so two alike lines share one of the
-   k * RUN + 1 least run hashes of each. Lines that share one and whose lengths allow it are verified: first with the earliest
-   of the key and length, then, if that is not alike, with all earlier ones.
+5. Lines long enough for k > 1 edits: k edits spoil k * RUN runs of RUN words at most, so in any one order two alike lines
+   share one of the first k * RUN + 1 distinct runs of each. The order is rarest first, by a sketch of fixed size, so few lines
+   share one. Of those that do, pairs go on whose lengths allow it and whose maps of parities (on which of MAP_BITS bits an
+   odd number of words falls) differ in 2 k bits at most, as an edit changes two. A line is paired with the earliest of the
+   run and length; only lines for which that leaves nothing, or turns out not to be alike, are paired with all earlier ones.
 
 Defined cases: null or blank texts have no lines and come back unchanged; a row without doc_id takes no part and comes back
 unchanged; rows of equal doc_id count as one document, so repeated rows are treated alike; the empty table gives no rows;
@@ -33,16 +35,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_CLASS, materialise, tidy
 from . import shingles
+from .common import WORD_CLASS, materialise, tidy
 from .shingles import mixed, slices, word_bounds, word_hashes
+from .sketch import class_of, commonness, sketch
 from .textfilter import bits_of, texts_near
 
 #: The default of min_words: an edit changes more of a shorter line than near copies differ; such lines are alike when equal.
 MIN_WORDS = 8
 #: One edit is allowed for each so many words of the shorter line; 2 * RUN at least, as else k edits could spoil all its runs.
 WORDS_PER_EDIT = 12
-RUN = 4
+RUN = 2
+MAP_BITS = 128
 WORD = re.compile(WORD_CLASS)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _UNSTEP = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
@@ -107,9 +111,48 @@ def line_words(b: np.ndarray, offsets: np.ndarray) -> tuple[Sequences, np.ndarra
     return words, row[some], number[some], first[some], after[some]
 
 
-def lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, line_no, words, line (hash) and the half keys p1, p2, s1, s2 of every line that has words."""
-    names = ["doc_id", "line_no", "words", "line", "p1", "p2", "s1", "s2"]
+def run_hashes(seq: Sequences, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all runs of RUN words of lines of that many or more, and which line each is of."""
+    times = e - s - RUN + 1
+    owner = np.repeat(np.arange(len(s)), times)
+    start = np.arange(len(owner)) - np.repeat(np.cumsum(times) - times, times) + s[owner]
+    return seq.hashed(start, start + RUN), owner
+
+
+def all_runs(texts: pa.Array, least: int) -> Iterator[np.ndarray]:
+    for _, _, b, offsets, _ in line_slices(texts):
+        seq, _, _, s, e = line_words(b, offsets)
+        yield run_hashes(seq, s[e - s >= least], e[e - s >= least])[0]
+
+
+def first_runs(seq: Sequences, s: np.ndarray, e: np.ndarray, classes: np.ndarray, words_per_edit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of lines of two edits or more: their first runs by commonness and hash, line by line, and how many each has."""
+    key, owner = run_hashes(seq, s, e)
+    order = np.lexsort((key, class_of(key, classes), owner))
+    key, owner = key[order], owner[order]
+    new = np.r_[True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])] if len(key) else np.zeros(0, bool)
+    key, owner = key[new], owner[new]
+    place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    stay = place < ((e - s) // words_per_edit * RUN + 1)[owner]
+    return key[stay], np.bincount(owner[stay], minlength=len(s))
+
+
+def parities(seq: Sequences, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Of each line MAP_BITS bits, as rows of longs: on which an odd number of its words falls."""
+    times = e - s
+    owner = np.repeat(np.arange(len(s)), times)
+    word = np.arange(len(owner)) - np.repeat(np.cumsum(times) - times, times) + s[owner]
+    bit = (seq.words[word] & np.uint64(MAP_BITS - 1)).astype(np.int64)
+    odd = np.bincount(owner * MAP_BITS + bit, minlength=len(s) * MAP_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(s), MAP_BITS // 64)
+
+
+def lines(docs: DataFrame, classes: np.ndarray, words_per_edit: int = WORDS_PER_EDIT, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, line_no, words, line (hash) and the half keys p1, p2, s1, s2 of every line that has words; and runs and the
+    parity map m1, m2 of those that may have two edits or more."""
+    schema = "doc_id long, line_no int, words int, line long, p1 long, p2 long, s1 long, s2 long, m1 long, m2 long, runs array<long>"
+    names = [x.split()[0] for x in schema.split(", ")]
+    shared = docs.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,9 +171,16 @@ def lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 even = n % 2 == 0
                 alone = [~long, ~long | ~even, ~long, ~long | even]  # the two sizes of a half are one here
                 cols = [pa.array(ids[at + row]), pa.array(number.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(seq.hashed(s, e).view(np.int64))]
-                yield pa.RecordBatch.from_arrays(cols + [pa.array(k, pa.int64(), mask=m) for k, m in zip(keys, alone, strict=True)], names=names)
+                cols += [pa.array(k, pa.int64(), mask=m) for k, m in zip(keys, alone, strict=True)]
+                more = np.flatnonzero(n >= max(min_words, 2 * words_per_edit))
+                maps, own = np.zeros((len(n), MAP_BITS // 64), np.int64), np.zeros(len(n), np.int64)
+                flat, own[more] = first_runs(seq, s[more], e[more], shared.value, words_per_edit)
+                maps[more] = parities(seq, s[more], e[more])
+                cols += [pa.array(m, pa.int64(), mask=own == 0) for m in maps.T.copy()]
+                cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(own)]).astype(np.int32)), pa.array(flat.view(np.int64))))
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, line_no int, words int, line long, p1 long, p2 long, s1 long, s2 long")
+    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").mapInArrow(tidy(run), schema)
 
 
 def neighbourhoods(wanted: DataFrame) -> DataFrame:
@@ -208,38 +258,27 @@ def edits(a: list[str], b: list[str], limit: int = 1) -> int:
     return limit + 1
 
 
-def runs(docs: DataFrame, words_per_edit: int, among=None) -> DataFrame:
-    """key, line, words, doc_id, line_no: of each line that may have two edits or more, its least run hashes; with `among`
-    (a broadcast of bits_of keys) those that are in it, and few others."""
+def members(table: DataFrame) -> DataFrame:
+    """key, words, own (doc_id, line_no, line, m1, m2): the distinct lines under each run that two lines or more have."""
+    keyed = table.where("size(runs) > 0")
+    ends = keyed.select(F.explode("runs").alias("key"), "line").groupBy("key").agg(F.min("line").alias("x"), F.max("line").alias("y"))
+    shared = materialise(ends.where("x <> y").select("key"), "lines-runs-shared")
+    among = table.sparkSession.sparkContext.broadcast(bits_of(shared, F.col("key")))  # a filter of fixed size; the join below is exact
+    names = ["line", "words", "m1", "m2", "doc_id", "line_no"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for at, _, b, offsets, passed in line_slices(batch.column(1)):
-                seq, row, number, s, e = line_words(b, offsets)
-                number += passed
-                long = e - s >= 2 * words_per_edit
-                row, number, s, e = row[long], number[long], s[long], e[long]
-                if not len(s):
-                    continue
-                n = e - s
-                times = n - RUN + 1
-                owner = np.repeat(np.arange(len(n)), times)
-                start = np.arange(len(owner)) - np.repeat(np.cumsum(times) - times, times) + s[owner]
-                key = seq.hashed(start, start + RUN)
-                key = key[np.lexsort((key, owner))]
-                new = np.r_[True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])]
-                key, owner = key[new], owner[new]
-                place = np.arange(len(owner)) - np.searchsorted(owner, owner)
-                stay = place < (n // words_per_edit * RUN + 1)[owner]
-                if among is not None:
-                    bit = key & np.uint64(len(among.value) * 64 - 1)
-                    stay &= ((among.value[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1)).astype(bool)
-                key, owner = key[stay], owner[stay]
-                cols = [key.view(np.int64), seq.hashed(s, e).view(np.int64)[owner], n.astype(np.int32)[owner], ids[at + row][owner], number.astype(np.int32)[owner]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "line", "words", "doc_id", "line_no"])
-
-    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").mapInArrow(tidy(run), "key long, line long, words int, doc_id long, line_no int")
+            lists = batch.column(len(names))
+            key = lists.flatten().to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            bit = key.view(np.uint64) & np.uint64(len(among.value) * 64 - 1)
+            stay = ((among.value[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1)).astype(bool)
+            of = batch.select(names).take(pa.array(owner[stay]))
+            yield pa.RecordBatch.from_arrays([pa.array(key[stay]), *of.columns], names=["key", *names])
+
+    near = keyed.select(*names, "runs").mapInArrow(tidy(run), "key long, line long, words int, m1 long, m2 long, doc_id long, line_no int")
+    near = near.groupBy("key", "line", "words", "m1", "m2").agg(F.min(F.struct("doc_id", "line_no")).alias("place"))
+    return materialise(near.join(shared, "key", "left_semi").select("key", "words", F.struct("place.doc_id", "place.line_no", "line", "m1", "m2").alias("own")), "lines-runs")
 
 
 def contents(wanted: DataFrame) -> DataFrame:
@@ -279,29 +318,35 @@ def verified(pairs: DataFrame, words_per_edit: int, min_words: int) -> DataFrame
     return pairs.select("line", "content", "earlier").mapInArrow(tidy(verify), "line long")
 
 
-def doomed_by_more(docs: DataFrame, gone: DataFrame, words_per_edit: int, min_words: int) -> DataFrame:
+def doomed_by_more(docs: DataFrame, table: DataFrame, gone: DataFrame, words_per_edit: int, min_words: int) -> DataFrame:
     """line: those not in `gone` that have an earlier line within the edits allowed, where these are two or more."""
-    shared = runs(docs, words_per_edit).groupBy("key").agg(F.min("line").alias("x"), F.max("line").alias("y")).where("x <> y").select("key")
-    shared = materialise(shared, "lines-runs-shared")
-    among = docs.sparkSession.sparkContext.broadcast(bits_of(shared.select("key"), F.col("key")))
-    members = runs(docs, words_per_edit, among).groupBy("key", "line", "words").agg(F.min(F.struct("doc_id", "line_no")).alias("place"))
-    members = materialise(members.join(shared, "key", "left_semi").select("key", "words", F.struct("place.doc_id", "place.line_no", "line").alias("own")), "lines-runs")
+    runs = members(table)
+    edits_ = F.floor(F.least("words", "other_words") / words_per_edit)
+    fits = F.abs(F.col("words") - F.col("other_words")) <= edits_
+    differ = F.bit_count(F.col("own.m1").bitwiseXOR(F.col("other.m1"))) + F.bit_count(F.col("own.m2").bitwiseXOR(F.col("other.m2")))
+    may = fits & (F.col("other") < F.col("own")) & (differ <= 2 * edits_)
+    earliest = runs.groupBy("key", "words").agg(F.min("own").alias("other")).withColumn("other_words", F.col("words"))
+    others = runs.select("key", F.col("words").alias("other_words"), F.col("own").alias("other"))
+    ends = lambda pairs: pairs.where(may).select(*[F.struct(*[F.col(f"{s}.{c}") for c in ("doc_id", "line_no", "line")]).alias(s) for s in ("own", "other")]).distinct()
+    with_all = lambda left: ends(left.join(others, "key"))
 
     def alike(pairs: DataFrame, label: str) -> DataFrame:
-        pairs = materialise(pairs.select("own", "other").distinct(), f"lines-pairs-{label}")
         asked = pairs.select("own").union(pairs.select("other")).distinct().groupBy("own.doc_id").agg(F.collect_list(F.struct("own.line_no", "own.line")).alias("asked"))
         asked = materialise(asked, f"lines-pairs-asked-{label}")
         content = materialise(contents(texts_near(docs, asked.select("doc_id")).join(asked, "doc_id").select("doc_id", "text", "asked")).dropDuplicates(["line"]), f"lines-pairs-texts-{label}")
         both = pairs.select("own.line", F.col("other.line").alias("other")).join(content, "line").join(content.select(F.col("line").alias("other"), F.col("content").alias("earlier")), "other")
         return materialise(verified(both, words_per_edit, min_words).distinct(), f"lines-pairs-alike-{label}")
 
-    left = members.select("key", "words", "own", F.col("own.line").alias("line")).join(gone, "line", "left_anti")
-    earliest = members.groupBy("key", "words").agg(F.min("own").alias("other"))
-    first = alike(left.join(earliest, ["key", "words"]).where("other < own"), "first")
-    left = left.join(first, "line", "left_anti")
-    others = members.select("key", F.col("words").alias("other_words"), F.col("own").alias("other"))
-    fits = F.abs(F.col("words") - F.col("other_words")) <= F.floor(F.least("words", "other_words") / words_per_edit)
-    return first.union(alike(left.join(others, "key").where(fits & (F.col("other") < F.col("own"))), "all"))
+    left = materialise(runs.withColumn("line", F.col("own.line")).join(gone, "line", "left_anti"), "lines-runs-left")
+    first = materialise(ends(left.join(earliest, ["key", "words"])), "lines-pairs-first")
+    rest = with_all(left.join(first.select("own.line"), "line", "left_anti"))
+    pairs = materialise(first.union(rest), "lines-pairs")
+    found = alike(pairs, "most")
+    unlike = materialise(first.select("own.line").distinct().join(found, "line", "left_anti"), "lines-pairs-unlike")
+    if unlike.isEmpty():
+        return found
+    again = materialise(with_all(left.join(unlike, "line", "left_semi")).join(first, ["own", "other"], "left_anti"), "lines-pairs-again")
+    return found.union(alike(again, "again"))
 
 
 def doomed(kept: DataFrame, docs: DataFrame, words_per_edit: int, min_words: int) -> DataFrame:
@@ -335,10 +380,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     if min_words < 2:
         raise ValueError("min_words must be 2 or more: a line of one word has no half")
     slim = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    found = lines(slim, min_words).groupBy("line").agg(F.min(F.struct("doc_id", "line_no", "words", "p1", "p2", "s1", "s2")).alias("x")).select("line", "x.*")
+    classes, _ = commonness(sketch(slim, lambda texts: all_runs(texts, 2 * words_per_edit)))
+    table = materialise(lines(slim, classes, words_per_edit, min_words), "lines-all")
+    found = table.groupBy("line").agg(F.min(F.struct("doc_id", "line_no", "words", "p1", "p2", "s1", "s2")).alias("x")).select("line", "x.*")
     found = materialise(found, "lines")
     gone = materialise(doomed(found, slim, words_per_edit, min_words), "lines-gone")
-    gone = gone.union(doomed_by_more(slim, gone, words_per_edit, min_words))
+    gone = gone.union(doomed_by_more(slim, table, gone, words_per_edit, min_words))
     kept = found.select("line", "doc_id", "line_no").join(gone, "line", "left_anti")
     kept = kept.groupBy("doc_id").agg(F.collect_list("line_no").alias("line_dedup_kept")).withColumnRenamed("doc_id", "line_dedup_id")
     joined = docs.join(kept, docs[id_col].cast("long") == kept["line_dedup_id"], "left").drop("line_dedup_id")

@@ -71,8 +71,7 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     drawn = number_of(F.concat(F.coalesce(F.col("mix_id").cast("string"), F.lit("")), F.lit("|"), F.col("mix_digest")), 12)
     base = base.withColumn("mix_class", size_class(F.col("mix_size"))).withColumn("mix_salt", (drawn % SALTS).cast("int"))
     base = base.withColumn("mix_slope", F.when(F.floor(drawn / (1 << 24)) % 2 == 0, F.col("mix_class")).otherwise(SLOPES - F.col("mix_class")))
-    if keep is not None:
-        base = materialise(base, "mix-sizes")  # the texts are read once
+    base = materialise(base, "mix-sizes")  # words are counted once
     cell = ["mix_src", "mix_slope", "mix_salt"]
     cells = base.groupBy(*cell).agg(F.count(F.lit(1)).alias("cell_rows"), F.sum("mix_size").alias("cell_size"))
     slopes = cells.groupBy("mix_src", "mix_slope").agg(F.sum("cell_rows").alias("slope_rows"), F.sum("cell_size").alias("cell_size"))

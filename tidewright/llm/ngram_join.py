@@ -43,12 +43,11 @@ from pyspark.sql import functions as F
 from .common import materialise, tidy
 from .components import components
 from .shingles import mixed, shingle_lists
+from .sketch import SKETCH_BITS, class_of, commonness, sketch
 from .textfilter import texts_near
 
 WIDTH = 5
 PERCENT = 80
-SKETCH_BITS = 20
-CHUNK = 1 << 14
 PARITY_BITS = 512
 MAPS = [f"g{k}" for k in range(PARITY_BITS // 64)]
 _PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -59,46 +58,6 @@ def least_overlap(n: int, percent: int = PERCENT) -> int:
     return -(-percent * n // 100)
 
 
-def sketch(docs: DataFrame, width: int) -> np.ndarray:
-    """How often shingles fall on each of 2^SKETCH_BITS counters, over all texts."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held = np.zeros(1 << SKETCH_BITS, np.int64), []
-        for batch in batches:
-            for _, hashes in shingle_lists(batch.column(0), width):
-                held.append(hashes >> np.uint64(64 - SKETCH_BITS))
-                if len(held) >= 2000:
-                    total += np.bincount(np.concatenate(held).astype(np.int64), minlength=1 << SKETCH_BITS)
-                    held = []
-        if held:
-            total += np.bincount(np.concatenate(held).astype(np.int64), minlength=1 << SKETCH_BITS)
-        if total.any():
-            parts = [total[k : k + CHUNK].astype(np.uint32).tobytes() for k in range(0, len(total), CHUNK)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["chunk", "counts"])
-
-    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CHUNK, np.uint64)
-        for batch in batches:
-            for x in batch.column(batch.schema.get_field_index("counts")).to_pylist():
-                total += np.frombuffer(x, np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["chunk", "counts"])
-
-    parts = docs.select("text").mapInArrow(tidy(count), "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, counts binary")
-    out = np.zeros(1 << SKETCH_BITS, np.uint64)
-    for chunk, counts in parts.collect():  # 2^SKETCH_BITS counters, whatever the input
-        out[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(counts, np.uint64)
-    return out
-
-
-def commonness(counts: np.ndarray) -> tuple[np.ndarray, float]:
-    """A class for each counter (0 for what chance explains), and the expected length of a list under a class-0 shingle."""
-    mean = max(float(counts.mean()), 1e-9)
-    classes = np.clip(np.ceil(2 * np.log2(np.maximum(counts, 1) / (mean + 4 * mean**0.5 + 4))), 0, 255).astype(np.uint8)
-    light = counts[classes == 0].astype(np.float64)
-    length = float((light**2).sum() / light.sum() - mean) if light.sum() else 0.0
-    return classes, max(0.0, length)
-
-
 def boundary(length: float, percent: int = PERCENT) -> int:
     """The largest size whose pairs, (p + 1) p / 2, cost no more than its p list entries and their scans, p (1 + length)."""
     n, most = 1, 1 + 2 * length
@@ -113,7 +72,7 @@ def signatures(hashes: np.ndarray, classes: np.ndarray, light_to: int, percent:
     if n < 2:
         return hashes[:0]  # one shingle links to the same one only, and equal sets are one node
     p = n - least_overlap(n, percent) + 1
-    ordered = hashes[np.argsort(classes[(hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")]
+    ordered = hashes[np.argsort(class_of(hashes, classes), kind="stable")]
     if n > light_to:
         return ordered[:p]
     first = ordered[: p + 1]
@@ -207,7 +166,7 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id reachable by links) of every row."""
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    classes, length = commonness(sketch(docs, width))
+    classes, length = commonness(sketch(docs, lambda texts: (h for _, h in shingle_lists(texts, width))))
     sets = materialise(nodes(docs, classes, boundary(length, percent), width, percent), "ngram-sets")
     digest = ["n", "s1", "s2"]
     classed = sets.where("n > 0 AND doc_id IS NOT NULL")
