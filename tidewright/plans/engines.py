@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import names as N
 from ..functions import security as S
 
 # ---- Fixed values: the cost model's prices and bounds, the impact model, the score's weights.
@@ -249,9 +250,9 @@ def kpis(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 #: Names that look like dates, measures and small sets of values.
-DATE_ISH = r"^ts$|(_at|_ts|_date|_time|_dt)$|date|timestamp"
-AMOUNT_ISH = "amount|price|total|cost|revenue|quantity|balance|fee|salary|count"
-ENUM_ISH = r"^(status|state|type|category|country|currency|gender|priority|segment|plan|tier|channel|event_type)$|(_status|_type|_category|_code|_kind|_level|_flag)$"
+DATE_ENDS, DATE_PARTS = ("at", "ts", "time", "date", "day"), ("date", "timestamp")
+AMOUNT_PARTS = ("amount", "price", "cost", "total", "revenue", "balance", "quantity", "qty", "fee", "spend")
+ENUM_PARTS = ("status", "type", "state")
 
 
 def generated_tests(tables: DataFrame, lineage: DataFrame, max_tables: int = 8, max_columns: int = 25) -> DataFrame:
@@ -266,9 +267,11 @@ def generated_tests(tables: DataFrame, lineage: DataFrame, max_tables: int = 8,
     key = F.coalesce(low == F.lower(id_first), F.lit(False))
     parents = lineage.where("source_table <> output_table").select("pipeline", F.col("output_table").alias("name"), F.col("output_column").alias("column"), F.lit(True).alias("has_parent")).distinct()
     t = t.join(parents, ["pipeline", "name", "column"], "left")
+    amount = N.contains_any(low, AMOUNT_PARTS)
+    dated = N.contains_any(low, DATE_PARTS) | (low == "ts") | ((F.size(N.parts(low)) > 1) & N.last_part(low).isin(*DATE_ENDS))
     found = F.array_compact(F.array(
-        F.when(key, "unique"), F.when(key | low.rlike(DATE_ISH) | low.rlike(AMOUNT_ISH), "not_null"), F.when(low.rlike(AMOUNT_ISH), "between"),
-        F.when(low.rlike(ENUM_ISH), "accepted_values"), F.when(low.endswith("_id") & F.col("has_parent"), "relationships"),
+        F.when(key, "unique"), F.when(key | dated | amount, "not_null"), F.when(amount, "between"),
+        F.when(N.last_part(low).isin(*ENUM_PARTS), "accepted_values"), F.when(low.endswith("_id") & F.col("has_parent"), "relationships"),
     ))
     return t.select("pipeline", "name", "column", F.explode(found).alias("test"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ...functions import names as N
 from ..ir import Tables
 from . import a, at, once, rule, yes
 
@@ -70,13 +71,13 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     ops = t.ops("REPARTITION").where(a("target_partitions") == "1")
     spark_text = t.pipelines.where(F.col("format").isin("spark", "flink", "kafka")).select("pipeline")
-    text = t.lines.where(F.col("content").rlike(r"\.(repartition|coalesce)\s*\(\s*1\s*\)")).join(spark_text, "pipeline", "left_semi")
+    text = t.lines.where(N.contains_any(F.translate("content", " \t", ""), (".repartition(1)", ".coalesce(1)"))).join(spark_text, "pipeline", "left_semi")
     new = text.join(ops.select("pipeline", "line"), ["pipeline", "line"], "left_anti").select("pipeline", "line", F.lit(0).alias("col"), F.lit("A single partition carries all rows").alias("message"))
     return at(ops, "%s(1) makes one task write everything", a("method")).unionByName(new)
 
 
 @rule("NO_CONSUMER_GROUP_NAMING", "INFO", "observability", SFK, "The consumer has no name", "Set a group id.")
 def _(t: Tables) -> DataFrame:
-    named = r"(?i)group[._\s-]?id|consumer[._\s-]?group|application[._\s-]?id"
-    s = once(of_streams(t, "SOURCE").where(F.coalesce(a("connector"), F.lit("")) == "kafka")).join(streams(t).where(F.col("source").rlike(named)).select("pipeline"), "pipeline", "left_anti")
+    named = N.contains_any(N.squeezed(F.col("source")), ("groupid", "consumergroup", "applicationid"))
+    s = once(of_streams(t, "SOURCE").where(F.coalesce(a("connector"), F.lit("")) == "kafka")).join(streams(t).where(named).select("pipeline"), "pipeline", "left_anti")
     return at(s, "The lag of this consumer can't be told from others'")

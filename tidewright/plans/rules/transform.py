@@ -5,12 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ...functions import names as N
 from ..ir import Tables
 from . import a, at, once, rule
 
-#: Names that look like keys or dates.
-ID_LIKE = r"(?i)(^id$|_id$|_key$|^pk_|_pk$)"
-DATE_LIKE = r"(?i)(date|_at\b|_ts\b|time|partition|\bdt\b|\bday\b|\bmonth\b)"
+
+
+def like_key(name: Column) -> Column:
+    """id, or a name that ends with id, key or pk or begins with pk, parts told by underscores."""
+    several = F.size(N.parts(name)) > 1
+    return (F.lower(name) == "id") | (several & (N.last_part(name).isin("id", "key", "pk") | (N.parts(name)[0] == "pk")))
+
+
+def like_date(name: Column) -> Column:
+    several = F.size(N.parts(name)) > 1
+    return N.contains_any(F.lower(name), ("date", "time", "partition")) | F.lower(name).isin("dt", "day", "month") | (several & N.last_part(name).isin("at", "ts"))
 
 
 def fact(name: str) -> Column:
@@ -34,7 +43,7 @@ def without(df: DataFrame, other: DataFrame) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     first = once(t.rel("lineage").where(a("output_column").isNotNull())).select("pipeline", a("output_column").alias("first"))
     m = models(t).join(first, "pipeline", "left")
-    key = F.when(fact("unique_key") != "", F.split(fact("unique_key"), ",")[0]).when(F.col("first").rlike(ID_LIKE), F.col("first"))
+    key = F.when(fact("unique_key") != "", F.split(fact("unique_key"), ",")[0]).when(like_key(F.col("first")), F.col("first"))
     m = m.withColumn("column", key).where("column IS NOT NULL")
     tested = tests(t).where(F.col("test").rlike("unique|not_null")).select("pipeline", "column").distinct()
     return at(m.join(tested, ["pipeline", "column"], "left_anti"), "The key %s has no unique or not_null test", "column")
@@ -62,7 +71,7 @@ def _(t: Tables) -> DataFrame:
 
 @rule("FULL_REFRESH_ON_LARGE_TABLE", "WARNING", "cost", "dbt", "The whole table is rebuilt", "Make the model incremental, or filter by date.")
 def _(t: Tables) -> DataFrame:
-    dated = t.ops("FILTER").where(F.exists(F.from_json(a("columns"), "array<string>"), lambda x: x.rlike(DATE_LIKE))).select("pipeline")
+    dated = t.ops("FILTER").where(F.exists(F.from_json(a("columns"), "array<string>"), lambda x: like_date(x))).select("pipeline")
     return at(without(models(t).where(fact("materialization") == "table"), dated.unionByName(t.ops("PARTITION_FILTER").select("pipeline"))), "%s reads all history on each run", fact("name"))
 
 
