@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import detect, engines as E, ir, rules
-from .pipelines_demo import TEXTS
+from . import detect, engines as E, ir, rules, rules_demo
+from .pipelines_demo import OPERATION_TEXTS, TEXTS
 from .registry import Registry
 
 R = Registry()
@@ -56,19 +56,79 @@ def expected(columns: str, rows: list[tuple]) -> str:
     return f"SELECT * FROM (VALUES {values(rows)}) AS v({columns})"
 
 
-@R.query(None)
+#: The operations of each text, written out by reading it; a filter on a partition column counts as both kinds.
+OPERATIONS = {
+    "clean_report": "SELECT 1, JOIN 1, FILTER 1, PARTITION_FILTER 1, AGGREGATE 1, LIMIT 1",
+    "consumer": "SOURCE 1, SINK 1",
+    "fct_sales": "SELECT 1, JOIN 1, FILTER 1",
+    "flow": "DAG 1, TASK 2",
+    "leaky_job": "READ 1, REPARTITION 1, WRITE 1",
+    "messy_sql": "CTE 2, SELECT 5, DISTINCT 1, JOIN 2, FILTER 2, PARTITION_FILTER 1, UNION 1, ORDER_BY 1, DELETE 1, UPDATE 1, INSERT 1, AGGREGATE 1, WINDOW 1",
+    "nightly_dag": "DAG 1, SENSOR 1, TASK 3, XCOM 1",
+    "operations_job": "READ 3, BROADCAST 1, JOIN 2, GROUP_BY 1, AGGREGATE 1, WINDOW 1, REPARTITION 1, CACHE 1, COLLECT 1, WRITE 1",
+    "operations_loop": "DAG 1, TASK 1, DYNAMIC_DAG 1",
+    "operations_merge": "MERGE 1",
+    "page_views": "SOURCE 1, SINK 1, INSERT 1, SELECT 1, WINDOW 1, AGGREGATE 1, ORDER_BY 1",
+    "shop_mart": "SELECT 3, SUBQUERY 2, JOIN 1, FILTER 2, AGGREGATE 1",
+    "stream_job": "READ 1, WATERMARK 1, GROUP_BY 1, CHECKPOINT 1, WRITE 1",
+    "suite": "EXPECTATION 2",
+    "topology": "SOURCE 1, GROUP_BY 1, WINDOW 1, STATE 1, SINK 1",
+}
+OPERATION_ROWS = [(p, *kind.split()) for p, kinds in OPERATIONS.items() for kind in kinds.split(", ")]
+
+
+@R.query(f"SELECT pipeline, type, CAST(n AS BIGINT) AS n FROM ({expected('pipeline, type, n', OPERATION_ROWS)})")
 def ir_operation_mix(spark: SparkSession, d: str) -> DataFrame:
-    return counted(tables_of(spark).ops(), "type")
+    return counted(ir.analyse(ir.from_texts(spark, TEXTS | OPERATION_TEXTS)).ops(), "type")
+
+
+#: Tables with the columns that the text names of them, sorted, as read.
+TABLE_ROWS = [
+    ("clean_report", "sales.invoice_lines", "read", "s", "event_date,net_value,region_id"), ("clean_report", "sales.regions", "read", "r", "region_id,region_name"),
+    ("consumer", "orders", "read", "", ""), ("consumer", "invoices", "write", "", ""),
+    ("fct_sales", "till.sales", "read", "s", "client_id,net_value,sale_id,sold_at,state"), ("fct_sales", "stg_clients", "read", "c", "client_id"), ("fct_sales", "fct_sales", "write", "", "net_value,sale_id"),
+    ("leaky_job", "s3://open-data-public/rates.csv", "read", "", ""), ("leaky_job", "s3://own/rates", "write", "", ""),
+    ("messy_sql", "pay.transactions", "read", "", "amount,created_at,id"), ("messy_sql", "pay.archive", "read", "", "amount,id"), ("messy_sql", "pay.accounts", "readwrite", "acc", "account_key,balance"),
+    ("messy_sql", "pay.scratch", "write", "", ""), ("messy_sql", "pay.totals", "write", "", ""),
+    ("page_views", "views", "read", "", "n,page,seen_at,visitor"), ("page_views", "views_by_page", "write", "", "bucket,n,page"),
+    ("shop_mart", "shop.basket_mart", "write", "", ""), ("shop_mart", "shop.basket_lines", "read", "bl", "basket_id"), ("shop_mart", "shop.baskets", "read", "b", "opened_on,shopper_id"),
+    ("shop_mart", "shop.shoppers", "read", "u", "customer_email"), ("shop_mart", "shop.ghosts", "read", "g", "shopper_id"),
+    ("stream_job", "taps", "read", "", ""), ("stream_job", "s3://own/counts", "write", "", ""),
+    ("suite", "sales", "read", "", "net_value,sale_id"), ("topology", "clicks", "read", "", ""), ("topology", "click_counts", "write", "", ""),
+]
 
 
-@R.query(None)
+@R.query(expected("pipeline, name, access, alias, columns", TABLE_ROWS))
 def ir_tables(spark: SparkSession, d: str) -> DataFrame:
-    return tables_of(spark).tables
+    return tables_of(spark).tables.select("pipeline", "name", "access", "alias", F.array_join(F.array_sort("columns"), ",").alias("columns"))
+
 
+LINEAGE_ROWS = [
+    ("clean_report", "query_result", "region_name", "sales.regions", "region_name", "direct", ""), ("clean_report", "query_result", "net_value", "sales.invoice_lines", "net_value", "aggregation", "SUM(s.net_value)"),
+    ("fct_sales", "fct_sales", "sale_id", "till.sales", "sale_id", "direct", ""), ("fct_sales", "fct_sales", "sold_at", "till.sales", "sold_at", "direct", ""),
+    ("fct_sales", "fct_sales", "client_id", "stg_clients", "client_id", "direct", ""), ("fct_sales", "fct_sales", "net_value", "till.sales", "net_value", "direct", ""),
+    ("page_views", "views_by_page", "TUMBLE_START(seen_at, INTERVAL '3' HOUR)", "views", "seen_at", "expression", "TUMBLE_START(seen_at, INTERVAL '3' HOUR)"), ("page_views", "views_by_page", "page", "views", "page", "direct", ""),
+    ("shop_mart", "shop.basket_mart", "customer_email", "shop.shoppers", "customer_email", "direct", ""),
+]
 
-@R.query(None)
+
+@R.query(expected("pipeline, output_table, output_column, source_table, source_column, transformation, expression", LINEAGE_ROWS))
 def ir_column_lineage(spark: SparkSession, d: str) -> DataFrame:
-    return tables_of(spark).lineage
+    return tables_of(spark).lineage.select("pipeline", "output_table", "output_column", "source_table", "source_column", "transformation", "expression")
+
+
+def fire(spark: SparkSession, cases: dict[str, tuple[str, str]]) -> DataFrame:
+    """Each rule on a text that it is for, and on a near miss."""
+    texts = {f"{rule}/{kind}": text for rule, pair in cases.items() for kind, text in zip(("fires", "near_miss"), pair, strict=True)}
+    issues = rules.run(ir.analyse(ir.from_texts(spark, texts)), list(cases))
+    issues = issues.where(F.substring_index("pipeline", "/", 1) == c("rule")).select("rule", F.substring_index("pipeline", "/", -1).alias("kind")).distinct()
+    every = spark.createDataFrame([(r,) for r in cases], "rule string")
+    hit = lambda kind: F.coalesce(F.bool_or(c("kind") == kind), F.lit(False)).alias(kind)
+    return every.join(issues, "rule", "left").groupBy("rule").agg(hit("fires"), hit("near_miss"))
+
+
+for _name, _cases in rules_demo.CASES.items():
+    R.query(expected("rule, fires, near_miss", [(r, True, False) for r in _cases]), name=f"rules_fire_{_name}")(lambda spark, d, cases=_cases: fire(spark, cases))
 
 
 def found(spark: SparkSession, module: str, *formats: str) -> DataFrame:
@@ -89,17 +149,24 @@ def issues_sql(spark: SparkSession, d: str) -> DataFrame:
     return found(spark, "sql", "sql").where("pipeline = 'shop_mart'")
 
 
-@R.query(None)
+MESSY = {"CASE_WITHOUT_ELSE": "INFO", "DELETE_WITHOUT_WHERE": "CRITICAL", "DISTINCT_STAR": "WARNING", "EXPLODING_JOIN": "WARNING", "FUNCTION_ON_FILTER_COLUMN": "WARNING", "GROUP_BY_ORDINAL": "INFO", "HARDCODED_DATE": "INFO", "HAVING_WITHOUT_AGGREGATE": "WARNING", "IMPLICIT_CAST_IN_JOIN": "CRITICAL", "IMPLICIT_COLUMN_INSERT": "WARNING", "INCONSISTENT_CASE_CONVENTION": "INFO", "LIKE_WITHOUT_WILDCARD": "INFO", "MISSING_COLUMN_ALIAS": "INFO", "NULL_COMPARISON": "WARNING", "ORDER_BY_WITHOUT_LIMIT": "WARNING", "OR_IN_WHERE_DEFEATS_INDEX": "WARNING", "SELECT_STAR": "CRITICAL", "UNBOUNDED_FULL_SCAN": "CRITICAL", "UNION_INSTEAD_OF_UNION_ALL": "WARNING", "UNUSED_CTE": "INFO", "UPDATE_WITHOUT_WHERE": "CRITICAL", "WINDOW_FUNCTION_ON_FULL_TABLE": "WARNING"}
+SQL_ALL_EXPECTED = SQL_EXPECTED + [("messy_sql", r, s, 2 if r == "MISSING_COLUMN_ALIAS" else 1) for r, s in MESSY.items()] + [("clean_report", "HARDCODED_DATE", "INFO", 1), ("page_views", "MISSING_COLUMN_ALIAS", "INFO", 1), ("fct_sales", "MISSING_PARTITION_FILTER", "WARNING", 1)]
+
+
+@R.query(expected("pipeline, rule, severity, n", SQL_ALL_EXPECTED))
 def issues_sql_all(spark: SparkSession, d: str) -> DataFrame:
-    return found(spark, "sql", "sql", "flink")
+    return found(spark, "sql", "sql", "flink", "dbt")
 
 
 ORCHESTRATION_EXPECTED = [("nightly_dag", r, s, n) for r, s, n in [("MISSING_OWNER", "WARNING", 1), ("NO_CATCHUP_SET", "CRITICAL", 1), ("NO_DAGRUN_TIMEOUT", "WARNING", 1), ("NO_DAG_TAGS", "INFO", 1), ("NO_DOC_MD", "INFO", 1), ("NO_EXECUTION_TIMEOUT", "WARNING", 2), ("NO_MAX_ACTIVE_RUNS", "WARNING", 1), ("NO_ON_FAILURE_CALLBACK", "WARNING", 1), ("NO_POOL_SET", "WARNING", 2), ("NO_RETRIES", "CRITICAL", 1), ("NO_SLA", "WARNING", 1), ("SENSOR_POKE_MODE", "WARNING", 1), ("SEQUENTIAL_HEAVY_TASKS", "CRITICAL", 1), ("XCOMS_LARGE_DATA", "CRITICAL", 1)]]
 
 
-@R.query(expected("pipeline, rule, severity, n", ORCHESTRATION_EXPECTED))
+FLOW_EXPECTED = [("flow", r, s, 1) for r, s in [("MANUAL_ONLY_SCHEDULE", "INFO"), ("MISSING_OWNER", "WARNING"), ("NO_DAG_TAGS", "INFO"), ("NO_EXECUTION_TIMEOUT", "WARNING"), ("NO_ON_FAILURE_CALLBACK", "WARNING"), ("NO_RETRIES", "CRITICAL")]]
+
+
+@R.query(expected("pipeline, rule, severity, n", ORCHESTRATION_EXPECTED + FLOW_EXPECTED))
 def issues_orchestration(spark: SparkSession, d: str) -> DataFrame:
-    return found(spark, "orchestration", "airflow")
+    return found(spark, "orchestration", "airflow", "prefect")
 
 
 DBT_EXPECTED = [("fct_sales", r, s, 1) for r, s in [("MISSING_DESCRIPTION", "WARNING"), ("MISSING_INCREMENTAL_GUARD", "WARNING"), ("MISSING_INCREMENTAL_STRATEGY", "WARNING"), ("MISSING_NOT_NULL_TEST", "WARNING"), ("MISSING_SOURCE_FRESHNESS", "INFO"), ("MISSING_UNIQUE_TEST", "WARNING"), ("NO_TAGS", "INFO"), ("NO_TESTS_ON_PRIMARY_KEY", "CRITICAL"), ("NO_UNIQUE_KEY_ON_INCREMENTAL", "WARNING"), ("UNTESTED_SOURCE", "CRITICAL")]]
@@ -118,14 +185,22 @@ def issues_streaming(spark: SparkSession, d: str) -> DataFrame:
     return found(spark, "streaming", "flink").where("pipeline = 'page_views'")
 
 
-@R.query(None)
+STREAM_ALL_EXPECTED = [("consumer", "NO_BACKPRESSURE_HANDLING", "WARNING", 1), ("consumer", "NO_CHECKPOINTING", "CRITICAL", 1), ("leaky_job", "SINGLE_PARTITION_SINK", "WARNING", 1)] + [("topology", r, s, 1) for r, s in [("MISSING_WATERMARK", "CRITICAL"), ("NO_BACKPRESSURE_HANDLING", "WARNING"), ("NO_CHECKPOINTING", "CRITICAL"), ("NO_CONSUMER_GROUP_NAMING", "INFO"), ("UNBOUNDED_STATE", "CRITICAL"), ("WIDE_TUMBLING_WINDOW", "WARNING")]]
+
+
+@R.query(expected("pipeline, rule, severity, n", STREAM_ALL_EXPECTED))
 def issues_streaming_all(spark: SparkSession, d: str) -> DataFrame:
     return found(spark, "streaming", "spark", "kafka")
 
 
-@R.query(expected("pipeline, rule, severity, n", [("leaky_job", "HARDCODED_CREDENTIALS", "CRITICAL", 1), ("leaky_job", "PUBLIC_CLOUD_PATH", "WARNING", 1), ("shop_mart", "PII_COLUMN_NAMED", "INFO", 1), ("shop_mart", "UNMASKED_PII_TO_OUTPUT", "WARNING", 1)]))
+SECURITY_EXPECTED = [("leaky_job", "HARDCODED_CREDENTIALS", "CRITICAL", 1), ("leaky_job", "PUBLIC_CLOUD_PATH", "WARNING", 1), ("shop_mart", "PII_COLUMN_NAMED", "INFO", 1), ("shop_mart", "UNMASKED_PII_TO_OUTPUT", "WARNING", 1)]
+
+
+@R.query(expected("pipeline, rule, severity, n", SECURITY_EXPECTED))
 def issues_security(spark: SparkSession, d: str) -> DataFrame:
-    return found(spark, "security", "sql", "spark").where("pipeline IN ('shop_mart', 'leaky_job')")
+    return found(spark, "security", "sql", "spark", "dbt", "flink", "airflow", "prefect", "kafka", "great_expectations")
+
+
 
 
 # ---- engines, over tables that both sides spell out

@@ -72,6 +72,7 @@ def analyse(pipelines: DataFrame) -> Tables:
     found = format_of(F.col("source"))
     fmt = F.coalesce("format", found) if "format" in pipelines.columns else found
     known = pipelines.select("pipeline", F.coalesce("source", F.lit("")).alias("source"), fmt.alias("format")).withColumn("dialect", dialect_of(F.col("format"), F.col("source")))
+    known = materialise(known, "pipelines-known")  # detection runs once, not in each rule that reads the texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.map_(pa.string(), pa.string())

@@ -164,3 +164,31 @@ TEXTS = {
     "shop_mart": SHOP_MART, "clean_report": CLEAN_REPORT, "messy_sql": MESSY_SQL, "fct_sales": FCT_SALES, "page_views": PAGE_VIEWS, "nightly_dag": NIGHTLY_DAG,
     "leaky_job": LEAKY_JOB, "stream_job": STREAM_JOB, "flow": FLOW, "consumer": CONSUMER, "topology": TOPOLOGY, "suite": SUITE, "garbage": "!!! no pipeline at all !!!",
 }
+
+OPERATIONS_JOB = '''from pyspark.sql import SparkSession, Window, functions as F
+
+spark = SparkSession.builder.getOrCreate()
+sales = spark.read.parquet("s3://own/sales")
+shops = spark.read.table("ref.shops")
+goods = spark.read.json("s3://own/goods")
+joined = sales.join(F.broadcast(shops), "shop_id").join(goods, "good_id").filter("v > 0")
+by_shop = joined.groupBy("shop_id").agg(F.sum("v").alias("v"))
+ranked = by_shop.withColumn("r", F.rank().over(Window.partitionBy("shop_id").orderBy("v"))).repartition(8).cache()
+rows = ranked.collect()
+ranked.write.parquet("s3://own/ranked")
+'''
+
+OPERATIONS_LOOP = '''from airflow import DAG
+from airflow.operators.python import PythonOperator
+
+with DAG(dag_id="by_shop", schedule="@hourly") as dag:
+    for shop in SHOPS:
+        PythonOperator(task_id="load_shop", python_callable=load)
+'''
+
+OPERATIONS_MERGE = """MERGE INTO pay.accounts AS a USING pay.changes AS c ON a.id = c.id
+WHEN MATCHED THEN UPDATE SET balance = c.balance WHEN NOT MATCHED THEN INSERT (id, balance) VALUES (c.id, c.balance)
+"""
+
+#: For the kinds of operations that no text above has.
+OPERATION_TEXTS = {"operations_job": OPERATIONS_JOB, "operations_loop": OPERATIONS_LOOP, "operations_merge": OPERATIONS_MERGE}
