@@ -29,10 +29,11 @@ def band_join(left: DataFrame, right: DataFrame, left_value: str, right_low: str
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, salts: int, how: str = "inner") -> DataFrame:
     """An equi-join with each key of left dealt over `salts` parts, for keys that adaptive execution can't split (it needs
-    rows of a later aggregation to stay together). right is repeated, so it should be the smaller."""
+    rows of a later aggregation to stay together). right is repeated, so it should be the smaller. The part depends on the row
+    alone, so a task that runs again deals its rows the same way; equal rows share a part."""
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"a {how} join would repeat rows of right")
-    l = left.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    l = left.withColumn("salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
     r = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return l.join(r, [key, "salt"], how).drop("salt")
 

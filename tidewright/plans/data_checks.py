@@ -96,7 +96,7 @@ def stream_session(spark: SparkSession, d: str) -> DataFrame:
 @R.query("SELECT user_id, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM events GROUP BY user_id")
 def stream_custom_state(spark: SparkSession, d: str) -> DataFrame:
     """Running totals in state of our own, each row replacing the user's last."""
-    return runs.running_totals(spark, runs.stream_table(spark, d, "events"))
+    return runs.running_totals(spark, runs.stream_table(spark, d, "events", 1))
 
 
 @R.query("SELECT event_id, r_name FROM events JOIN region ON user_id % 5 = r_regionkey WHERE event_type = 'purchase'")
@@ -105,7 +105,10 @@ def stream_static_join(spark: SparkSession, d: str) -> DataFrame:
     return runs.drain(spark, s.join(F.broadcast(read(spark, d, "region")), c("user_id") % 5 == c("r_regionkey")).select("event_id", "r_name"), "append")
 
 
-@R.query("SELECT v.event_id AS view_id, p.event_id AS purchase_id FROM events v JOIN events p ON v.user_id = p.user_id AND v.event_type = 'view' AND p.event_type = 'purchase' AND p.ts >= v.ts AND p.ts <= v.ts + INTERVAL 1 HOUR")
+VIEW_TO_PURCHASE = "SELECT v.event_id AS view_id, p.event_id AS purchase_id FROM events v JOIN events p ON v.user_id = p.user_id AND v.event_type = 'view' AND p.event_type = 'purchase' AND p.ts >= v.ts AND p.ts <= v.ts + INTERVAL 1 HOUR"
+
+
+@R.query(VIEW_TO_PURCHASE)
 def interval_join(spark: SparkSession, d: str) -> DataFrame:
     """Rows meet by user and hour bin, never all of a user's."""
     hour = F.floor(F.unix_timestamp("ts") / 3600)
@@ -115,6 +118,15 @@ def interval_join(spark: SparkSession, d: str) -> DataFrame:
     return v.join(p, ["user_id", "bin"]).where((c("ts") >= c("seen")) & (c("ts") <= c("seen") + F.expr("INTERVAL 1 HOUR"))).select("view_id", "purchase_id")
 
 
+@R.query(VIEW_TO_PURCHASE)
+def stream_interval_join(spark: SparkSession, d: str) -> DataFrame:
+    """Two streams; with both watermarks and the interval, state older than an hour and the delay is dropped."""
+    late = lambda kind, name, ts: W.event_time(runs.stream_table(spark, d, "events", 1)).where(c("event_type") == kind).select("user_id", c("event_id").alias(name), c("ts").alias(ts)).withWatermark(ts, "2 hours")
+    v, p = late("view", "view_id", "seen"), late("purchase", "purchase_id", "bought").withColumnRenamed("user_id", "buyer")
+    meets = (c("user_id") == c("buyer")) & (c("bought") >= c("seen")) & (c("bought") <= c("seen") + F.expr("INTERVAL 1 HOUR"))
+    return runs.drain(spark, v.join(p, meets).select("view_id", "purchase_id"), "append")
+
+
 # ---- quality
 
 

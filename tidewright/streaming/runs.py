@@ -27,11 +27,19 @@ def _checkpoint(spark: SparkSession) -> str:
 
 
 def drain(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
-    """Runs the stream over what is there now into an in-memory table."""
-    name = f"drained_{uuid.uuid4().hex}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", _checkpoint(spark)).trigger(availableNow=True).start()
+    """Runs the stream over what is there now, each batch into a folder of its own that a batch run again overwrites. In
+    complete mode the last batch holds everything, else the batches add up."""
+    checkpoint = _checkpoint(spark)
+    out = f"{checkpoint}-out"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/{number}")
+
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    if query.lastProgress is None:  # no input, so no batch ran
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(out)
 
 
 def running_totals(spark: SparkSession, stream: DataFrame) -> DataFrame:
