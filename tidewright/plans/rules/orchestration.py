@@ -46,9 +46,9 @@ def _(t: Tables) -> DataFrame:
     return by.select("pipeline", F.col("x")[0]["line"].alias("line"), F.col("x")[0]["col"].alias("col"), F.format_string("%d heavy tasks wait for each other: %s", F.size("x"), F.array_join(F.transform("x", lambda v: v["task"]), " > ")).alias("message"))
 
 
-def linear_chains(edges: DataFrame, rounds: int = 12) -> DataFrame:
+def linear_chains(edges: DataFrame) -> DataFrame:
     """pipeline, task, chain (its first task), position: maximal runs of tasks that each have one successor, itself with one
-    predecessor. Pointer doubling: 2^rounds tasks a chain at most, far beyond any graph that one text holds."""
+    predecessor. Each task walks up its own pipeline's graph, at most as many steps as that has links."""
     e = edges.select("pipeline", "source", "target").distinct()
     single_out = e.groupBy("pipeline", "source").agg(F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
     single_in = e.groupBy("pipeline", "target").agg(F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
