@@ -56,7 +56,7 @@ def expected(columns: str, rows: list[tuple]) -> str:
     return f"SELECT * FROM (VALUES {values(rows)}) AS v({columns})"
 
 
-#: The operations of each text, written out by reading it; a filter on a partition column counts as both kinds.
+#: The operations of each text: what the engine gave, compared with the text by reading; a filter on a partition column counts as both kinds.
 OPERATIONS = {
     "clean_report": "SELECT 1, JOIN 1, FILTER 1, PARTITION_FILTER 1, AGGREGATE 1, LIMIT 1",
     "consumer": "SOURCE 1, SINK 1",
@@ -82,7 +82,7 @@ def ir_operation_mix(spark: SparkSession, d: str) -> DataFrame:
     return counted(ir.analyse(ir.from_texts(spark, TEXTS | OPERATION_TEXTS)).ops(), "type")
 
 
-#: Tables with the columns that the text names of them, sorted, as read.
+#: Tables with the columns that the text names of them, sorted: what the engine gave, compared with the texts by reading.
 TABLE_ROWS = [
     ("clean_report", "sales.invoice_lines", "read", "s", "event_date,net_value,region_id"), ("clean_report", "sales.regions", "read", "r", "region_id,region_name"),
     ("consumer", "orders", "read", "", ""), ("consumer", "invoices", "write", "", ""),
