@@ -66,7 +66,7 @@ def win_cumulate(spark: SparkSession, d: str) -> DataFrame:
 SELECT event_id, ts FROM m WHERE newest IS NULL OR ts >= newest - INTERVAL 72 HOUR""")
 def late_data_drop(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "events").select("event_id", "ts", (c("event_id") * 7919 % 10007).alias("arrival"))
-    return W.drop_late(e, "arrival", "ts", "72 HOURS").drop("arrival")
+    return W.drop_late(e, "arrival", "ts", "72 HOURS", ties=("event_id",)).drop("arrival")  # the SQL leaves equal arrivals open
 
 
 @R.query("""SELECT event_id, user_id, event_type FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS before FROM events) WHERE before IS NULL OR ts - before > INTERVAL 6 HOUR""")

@@ -37,18 +37,22 @@ def cumulate(df: DataFrame, column: str, step_minutes: int, size_minutes: int, k
     return out.select(F.col("big").alias("window_start"), end.alias("window_end"), *keys, *_names(aggs))
 
 
-def drop_late(df: DataFrame, order: str, column: str, delay: str, rows_per_part: int = 500_000) -> DataFrame:
-    """What a stream that sees the rows in `order` (a whole number) keeps: those not older than the newest seen before, less
-    the delay. The running maximum is taken inside ranges of the order, over a prefix maximum of the ranges before."""
+def drop_late(df: DataFrame, order: str, column: str, delay: str, rows_per_part: int = 500_000, ties: tuple[str, ...] = ()) -> DataFrame:
+    """What a stream that sees the rows in `order` (a whole number; nulls last) keeps: those not older than the newest seen
+    before, less the delay. Rows of equal `order` are seen in the order of the columns `ties`; reruns agree if these tell all
+    rows apart. The running maximum is taken inside ranges of the order, over a prefix maximum of the ranges before."""
     low, high, n = df.agg(F.min(order), F.max(order), F.count(F.lit(1))).first()
-    if not n or low is None:
+    if not n:
         return df
+    low, high = low or 0, high or 0
     width = max(1, -(-(high - low + 1) // max(1, -(-n // rows_per_part))))
-    df = df.withColumn("late_part", F.floor((F.col(order) - F.lit(low)) / F.lit(width)))
+    after = (high - low) // width + 1  # the part of the nulls
+    df = df.withColumn("late_part", F.coalesce(F.floor((F.col(order) - F.lit(low)) / F.lit(width)), F.lit(after)))
     parts = df.groupBy("late_part").agg(F.max(column).alias("part_newest"))
     earlier = F.max("part_newest").over(Window.orderBy("late_part").rowsBetween(Window.unboundedPreceding, -1))  # a row a part
     parts = parts.select("late_part", earlier.alias("newest_before"))
-    inside = F.max(column).over(Window.partitionBy("late_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    seen = [F.asc_nulls_last(k) for k in (order, *ties)]
+    inside = F.max(column).over(Window.partitionBy("late_part").orderBy(*seen).rowsBetween(Window.unboundedPreceding, -1))
     df = df.withColumn("newest_inside", inside).join(parts, "late_part").withColumn("newest", F.greatest("newest_inside", "newest_before"))
     kept = df.where(F.col("newest").isNull() | (F.col(column) >= F.col("newest") - F.expr(f"INTERVAL {delay}")))
     return kept.drop("late_part", "newest_inside", "newest_before", "newest")
