@@ -34,3 +34,12 @@ def test_late_rows_without_a_place_come_last(spark):
         assert sorted(r.i for r in W.drop_late(e, "k", "ts", "60 MINUTES", each, ("i",)).collect()) == [1, 2, 3, 4, 5]
         assert sorted(r.i for r in W.drop_late(e, "k", "ts", "20 MINUTES", each, ("i",)).collect()) == [1, 2, 4]
     assert sorted(r.i for r in W.drop_late(e.where("k IS NULL"), "k", "ts", "20 MINUTES", 1, ("i",)).collect()) == [3, 4]
+
+
+def test_rank_rounds_halves_as_its_sql(spark, tmp_path):
+    prices = [5000.0, 15000.0, 25000.0, 35000.0, 24999.99, 25000.01, 30000.0, 20000.0, -25000.0, None, None, 45000.0, 45000.0]
+    rows = [(k if k else None, p, "12"[k % 2]) for k, p in enumerate(prices)]
+    spark.createDataFrame(rows, "o_orderkey long, o_totalprice double, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    orders = duckdb.sql(f"SELECT * FROM read_parquet('{tmp_path}/orders.parquet/*.parquet')")  # noqa: F841  read by the SQL
+    want = sorted(duckdb.sql(catalogue.ORACLE_SQL["win_rank_partition"]).fetchall(), key=repr)
+    assert sorted(map(tuple, catalogue.QUERIES["win_rank_partition"](spark, str(tmp_path)).collect()), key=repr) == want

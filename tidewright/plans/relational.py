@@ -331,8 +331,8 @@ def win_row_number_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query("SELECT o_orderkey, rank() OVER w AS r, dense_rank() OVER w AS dr, ntile(4) OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS q FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY CAST(o_totalprice / 10000 AS INTEGER) DESC)")
 def win_rank_partition(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("o_orderpriority").orderBy(F.desc(F.round(c("o_totalprice") / 10000).cast("int")))
-    return read(spark, d, "orders").select("o_orderkey", F.rank().over(w).alias("r"), F.dense_rank().over(w).alias("dr"), F.ntile(4).over(Window.partitionBy("o_orderpriority").orderBy(F.desc("o_totalprice"), "o_orderkey")).alias("q"))
+    w = Window.partitionBy("o_orderpriority").orderBy(F.desc(F.rint(c("o_totalprice") / 10000).cast("int")))  # halves go to the even number, as in the SQL's cast
+    return read(spark, d, "orders").select("o_orderkey", F.rank().over(w).alias("r"), F.dense_rank().over(w).alias("dr"), F.ntile(4).over(Window.partitionBy("o_orderpriority").orderBy(F.desc("o_totalprice"), F.asc_nulls_last("o_orderkey"))).alias("q"))
 
 
 @R.query("SELECT event_id, lag(event_type) OVER w AS before, lead(value, 2, -1.0) OVER w AS two_later FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
