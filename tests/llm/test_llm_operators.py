@@ -819,3 +819,18 @@ def test_toxicity_at_any_share_of_labels(spark, share):
     assert any("zorgle" in k for k in model.lexicon)
     got = {r.doc_id: r.tox_predicted for r in toxicity.score(df.select("doc_id", "text"), model).collect()}
     assert got == {i: y for i, _, y in rows}
+
+
+def test_blocks_of_the_same_queries_share_a_floor(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(0, 0.2, 16).tolist()) for i in range(1_200)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = vafile.usable(frame.where("vec_id % 20 = 0"), "vec_id", "embedding")
+    exact = vafile.usable(frame, "vec_id", "embedding").withColumn("key", F.col("vec_id"))
+    monkeypatch.setattr(vafile, "TASKS", 1)
+    found = vafile.candidates(vafile.approximation_file(exact.repartition(30)), asked, 5)
+    per_query = found.groupBy("query_id").count().agg(F.avg("count")).first()[0]
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    v = np.array([[math.floor(64 * x) for x in r[1]] for r in rows])
+    want = {(q, int(b)) for q in range(0, 1_200, 20) for b in np.argsort([-(v[q] @ x) if i != q else 1 << 40 for i, x in enumerate(v)], kind="stable")[:5]}
+    assert want <= {(r.query_id, r.key) for r in found.collect()} and per_query < 40  # 30 blocks of a floor each left 150 at least

@@ -7,7 +7,8 @@ dimensions' edges, and each vector's distance to the middle m of its cells.
 1. Scan. A task holds a block of the file and a block of queries. q * m is known from the cells alone, and the score q * v is
    no further from it than the cells' half widths times |q|, nor than |q| times the distance to the middle (Cauchy). So every
    score has a lower and an upper bound (for inner products the upper bound takes the place of a distance's lower bound). The
-   k-th largest lower bound of the block is a floor: vectors whose upper bound is below it can't be among the k best.
+   k-th largest lower bound of the blocks so far is a floor: vectors whose upper bound is below it can't be among the k best.
+   Blocks that meet the same queries follow each other in groups, so a query's candidates grow with groups and not with blocks.
 2. Read. What is left is read in order of falling upper bound: first each query's 2 k best bounds. Their k-th exact score is
    the next floor. Only vectors whose upper bound reaches it are read after that (a tie must be, since it may have the smaller
    id); all others are certain to be worse, so the result is exact. Exact vectors are fetched by key, and only those.
@@ -39,7 +40,9 @@ CELLS = 32
 VECTORS_PER_BLOCK = 8_192
 QUERIES_PER_BLOCK = 4_096
 QUERIES_AT_ONCE = 256
-PAIRS_PER_SALT = 4
+BLOCKS_PER_SALT = 64
+TASKS = 8
+ROWS_HELD = 1 << 20
 FILE = ["dim", "ids", "keys", "times", "copy", "least", "width", "off", "cells"]
 
 
@@ -117,8 +120,10 @@ def bounds(q: np.ndarray, cell: np.ndarray, least: np.ndarray, width: np.ndarray
     return centre - slack, centre + slack
 
 
-def scan_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, copy: np.ndarray, k: int, *cells: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Places of queries and of vectors that may be among the query's k best, and their upper bounds."""
+def scan_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, copy: np.ndarray, best: np.ndarray, *cells: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places of queries and of vectors that may be among the query's k best, and their upper bounds. best: each query's k
+    largest lower bounds of the blocks before, -inf where there are fewer; this block's go in."""
+    k = best.shape[1]
     held = np.flatnonzero(copy <= k)  # the query's own id may be one of the first k + 1
     ids, (cell, least, width, off) = ids[held], cells
     cell, off = cell[held], off[held]
@@ -127,8 +132,10 @@ def scan_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, copy: np.ndarr
         own = q_ids[s : s + QUERIES_AT_ONCE, None] == ids[None, :]
         lower[own] = upper[own] = -np.inf
         need = min(k, len(ids))
-        floor = np.partition(lower, len(ids) - need, axis=1)[:, len(ids) - need]
-        i, j = np.nonzero((upper >= floor[:, None]) & (upper > -np.inf))
+        top = np.partition(lower, len(ids) - need, axis=1)[:, len(ids) - need :]
+        top = np.partition(np.concatenate([best[s : s + QUERIES_AT_ONCE], top], axis=1), need, axis=1)[:, need:]
+        best[s : s + QUERIES_AT_ONCE] = top
+        i, j = np.nonzero((upper >= top.min(axis=1)[:, None]) & (upper > -np.inf))
         yield i + s, held[j], upper[i, j]
 
 
@@ -136,7 +143,7 @@ def candidates(file: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, key, times and upper of the scan. queries: vec_id, v."""
     n_queries, n_blocks = queries.count(), file.count()
     parts = parts_for(n_queries, QUERIES_PER_BLOCK, 1 << 30)
-    salts = parts_for(n_blocks, PAIRS_PER_SALT, 1 << 30)
+    salts = max(parts_for(n_blocks, BLOCKS_PER_SALT, 1 << 30), min(n_blocks, parts_for(TASKS, parts, 1 << 30)))
 
     def pack(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple]] = {}
@@ -151,17 +158,47 @@ def candidates(file: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     asked = queries.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")).groupBy("part").applyInArrow(pack, "dim int, part int, q_ids binary, q_v binary")
     asked = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     blocks = file.withColumn("salt", F.pmod(F.xxhash64("keys"), F.lit(salts)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    meet = blocks.join(asked, ["dim", "part", "salt"]).select(*FILE, "q_ids", "q_v")
+    # a packed row is megabytes, of which the size of its file tells little: never a broadcast, whose rows pass through the driver
+    meet = blocks.join(asked.hint("merge"), ["dim", "part", "salt"]).select(*FILE, "part", "salt", "q_ids", "q_v")
+    names = ["query_id", "key", "times", "upper"]
+
+    def flush(best: np.ndarray, held: list[tuple]) -> list[tuple]:
+        """What the blocks so far leave of the candidates held."""
+        i, key, times, upper = (np.concatenate(x) for x in zip(*held, strict=True))
+        stay = upper >= best.min(axis=1)[i]
+        return [(i[stay], key[stay], times[stay], upper[stay])]
+
+    def rows(q_ids: np.ndarray, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        for i, key, times, upper in held:
+            for s in range(0, len(i), 1 << 16):
+                cut = slice(s, s + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[i[cut]]), pa.array(key[cut]), pa.array(times[cut]), pa.array(upper[cut])], names=names)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, q_ids, best, held, many = None, None, None, [], 0
         for batch in batches:
             for row in range(batch.num_rows):
                 dim = batch.column("dim")[row].as_py()
                 of = lambda c, t: np.frombuffer(batch.column(c)[row].as_buffer(), t)  # noqa: E731, B023
-                ids, keys, times, q_ids = (of(c, np.int64) for c in ("ids", "keys", "times", "q_ids"))
+                now = dim, batch.column("part")[row].as_py(), batch.column("salt")[row].as_py()
+                if now != group:  # the join is sorted by these, so blocks that meet the same queries follow each other
+                    if held:
+                        yield from rows(q_ids, flush(best, held))
+                    group, q_ids, held, many = now, of("q_ids", np.int64).copy(), [], 0
+                    best = np.full((len(q_ids), k), -np.inf)
+                ids, keys, times = (of(c, np.int64) for c in ("ids", "keys", "times"))
                 cells = of("cells", np.uint8).reshape(len(ids), dim), of("least", np.float64), of("width", np.float64), of("off", np.float64)
-                for i, j, upper in scan_block(q_ids, of("q_v", np.int64).reshape(len(q_ids), dim), ids, of("copy", np.int32), k, *cells):
-                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[i]), pa.array(keys[j]), pa.array(times[j]), pa.array(upper)], names=["query_id", "key", "times", "upper"])
+                for i, j, upper in scan_block(q_ids, of("q_v", np.int64).reshape(len(q_ids), dim), ids, of("copy", np.int32), best, *cells):
+                    held.append((i, keys[j], times[j], upper))
+                    many += len(i)
+                    if many > ROWS_HELD:
+                        held = flush(best, held)
+                        many = len(held[0][0])
+                        if many > ROWS_HELD // 2:  # all may still be needed
+                            yield from rows(q_ids, held)
+                            held, many = [], 0
+        if held:
+            yield from rows(q_ids, flush(best, held))
 
     return meet.mapInArrow(tidy(scan), "query_id long, key long, times long, upper double")
 
@@ -170,7 +207,7 @@ def read_exact(wanted: DataFrame, exact: DataFrame, queries: DataFrame) -> DataF
     """query_id, vec_id, times, score of wanted (query_id, key, times): only the vectors asked for leave their place."""
     wanted = materialise(wanted, "va-wanted")
     near = rows_near(exact, "key", wanted.select("key"))
-    both = near.join(wanted, "key").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id").select("query_id", "vec_id", "times", "v", "q")
+    both = near.join(wanted, "key").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).hint("merge"), "query_id").select("query_id", "vec_id", "times", "v", "q")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
