@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.llm import bpe, line_dedup, mixing, ngram_join, toxicity
-from tidewright.llm.common import materialise, shield, table
+from tidewright.llm.common import discard, materialise, passing, shield, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -64,8 +64,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialise(docs, f"pipeline-{k}")
-    return docs
+    for k, (label, stage) in enumerate(STAGES[:-1]):
+        with passing() as here:  # a stage's own tables go when its result is written, and so does what it read
+            after = here.keep(materialise(stage(spark, docs, sf_dir), f"pipeline-{k}"))
+        if k:
+            discard(docs)
+        docs = after
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -834,3 +834,17 @@ def test_blocks_of_the_same_queries_share_a_floor(spark, monkeypatch):
     v = np.array([[math.floor(64 * x) for x in r[1]] for r in rows])
     want = {(q, int(b)) for q in range(0, 1_200, 20) for b in np.argsort([-(v[q] @ x) if i != q else 1 << 40 for i, x in enumerate(v)], kind="stable")[:5]}
     assert want <= {(r.query_id, r.key) for r in found.collect()} and per_query < 40  # 30 blocks of a floor each left 150 at least
+
+
+def written_by(run):
+    """The labels of the tables that are still there after run()."""
+    from tidewright import session
+
+    before = set(session._written)
+    run()
+    return sorted(re.sub("-[0-9a-f]{32}$", "", p.rsplit("/", 1)[1]) for p in set(session._written) - before)
+
+
+def test_line_dedup_and_ngram_join_leave_only_what_their_results_read(odd):
+    assert written_by(lambda: line_dedup.dedup(odd).count()) == ["lines-gone-all", "lines-places"]
+    assert written_by(lambda: ngram_join.join(odd).count()) == ["ngram-digests", "ngram-known"]

@@ -11,12 +11,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialise, ship
+from ..session import discard, materialise, passing, ship
 
 #: A word is a run of anything but blank, tab, line feed, vertical tab, form feed and carriage return.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
-__all__ = ["SPACE_CLASS", "WORD_CLASS", "materialise", "parts_for", "release", "shield", "table", "tidy", "word_count", "words_of"]
+__all__ = ["SPACE_CLASS", "WORD_CLASS", "discard", "materialise", "parts_for", "passing", "release", "shield", "table", "tidy", "word_count", "words_of"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

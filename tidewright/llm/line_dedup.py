@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import shingles
-from .common import WORD_CLASS, materialise, tidy
+from .common import WORD_CLASS, discard, materialise, passing, tidy
 from .shingles import mixed, slices, word_bounds, word_hashes
 from .sketch import class_of, commonness, sketch
 from .textfilter import bits_of, texts_near
@@ -258,13 +258,13 @@ def edits(a: list[str], b: list[str], limit: int = 1) -> int:
     return limit + 1
 
 
-def members(table: DataFrame) -> DataFrame:
-    """key, words, own (doc_id, line_no, line, m1, m2): the distinct lines under each run that two lines or more have."""
-    keyed = table.where("size(runs) > 0")
-    ends = keyed.select(F.explode("runs").alias("key"), "line").groupBy("key").agg(F.min("line").alias("x"), F.max("line").alias("y"))
-    shared = materialise(ends.where("x <> y").select("key"), "lines-runs-shared")
-    among = table.sparkSession.sparkContext.broadcast(bits_of(shared, F.col("key")))  # a filter of fixed size; the join below is exact
-    names = ["line", "words", "m1", "m2", "doc_id", "line_no"]
+def members(kept: DataFrame, gone: DataFrame) -> DataFrame:
+    """key, words, own (doc_id, line_no, line, m1, m2) and is_gone: the distinct lines under each run that two or more have."""
+    keyed = kept.where("size(runs) > 0")
+    shared = keyed.select(F.explode("runs").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    shared = materialise(shared, "lines-runs-shared")
+    among = kept.sparkSession.sparkContext.broadcast(bits_of(shared, F.col("key")))  # a filter of fixed size; the join below is exact
+    names = ["line", "words", "m1", "m2", "doc_id", "line_no", "is_gone"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,9 +276,12 @@ def members(table: DataFrame) -> DataFrame:
             of = batch.select(names).take(pa.array(owner[stay]))
             yield pa.RecordBatch.from_arrays([pa.array(key[stay]), *of.columns], names=["key", *names])
 
-    near = keyed.select(*names, "runs").mapInArrow(tidy(run), "key long, line long, words int, m1 long, m2 long, doc_id long, line_no int")
-    near = near.groupBy("key", "line", "words", "m1", "m2").agg(F.min(F.struct("doc_id", "line_no")).alias("place"))
-    return materialise(near.join(shared, "key", "left_semi").select("key", "words", F.struct("place.doc_id", "place.line_no", "line", "m1", "m2").alias("own")), "lines-runs")
+    keyed = keyed.join(gone.select("line", F.lit(True).alias("is_gone")), "line", "left").withColumn("is_gone", F.coalesce("is_gone", F.lit(False)))
+    near = keyed.select(*names, "runs").mapInArrow(tidy(run), "key long, line long, words int, m1 long, m2 long, doc_id long, line_no int, is_gone boolean")
+    near = near.join(shared, "key", "left_semi")
+    out = materialise(near.select("key", "words", F.struct("doc_id", "line_no", "line", "m1", "m2").alias("own"), "is_gone"), "lines-runs")
+    discard(shared)
+    return out
 
 
 def contents(wanted: DataFrame) -> DataFrame:
@@ -318,9 +321,9 @@ def verified(pairs: DataFrame, words_per_edit: int, min_words: int) -> DataFrame
     return pairs.select("line", "content", "earlier").mapInArrow(tidy(verify), "line long")
 
 
-def doomed_by_more(docs: DataFrame, table: DataFrame, gone: DataFrame, words_per_edit: int, min_words: int) -> DataFrame:
-    """line: those not in `gone` that have an earlier line within the edits allowed, where these are two or more."""
-    runs = members(table)
+def doomed_by_more(docs: DataFrame, runs: DataFrame, words_per_edit: int, min_words: int) -> DataFrame:
+    """line: those of the members that are not gone and have an earlier line within the edits allowed, where these are two or
+    more."""
     edits_ = F.floor(F.least("words", "other_words") / words_per_edit)
     fits = F.abs(F.col("words") - F.col("other_words")) <= edits_
     differ = F.bit_count(F.col("own.m1").bitwiseXOR(F.col("other.m1"))) + F.bit_count(F.col("own.m2").bitwiseXOR(F.col("other.m2")))
@@ -335,9 +338,11 @@ def doomed_by_more(docs: DataFrame, table: DataFrame, gone: DataFrame, words_per
         asked = materialise(asked, f"lines-pairs-asked-{label}")
         content = materialise(contents(texts_near(docs, asked.select("doc_id")).join(asked, "doc_id").select("doc_id", "text", "asked")).dropDuplicates(["line"]), f"lines-pairs-texts-{label}")
         both = pairs.select("own.line", F.col("other.line").alias("other")).join(content, "line").join(content.select(F.col("line").alias("other"), F.col("content").alias("earlier")), "other")
-        return materialise(verified(both, words_per_edit, min_words).distinct(), f"lines-pairs-alike-{label}")
+        out = materialise(verified(both, words_per_edit, min_words).distinct(), f"lines-pairs-alike-{label}")
+        discard(asked, content)
+        return out
 
-    left = materialise(runs.withColumn("line", F.col("own.line")).join(gone, "line", "left_anti"), "lines-runs-left")
+    left = runs.where("NOT is_gone").withColumn("line", F.col("own.line"))
     first = materialise(ends(left.join(earliest, ["key", "words"])), "lines-pairs-first")
     rest = with_all(left.join(first.select("own.line"), "line", "left_anti"))
     pairs = materialise(first.union(rest), "lines-pairs")
@@ -381,12 +386,17 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
         raise ValueError("min_words must be 2 or more: a line of one word has no half")
     slim = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     classes, _ = commonness(sketch(slim, lambda texts: all_runs(texts, 2 * words_per_edit)))
-    table = materialise(lines(slim, classes, words_per_edit, min_words), "lines-all")
-    found = table.groupBy("line").agg(F.min(F.struct("doc_id", "line_no", "words", "p1", "p2", "s1", "s2")).alias("x")).select("line", "x.*")
-    found = materialise(found, "lines")
-    gone = materialise(doomed(found, slim, words_per_edit, min_words), "lines-gone")
-    gone = gone.union(doomed_by_more(slim, table, gone, words_per_edit, min_words))
-    kept = found.select("line", "doc_id", "line_no").join(gone, "line", "left_anti")
+    with passing() as here:  # what is written goes as soon as nothing reads it any more
+        found = lines(slim, classes, words_per_edit, min_words)
+        found = found.groupBy("line").agg(F.min(F.struct(*[c for c in found.columns if c != "line"])).alias("x")).select("line", "x.*")
+        found = materialise(found, "lines")  # the earliest of each, with its runs
+        with passing() as first:
+            gone = first.keep(materialise(doomed(found, slim, words_per_edit, min_words).distinct(), "lines-gone"))
+        runs = members(found, gone)
+        places = here.keep(materialise(found.select("line", "doc_id", "line_no"), "lines-places"))
+        discard(found)
+        gone = here.keep(materialise(gone.union(doomed_by_more(slim, runs, words_per_edit, min_words)), "lines-gone-all"))
+    kept = places.join(gone, "line", "left_anti")
     kept = kept.groupBy("doc_id").agg(F.collect_list("line_no").alias("line_dedup_kept")).withColumnRenamed("doc_id", "line_dedup_id")
     joined = docs.join(kept, docs[id_col].cast("long") == kept["line_dedup_id"], "left").drop("line_dedup_id")
     out = T.StructType([*[f for f in docs.schema.fields if f.name not in ("n_lines", "n_kept")], T.StructField("n_lines", T.IntegerType()), T.StructField("n_kept", T.IntegerType())])

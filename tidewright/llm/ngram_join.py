@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, tidy
+from .common import materialise, passing, tidy
 from .components import components
 from .shingles import mixed, shingle_lists
 from .sketch import SKETCH_BITS, class_of, commonness, sketch
@@ -166,52 +166,55 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id reachable by links) of every row."""
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    classes, length = commonness(sketch(docs, lambda texts: (h for _, h in shingle_lists(texts, width))))
-    sets = materialise(nodes(docs, classes, boundary(length, percent), width, percent), "ngram-sets")
-    digest = ["n", "s1", "s2"]
-    classed = sets.where("n > 0 AND doc_id IS NOT NULL")
-    least = classed.groupBy(*digest).agg(F.min(F.struct("doc_id", "lists", "keys")).alias("x"))
-    entries = least.select(F.col("x.doc_id").alias("node"), "n", "x.lists", F.posexplode("x.keys").alias("place", "key"))
-    entries = entries.select("key", "node", "n", F.when(F.col("place") < F.col("lists"), F.col("place")).otherwise(F.lit(0)).alias("place"))
-    ends = entries.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("key", "least")
-    lists = materialise(entries.join(ends, "key").select("key", "node", "n", "place", "least"), "ngram-lists")  # a join, which may be split at a long list
-
-    t = F.lit(percent)
-    a_n, b_n = F.col("a_n"), F.col("b_n")
-    by_size = (100 * F.least(a_n, b_n) >= t * F.greatest(a_n, b_n))
-    by_place = (100 + percent) * (1 + F.least(a_n - F.col("a_place"), b_n - F.col("b_place")) - 1) >= t * (a_n + b_n)  # if this is the first they share
-
-    differ = sum((F.bit_count(F.col(f"a_{g}").bitwiseXOR(F.col(f"b_{g}"))) for g in MAPS), F.lit(0))
-    by_map = (100 + percent) * differ <= (100 - percent) * (a_n + b_n)
-    of = lambda s: sets.select(F.col("doc_id").alias(s), F.col("n").alias(f"{s}_n"), *[F.col(g).alias(f"{s}_{g}") for g in MAPS])
-
-    heads = lists.where("node = least").select("key", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("place").alias("a_place"))
-    tails = lists.where("node <> least").select("key", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("place").alias("b_place"))
-    stars = heads.join(tails, "key").where(by_size & by_place).select("a", "b").distinct()
-    stars = stars.join(of("a"), "a").join(of("b"), "b").where(by_map).select("a", "b").distinct()
-    stars = close_maps(stars, sets, percent)
-    links = verified(materialise(stars, "ngram-stars"), docs, width, percent)
-    first = materialise(components(links.union(shared_ids(classed, digest)), "a", "b"), "ngram-components")
-
-    named = lists.join(first.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    split = materialise(split, "ngram-split")  # a table, so that the join below may be split where one key has very many rows
-    still = named.where("node <> least").join(split, "key").join(sets.select(F.col("doc_id").alias("node"), *MAPS), "node")
-    still = materialise(still.select("key", "node", "n", "place", "component", *MAPS), "ngram-open")
-    band = F.floor(F.log("n") / F.log(100 / t))  # sizes that may link lie in one band or in neighbours
-    still = still.withColumn("band", band.cast("int"))
-    side = lambda s, b: still.select("key", b.alias("band"), *[F.col(c).alias(f"{s}_{c}") for c in ("node", "n", "place", "component", *MAPS)])
-    bands = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))
-    cross = side("a", bands).join(side("b", F.col("band")), ["key", "band"]).where((F.col("a_component") < F.col("b_component")) & by_size & by_place & by_map)
-    cross = cross.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), "a_component", "b_component").distinct()
-    rest = materialise(close_maps(cross, sets, percent), "ngram-rest")
-    more = verified(rest.select("a", "b"), docs, width, percent).join(rest, ["a", "b"])
-    second = components(more, "a_component", "b_component")
-
-    known = classed.groupBy(*digest).agg(F.min("doc_id").alias("node")).join(first.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    known = known.join(second.select(F.col("id").alias("component"), F.col("component").alias("final")), "component", "left").select(*digest, F.coalesce("final", "component").alias("component"))
-    known = materialise(known, "ngram-known")  # a table, so that the join may be split at a group of many copies
-    out = sets.select("doc_id", *digest).join(known, digest, "left")
+    with passing() as here:  # of all that is written only what the result reads is left
+        classes, length = commonness(sketch(docs, lambda texts: (h for _, h in shingle_lists(texts, width))))
+        sets = materialise(nodes(docs, classes, boundary(length, percent), width, percent), "ngram-sets")
+        digest = ["n", "s1", "s2"]
+        classed = sets.where("n > 0 AND doc_id IS NOT NULL")
+        least = classed.groupBy(*digest).agg(F.min(F.struct("doc_id", "lists", "keys")).alias("x"))
+        entries = least.select(F.col("x.doc_id").alias("node"), "n", "x.lists", F.posexplode("x.keys").alias("place", "key"))
+        entries = entries.select("key", "node", "n", F.when(F.col("place") < F.col("lists"), F.col("place")).otherwise(F.lit(0)).alias("place"))
+        ends = entries.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("key", "least")
+        lists = materialise(entries.join(ends, "key").select("key", "node", "n", "place", "least"), "ngram-lists")  # a join, which may be split at a long list
+
+        t = F.lit(percent)
+        a_n, b_n = F.col("a_n"), F.col("b_n")
+        by_size = (100 * F.least(a_n, b_n) >= t * F.greatest(a_n, b_n))
+        by_place = (100 + percent) * (1 + F.least(a_n - F.col("a_place"), b_n - F.col("b_place")) - 1) >= t * (a_n + b_n)  # if this is the first they share
+
+        differ = sum((F.bit_count(F.col(f"a_{g}").bitwiseXOR(F.col(f"b_{g}"))) for g in MAPS), F.lit(0))
+        by_map = (100 + percent) * differ <= (100 - percent) * (a_n + b_n)
+        of = lambda s: sets.select(F.col("doc_id").alias(s), F.col("n").alias(f"{s}_n"), *[F.col(g).alias(f"{s}_{g}") for g in MAPS])
+
+        heads = lists.where("node = least").select("key", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("place").alias("a_place"))
+        tails = lists.where("node <> least").select("key", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("place").alias("b_place"))
+        stars = heads.join(tails, "key").where(by_size & by_place).select("a", "b").distinct()
+        stars = stars.join(of("a"), "a").join(of("b"), "b").where(by_map).select("a", "b").distinct()
+        stars = close_maps(stars, sets, percent)
+        with passing() as own:
+            links = verified(materialise(stars, "ngram-stars"), docs, width, percent)
+            first = own.keep(materialise(components(links.union(shared_ids(classed, digest)), "a", "b"), "ngram-components"))
+
+        named = lists.join(first.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        split = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+        split = materialise(split, "ngram-split")  # a table, so that the join below may be split where one key has very many rows
+        still = named.where("node <> least").join(split, "key").join(sets.select(F.col("doc_id").alias("node"), *MAPS), "node")
+        still = materialise(still.select("key", "node", "n", "place", "component", *MAPS), "ngram-open")
+        band = F.floor(F.log("n") / F.log(100 / t))  # sizes that may link lie in one band or in neighbours
+        still = still.withColumn("band", band.cast("int"))
+        side = lambda s, b: still.select("key", b.alias("band"), *[F.col(c).alias(f"{s}_{c}") for c in ("node", "n", "place", "component", *MAPS)])
+        bands = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))
+        cross = side("a", bands).join(side("b", F.col("band")), ["key", "band"]).where((F.col("a_component") < F.col("b_component")) & by_size & by_place & by_map)
+        cross = cross.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), "a_component", "b_component").distinct()
+        rest = materialise(close_maps(cross, sets, percent), "ngram-rest")
+        more = verified(rest.select("a", "b"), docs, width, percent).join(rest, ["a", "b"])
+        second = components(more, "a_component", "b_component")
+
+        known = classed.groupBy(*digest).agg(F.min("doc_id").alias("node")).join(first.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        known = known.join(second.select(F.col("id").alias("component"), F.col("component").alias("final")), "component", "left").select(*digest, F.coalesce("final", "component").alias("component"))
+        known = here.keep(materialise(known, "ngram-known"))  # a table, so that the join may be split at a group of many copies
+        sets = here.keep(materialise(sets.select("doc_id", *digest), "ngram-digests"))
+    out = sets.join(known, digest, "left")
     own = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.cast("long").alias("component_id"))
 

@@ -68,7 +68,7 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 def materialise(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
     """Writes df as Parquet in the shared scratch folder and rereads it: the lineage ends there and an executor that is
-    lost takes nothing with it. The files go when the driver ends."""
+    lost takes nothing with it. The files go with `passing` or `discard`, or else when the driver ends."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
@@ -81,14 +81,45 @@ def materialise(df: DataFrame, label: str, partition_by: str | None = None) -> D
     if not _written:
         atexit.register(_drop_written)  # now, so that it runs before Spark's own end
     _written[path] = spark
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tidewright_path = path
+    return out
+
+
+class passing:
+    """Of the tables written inside the block, only those given to keep() are still there after it. What was read from the
+    others must be written by then; a block that fails leaves all to the driver's end."""
+
+    def __enter__(self) -> passing:
+        self.before, self.kept = set(_written), set()
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.kept.add(df._tidewright_path)
+        return df
+
+    def __exit__(self, kind: type | None, *_: object) -> None:
+        if kind is None:
+            for path in set(_written) - self.before - self.kept:
+                _drop(path, _written.pop(path))
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what materialise wrote for these tables, once nothing reads them any more."""
+    for df in tables:
+        path = df._tidewright_path
+        if path in _written:
+            _drop(path, _written.pop(path))
+
+
+def _drop(path: str, spark: SparkSession) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def _drop_written() -> None:
     for path, spark in _written.items():
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _drop(path, spark)
         except Exception:  # noqa: BLE001  the session may be gone already
             return
