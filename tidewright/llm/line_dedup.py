@@ -27,7 +27,8 @@ other columns pass through.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,8 @@ MIN_WORDS = 8
 WORDS_PER_EDIT = 12
 RUN = 2
 MAP_BITS = 128
+#: Pairs are made for one slice of the runs after the other, so that the shuffles of one slice only stand on disk at once.
+SLICES = 2
 WORD = re.compile(WORD_CLASS)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _UNSTEP = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
@@ -328,10 +331,23 @@ def doomed_by_more(docs: DataFrame, runs: DataFrame, words_per_edit: int, min_wo
     fits = F.abs(F.col("words") - F.col("other_words")) <= edits_
     differ = F.bit_count(F.col("own.m1").bitwiseXOR(F.col("other.m1"))) + F.bit_count(F.col("own.m2").bitwiseXOR(F.col("other.m2")))
     may = fits & (F.col("other") < F.col("own")) & (differ <= 2 * edits_)
-    earliest = runs.groupBy("key", "words").agg(F.min("own").alias("other")).withColumn("other_words", F.col("words"))
-    others = runs.select("key", F.col("words").alias("other_words"), F.col("own").alias("other"))
     ends = lambda pairs: pairs.where(may).select(*[F.struct(*[F.col(f"{s}.{c}") for c in ("doc_id", "line_no", "line")]).alias(s) for s in ("own", "other")]).distinct()
-    with_all = lambda left: ends(left.join(others, "key"))
+    slice_of = lambda df, k: df.where(F.pmod("key", F.lit(SLICES)) == k)
+
+    def in_slices(make: Callable[[DataFrame, DataFrame], DataFrame], label: str) -> DataFrame:
+        """The pairs of make(left, runs), slice by slice of the keys."""
+        parts = [materialise(ends(make(slice_of(left, k), slice_of(runs, k))), f"{label}-{k}") for k in range(SLICES)]
+        out = materialise(reduce(DataFrame.union, parts).distinct(), label)
+        discard(*parts)
+        return out
+
+    def with_earliest(left: DataFrame, runs: DataFrame) -> DataFrame:
+        earliest = runs.groupBy("key", "words").agg(F.min("own").alias("other")).withColumn("other_words", F.col("words"))
+        return left.join(earliest, ["key", "words"])
+
+    def with_all(left: DataFrame, runs: DataFrame) -> DataFrame:
+        return left.join(runs.select("key", F.col("words").alias("other_words"), F.col("own").alias("other")), "key")
+
 
     def alike(pairs: DataFrame, label: str) -> DataFrame:
         asked = pairs.select("own").union(pairs.select("other")).distinct().groupBy("own.doc_id").agg(F.collect_list(F.struct("own.line_no", "own.line")).alias("asked"))
@@ -343,14 +359,15 @@ def doomed_by_more(docs: DataFrame, runs: DataFrame, words_per_edit: int, min_wo
         return out
 
     left = runs.where("NOT is_gone").withColumn("line", F.col("own.line"))
-    first = materialise(ends(left.join(earliest, ["key", "words"])), "lines-pairs-first")
-    rest = with_all(left.join(first.select("own.line"), "line", "left_anti"))
-    pairs = materialise(first.union(rest), "lines-pairs")
+    first = in_slices(with_earliest, "lines-pairs-first")
+    rest = in_slices(lambda left, runs: with_all(left.join(first.select("own.line"), "line", "left_anti"), runs), "lines-pairs-rest")
+    pairs = first.union(rest)
     found = alike(pairs, "most")
     unlike = materialise(first.select("own.line").distinct().join(found, "line", "left_anti"), "lines-pairs-unlike")
     if unlike.isEmpty():
         return found
-    again = materialise(with_all(left.join(unlike, "line", "left_semi")).join(first, ["own", "other"], "left_anti"), "lines-pairs-again")
+    again = in_slices(lambda left, runs: with_all(left.join(unlike, "line", "left_semi"), runs), "lines-pairs-more")
+    again = materialise(again.join(first, ["own", "other"], "left_anti"), "lines-pairs-again")
     return found.union(alike(again, "again"))
 
 
