@@ -11,6 +11,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -413,6 +414,53 @@ def test_line_dedup_allows_more_edits_in_longer_lines(spark):
             assert line_dedup.edits(words[i], words[j], 9) == min(near[i][j], 10)
 
 
+def test_line_dedup_pairs_few_lines_that_are_not_alike(spark, monkeypatch):
+    rng = random.Random(11)
+    vocab = [f"w{i}" for i in range(60)]
+    plain = [[rng.choice(vocab) for _ in range(rng.choice([26, 30, 37]))] for _ in range(380)]
+    near = [[rng.choice(vocab) if k in (3, 20) else w for k, w in enumerate(x)] for x in plain[:20]]
+    rows = [(i, " ".join(x)) for i, x in enumerate(plain + near)]
+    counts, write = {}, line_dedup.materialise
+
+    def counted(df, label, *more):
+        out = write(df, label, *more)
+        counts[label] = out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "materialise", counted)
+    got = {r.doc_id for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.n_kept}
+    assert got == set(range(380)) == {i for i, _ in brute_lines(rows)}
+    assert counts["lines-near"] == 0  # of lines of two edits or more no variants are made
+    assert 20 <= counts["lines-runs"] < 400 and counts["lines-pairs-first"] + counts["lines-pairs-rest"] < 60
+
+
+def test_alike_lines_share_a_first_run_and_are_told_from_others():
+    rng = random.Random(12)
+    for per_edit in (4, 7, 12):
+        left, right = [], []
+        for _ in range(400):
+            vocab = [f"é{i}" for i in range(rng.choice([1, 2, 5, 200]))]
+            x = [rng.choice(vocab) for _ in range(rng.choice([8, 24, 25, 60, 130, 70 * per_edit]))]
+            y = list(x)
+            for _ in range(rng.randint(0, len(x) // per_edit + 1)):
+                p, how = rng.randrange(len(y)), rng.random()
+                y = y[:p] + ([rng.choice(vocab)] if how < 0.5 else [rng.choice(vocab), y[p]] if how < 0.75 else []) + y[p + 1 :]
+            left.append(x)
+            right.append(y)
+        bound = [line_dedup.allowed(min(len(x), len(y)), per_edit) for x, y in zip(left, right, strict=True)]
+        want = [line_dedup.edits(x, y, k) <= k for x, y, k in zip(left, right, bound, strict=True)]
+        assert line_dedup.alike(*(pa.array(["\t ".join(x) + "\r" for x in side]) for side in (left, right)), per_edit, 8).tolist() == want
+        runs = []
+        for side in (left, right):
+            own = []
+            for x in side:
+                for _, _, b, offsets, _ in line_dedup.line_slices(pa.array([" ".join(x)])):
+                    seq, _, _, s, e = line_dedup.line_words(b, offsets)
+                    own.append(set(line_dedup.first_runs(seq, s, e, np.zeros(1 << 20, np.uint8), per_edit)[0].tolist()))
+            runs.append(own)
+        assert any(want) and all(a & b for a, b, w, k in zip(*runs, want, bound, strict=True) if w and k > 1)
+
+
 # ---- 5
 
 

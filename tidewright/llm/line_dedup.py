@@ -7,17 +7,20 @@ number); the earliest of its kind stays. Blank lines stay.
 
 1. Equal lines are one: a combining aggregation by the line's hash keeps the earliest place, so a line that millions of
    documents share is one row.
-2. One edit leaves the first or the last half untouched. Each line gives its halves as keys (for its own length and the
-   next smaller, which is what a pair has in common); lines that share a half with another go on.
+2. One edit leaves the first or the last half untouched. Each line to which that applies (the shorter of two lines is below
+   2 * words_per_edit words) gives its halves as keys (for its own length and the next smaller, which is what a pair has in
+   common); lines that share a half with another go on.
 3. Only these give their deletion neighbourhood: all variants with one word left out, as hashed keys. Variants with the
    same word place left out are equal exactly if a replacement joins the lines, so the earliest of a key stands for all its
    lines and no pairs are made; a line that equals another's variant is an insertion, and joins it by that key alone.
 4. The pair (line, earliest alike) is verified by the edit distance of the words themselves.
-5. Lines long enough for k > 1 edits: k edits spoil k * RUN runs of RUN words at most, so in any one order two alike lines
-   share one of the first k * RUN + 1 distinct runs of each. The order is rarest first, by a sketch of fixed size, so few lines
-   share one. Of those that do, pairs go on whose lengths allow it and whose maps of parities (on which of MAP_BITS bits an
-   odd number of words falls) differ in 2 k bits at most, as an edit changes two. A line is paired with the earliest of the
-   run and length; only lines for which that leaves nothing, or turns out not to be alike, are paired with all earlier ones.
+5. Lines long enough for k > 1 edits: an edit spoils no two runs of words that have no word in common, so k edits leave one of
+   any k + 1 such runs. Each line gives its first runs, in one order for all lines, up to the one with which k + 1 of them lie
+   apart; two alike lines share one of these. The order is rarest first, by a sketch of fixed size, and a run is a third of
+   words_per_edit, so few lines share one. Of those that do, pairs go on whose lengths allow it and whose maps of parities (on
+   which of MAP_BITS bits an odd number of words falls) differ in 2 k bits at most, as an edit changes two. A line is paired
+   with the earliest of the run and length; only lines for which that leaves nothing, or turns out not to be alike, are paired
+   with all earlier ones.
 
 Defined cases: null or blank texts have no lines and come back unchanged; a row without doc_id takes no part and comes back
 unchanged; rows of equal doc_id count as one document, so repeated rows are treated alike; the empty table gives no rows;
@@ -26,9 +29,7 @@ other columns pass through.
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Iterator
-from functools import reduce
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import shingles
-from .common import WORD_CLASS, discard, materialise, passing, tidy
+from .common import discard, materialise, passing, tidy
 from .shingles import mixed, slices, word_bounds, word_hashes
 from .sketch import class_of, commonness, sketch
 from .textfilter import bits_of, texts_near
@@ -46,11 +47,13 @@ from .textfilter import bits_of, texts_near
 MIN_WORDS = 8
 #: One edit is allowed for each so many words of the shorter line; 2 * RUN at least, as else k edits could spoil all its runs.
 WORDS_PER_EDIT = 12
+#: The least words of a run.
 RUN = 2
 MAP_BITS = 128
-#: Pairs are made for one slice of the runs after the other, so that the shuffles of one slice only stand on disk at once.
-SLICES = 2
-WORD = re.compile(WORD_CLASS)
+#: Runs are known by so many bits of their hash, and sorted in one number with a class (8 bits) and the line within its slice.
+KEY_BITS = 38
+#: Lines of more edits give as many runs as suffice wherever these lie, k * run + 1.
+APART = 64
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _UNSTEP = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
 _PREFIX, _SUFFIX, _SAME_PLACE, _ONE_LESS = (np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89))
@@ -114,29 +117,65 @@ def line_words(b: np.ndarray, offsets: np.ndarray) -> tuple[Sequences, np.ndarra
     return words, row[some], number[some], first[some], after[some]
 
 
-def run_hashes(seq: Sequences, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all runs of RUN words of lines of that many or more, and which line each is of."""
-    times = e - s - RUN + 1
+def run_words(words_per_edit: int) -> int:
+    """Words of a run: any line of k edits has 2 k runs that lie apart, or more."""
+    return max(RUN, words_per_edit // 3)
+
+
+def run_hashes(seq: Sequences, s: np.ndarray, e: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all runs of `width` words of lines of that many or more, and which line each is of."""
+    times = e - s - width + 1
     owner = np.repeat(np.arange(len(s)), times)
     start = np.arange(len(owner)) - np.repeat(np.cumsum(times) - times, times) + s[owner]
-    return seq.hashed(start, start + RUN), owner
+    return seq.hashed(start, start + width), owner
 
 
-def all_runs(texts: pa.Array, least: int) -> Iterator[np.ndarray]:
+def all_runs(texts: pa.Array, least: int, width: int) -> Iterator[np.ndarray]:
     for _, _, b, offsets, _ in line_slices(texts):
         seq, _, _, s, e = line_words(b, offsets)
-        yield run_hashes(seq, s[e - s >= least], e[e - s >= least])[0]
+        yield run_hashes(seq, s[e - s >= least], e[e - s >= least], width)[0]
+
+
+def apart(at: np.ndarray, times: np.ndarray, wanted: np.ndarray, width: int) -> np.ndarray:
+    """Of each line: how many of its runs it takes until `wanted` of them have no word in common (else all). `at` holds the
+    places of the runs, line by line (`times` for each) and in the order in which they are taken."""
+    first, need = np.cumsum(times) - times, times.copy()
+    blocked = np.zeros(len(at) + width * (len(times) + 2), np.bool_)
+    near = np.arange(1 - width, width)
+    at = at + np.repeat(np.arange(1, len(times) + 1) * width, times)  # no run is near one of another line
+    got, open_ = np.zeros(len(times), np.int64), np.flatnonzero(times > 0)
+    taken = 0
+    while len(open_):
+        here = at[first[open_] + taken]
+        free = ~blocked[here]
+        blocked[here[free][:, None] + near] = True
+        got[open_] += free
+        taken += 1
+        done = got[open_] >= wanted[open_]
+        need[open_[done]] = taken
+        open_ = open_[~done & (times[open_] > taken)]
+    return need
 
 
 def first_runs(seq: Sequences, s: np.ndarray, e: np.ndarray, classes: np.ndarray, words_per_edit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of lines of two edits or more: their first runs by commonness and hash, line by line, and how many each has."""
-    key, owner = run_hashes(seq, s, e)
-    order = np.lexsort((key, class_of(key, classes), owner))
-    key, owner = key[order], owner[order]
-    new = np.r_[True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])] if len(key) else np.zeros(0, bool)
-    key, owner = key[new], owner[new]
-    place = np.arange(len(owner)) - np.searchsorted(owner, owner)
-    stay = place < ((e - s) // words_per_edit * RUN + 1)[owner]
+    """Of lines of two edits or more: their first distinct runs by commonness and hash, line by line, up to the one with which
+    more runs lie apart than there are edits, and how many each has."""
+    width = run_words(words_per_edit)
+    hashes, owner = run_hashes(seq, s, e, width)
+    key = hashes & np.uint64((1 << KEY_BITS) - 1)
+    whole = (owner.astype(np.uint64) << np.uint64(KEY_BITS + 8)) | (class_of(hashes, classes).astype(np.uint64) << np.uint64(KEY_BITS)) | key
+    order = np.argsort(whole)
+    whole, key = whole[order], key[order]
+    new = np.r_[True, whole[1:] != whole[:-1]] if len(key) else np.zeros(0, bool)
+    times, k = e - s - width + 1, (e - s) // words_per_edit
+    begin = np.cumsum(times) - times
+    few = k <= APART
+    need = np.zeros(len(s), np.int64)
+    need[few] = apart(order[few[owner]] - np.repeat(begin[few] - (np.cumsum(times[few]) - times[few]), times[few]), times[few], k[few] + 1, width)
+    place = np.arange(len(owner)) - begin[owner]
+    count = np.cumsum(new)
+    nth = count - (count[begin] - 1)[owner] if len(owner) else count  # of the distinct runs of its line, from 1
+    stay = new & np.where(few[owner], place < need[owner], nth <= (k * width + 1)[owner])
     return key[stay], np.bincount(owner[stay], minlength=len(s))
 
 
@@ -151,8 +190,8 @@ def parities(seq: Sequences, s: np.ndarray, e: np.ndarray) -> np.ndarray:
 
 
 def lines(docs: DataFrame, classes: np.ndarray, words_per_edit: int = WORDS_PER_EDIT, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, line_no, words, line (hash) and the half keys p1, p2, s1, s2 of every line that has words; and runs and the
-    parity map m1, m2 of those that may have two edits or more."""
+    """doc_id, line_no, words and line (hash) of every line that has words; the half keys p1, p2, s1, s2 of those that may be
+    the longer of two with one edit; and runs and the parity map m1, m2 of those that may have two edits or more."""
     schema = "doc_id long, line_no int, words int, line long, p1 long, p2 long, s1 long, s2 long, m1 long, m2 long, runs array<long>"
     names = [x.split()[0] for x in schema.split(", ")]
     shared = docs.sparkSession.sparkContext.broadcast(classes)
@@ -166,7 +205,7 @@ def lines(docs: DataFrame, classes: np.ndarray, words_per_edit: int = WORDS_PER_
                 n = e - s
                 if not len(n):
                     continue
-                long = n >= min_words
+                long = (n >= min_words) & (n <= 2 * words_per_edit)
                 keys = []
                 for size, tag, head in (((n // 2), _PREFIX, True), (((n - 1) // 2), _PREFIX, True), (((n + 1) // 2), _SUFFIX, False), ((n // 2), _SUFFIX, False)):
                     part = seq.hashed(s, s + size) if head else seq.hashed(e - size, e)
@@ -237,7 +276,7 @@ def allowed(words: int, words_per_edit: int = WORDS_PER_EDIT, min_words: int = M
     return max(1, words // words_per_edit) if words >= min_words else 0
 
 
-def edits(a: list[str], b: list[str], limit: int = 1) -> int:
+def edits(a: list, b: list, limit: int = 1) -> int:
     """Word edits from a to b up to `limit`, or limit + 1 for more. Furthest places on the diagonals, edit by edit."""
     n, m = len(a), len(b)
     if abs(n - m) > limit:
@@ -261,13 +300,56 @@ def edits(a: list[str], b: list[str], limit: int = 1) -> int:
     return limit + 1
 
 
-def members(kept: DataFrame, gone: DataFrame) -> DataFrame:
-    """key, words, own (doc_id, line_no, line, m1, m2) and is_gone: the distinct lines under each run that two or more have."""
+def word_numbers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The words of all texts, one after the other, as numbers that are equal for equal words, and where each text's begin
+    (and the end)."""
+    texts = texts.cast(pa.large_string())
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    b = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    starts, ends = word_bounds(b, offsets - offsets[0])
+    inside = ~((b == 32) | ((b >= 9) & (b <= 13)))
+    at = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(b[inside].tobytes())])
+    return words.dictionary_encode().indices.to_numpy(zero_copy_only=False), np.searchsorted(starts, offsets - offsets[0])
+
+
+def bag_distance(words: np.ndarray, a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Of pairs of runs of `words` (n from a, and m from b): words of the one that the other lacks, repeats counted, or the other
+    way round, whichever are more. As many edits at least turn one into the other."""
+    size = np.concatenate([n, m])
+    pair = np.repeat(np.tile(np.arange(len(n)), 2), size)
+    at = np.arange(len(pair)) + np.repeat(np.concatenate([a, b]) - (np.cumsum(size) - size), size)
+    key = pair * (int(words.max(initial=0)) + 1) + words[at]
+    order = np.argsort(key)
+    new = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0]) if len(key) else np.zeros(0, np.int64)
+    sign = np.where(np.arange(len(pair)) < n.sum(), 1, -1)[order]
+    spare = np.add.reduceat(sign, new) if len(new) else sign
+    of = pair[order][new]
+    more = np.bincount(of, np.maximum(spare, 0), len(n)), np.bincount(of, np.maximum(-spare, 0), len(n))
+    return np.maximum(*more).astype(np.int64)
+
+
+def alike(left: pa.Array, right: pa.Array, words_per_edit: int, min_words: int) -> np.ndarray:
+    """Whether the lines left[i] and right[i] are alike, for each i."""
+    words, at = word_numbers(pa.concat_arrays([left.cast(pa.large_string()), right.cast(pa.large_string())]))
+    half, size = len(left), np.diff(at)
+    n, m, a, b = size[:half], size[half:], at[:half], at[half:-1]
+    limits = np.array([allowed(x, words_per_edit, min_words) for x in np.minimum(n, m).tolist()], np.int64)
+    out = bag_distance(words, a, n, b, m) <= limits
+    for i in np.flatnonzero(out).tolist():
+        limit = int(limits[i])
+        out[i] = edits(words[a[i] : a[i] + n[i]].tolist(), words[b[i] : b[i] + m[i]].tolist(), limit) <= limit
+    return out
+
+
+def members(kept: DataFrame) -> DataFrame:
+    """key, words and own (doc_id, line_no, line, m1, m2): the distinct lines under each run that two or more have."""
     keyed = kept.where("size(runs) > 0")
     shared = keyed.select(F.explode("runs").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     shared = materialise(shared, "lines-runs-shared")
     among = kept.sparkSession.sparkContext.broadcast(bits_of(shared, F.col("key")))  # a filter of fixed size; the join below is exact
-    names = ["line", "words", "m1", "m2", "doc_id", "line_no", "is_gone"]
+    names = ["line", "words", "m1", "m2", "doc_id", "line_no"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -279,10 +361,9 @@ def members(kept: DataFrame, gone: DataFrame) -> DataFrame:
             of = batch.select(names).take(pa.array(owner[stay]))
             yield pa.RecordBatch.from_arrays([pa.array(key[stay]), *of.columns], names=["key", *names])
 
-    keyed = keyed.join(gone.select("line", F.lit(True).alias("is_gone")), "line", "left").withColumn("is_gone", F.coalesce("is_gone", F.lit(False)))
-    near = keyed.select(*names, "runs").mapInArrow(tidy(run), "key long, line long, words int, m1 long, m2 long, doc_id long, line_no int, is_gone boolean")
+    near = keyed.select(*names, "runs").mapInArrow(tidy(run), "key long, line long, words int, m1 long, m2 long, doc_id long, line_no int")
     near = near.join(shared, "key", "left_semi")
-    out = materialise(near.select("key", "words", F.struct("doc_id", "line_no", "line", "m1", "m2").alias("own"), "is_gone"), "lines-runs")
+    out = materialise(near.select("key", "words", F.struct("doc_id", "line_no", "line", "m1", "m2").alias("own")), "lines-runs")
     discard(shared)
     return out
 
@@ -314,42 +395,24 @@ def verified(pairs: DataFrame, words_per_edit: int, min_words: int) -> DataFrame
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            same = []
-            for x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                a, b = WORD.findall(x), WORD.findall(y)
-                limit = allowed(min(len(a), len(b)), words_per_edit, min_words)
-                same.append(edits(a, b, limit) <= limit)
+            same = alike(batch.column(1), batch.column(2), words_per_edit, min_words)
             yield pa.RecordBatch.from_arrays([batch.column(0)], names=["line"]).filter(pa.array(same, pa.bool_()))
 
     return pairs.select("line", "content", "earlier").mapInArrow(tidy(verify), "line long")
 
 
 def doomed_by_more(docs: DataFrame, runs: DataFrame, words_per_edit: int, min_words: int) -> DataFrame:
-    """line: those of the members that are not gone and have an earlier line within the edits allowed, where these are two or
-    more."""
+    """line: those of the members that have an earlier line within the edits allowed, where these are two or more."""
     edits_ = F.floor(F.least("words", "other_words") / words_per_edit)
     fits = F.abs(F.col("words") - F.col("other_words")) <= edits_
     differ = F.bit_count(F.col("own.m1").bitwiseXOR(F.col("other.m1"))) + F.bit_count(F.col("own.m2").bitwiseXOR(F.col("other.m2")))
     may = fits & (F.col("other") < F.col("own")) & (differ <= 2 * edits_)
     ends = lambda pairs: pairs.where(may).select(*[F.struct(*[F.col(f"{s}.{c}") for c in ("doc_id", "line_no", "line")]).alias(s) for s in ("own", "other")]).distinct()
-    slice_of = lambda df, k: df.where(F.pmod("key", F.lit(SLICES)) == k)
-
-    def in_slices(make: Callable[[DataFrame, DataFrame], DataFrame], label: str) -> DataFrame:
-        """The pairs of make(left, runs), slice by slice of the keys."""
-        parts = [materialise(ends(make(slice_of(left, k), slice_of(runs, k))), f"{label}-{k}") for k in range(SLICES)]
-        out = materialise(reduce(DataFrame.union, parts).distinct(), label)
-        discard(*parts)
-        return out
-
-    def with_earliest(left: DataFrame, runs: DataFrame) -> DataFrame:
-        earliest = runs.groupBy("key", "words").agg(F.min("own").alias("other")).withColumn("other_words", F.col("words"))
-        return left.join(earliest, ["key", "words"])
-
-    def with_all(left: DataFrame, runs: DataFrame) -> DataFrame:
-        return left.join(runs.select("key", F.col("words").alias("other_words"), F.col("own").alias("other")), "key")
 
+    def with_all(left: DataFrame) -> DataFrame:
+        return ends(left.join(runs.select("key", F.col("words").alias("other_words"), F.col("own").alias("other")), "key"))
 
-    def alike(pairs: DataFrame, label: str) -> DataFrame:
+    def found_alike(pairs: DataFrame, label: str) -> DataFrame:
         asked = pairs.select("own").union(pairs.select("other")).distinct().groupBy("own.doc_id").agg(F.collect_list(F.struct("own.line_no", "own.line")).alias("asked"))
         asked = materialise(asked, f"lines-pairs-asked-{label}")
         content = materialise(contents(texts_near(docs, asked.select("doc_id")).join(asked, "doc_id").select("doc_id", "text", "asked")).dropDuplicates(["line"]), f"lines-pairs-texts-{label}")
@@ -358,22 +421,21 @@ def doomed_by_more(docs: DataFrame, runs: DataFrame, words_per_edit: int, min_wo
         discard(asked, content)
         return out
 
-    left = runs.where("NOT is_gone").withColumn("line", F.col("own.line"))
-    first = in_slices(with_earliest, "lines-pairs-first")
-    rest = in_slices(lambda left, runs: with_all(left.join(first.select("own.line"), "line", "left_anti"), runs), "lines-pairs-rest")
-    pairs = first.union(rest)
-    found = alike(pairs, "most")
+    left = runs.withColumn("line", F.col("own.line"))
+    earliest = runs.groupBy("key", "words").agg(F.min("own").alias("other")).withColumn("other_words", F.col("words"))
+    first = materialise(ends(left.join(earliest, ["key", "words"])), "lines-pairs-first")
+    rest = materialise(with_all(left.join(first.select("own.line"), "line", "left_anti")), "lines-pairs-rest")
+    found = found_alike(first.union(rest), "most")
     unlike = materialise(first.select("own.line").distinct().join(found, "line", "left_anti"), "lines-pairs-unlike")
     if unlike.isEmpty():
         return found
-    again = in_slices(lambda left, runs: with_all(left.join(unlike, "line", "left_semi"), runs), "lines-pairs-more")
-    again = materialise(again.join(first, ["own", "other"], "left_anti"), "lines-pairs-again")
-    return found.union(alike(again, "again"))
+    again = materialise(with_all(left.join(unlike, "line", "left_semi")).join(first, ["own", "other"], "left_anti"), "lines-pairs-again")
+    return found.union(found_alike(again, "again"))
 
 
 def doomed(kept: DataFrame, docs: DataFrame, words_per_edit: int, min_words: int) -> DataFrame:
-    """line: those of the distinct lines `kept` that have an earlier line one edit away."""
-    halves = kept.where(F.col("words") >= min_words).select("line", "doc_id", "line_no", F.explode(F.array(*[F.struct(F.col(k).alias("key"), F.lit(k[0] == "p").alias("front")) for k in ("p1", "p2", "s1", "s2")])).alias("h"))
+    """line: those of the distinct lines `kept` that have an earlier line one edit away, where one is allowed."""
+    halves = kept.where(F.col("words").between(min_words, 2 * words_per_edit)).select("line", "doc_id", "line_no", F.explode(F.array(*[F.struct(F.col(k).alias("key"), F.lit(k[0] == "p").alias("front")) for k in ("p1", "p2", "s1", "s2")])).alias("h"))
     halves = halves.select("line", "doc_id", "line_no", "h.key", "h.front").where("key IS NOT NULL")
     shared = halves.groupBy("key").agg(F.min("line").alias("x"), F.max("line").alias("y")).where("x <> y").select("key")
     # `front`: it shares a front half, so the edit may be in the rest; `end`: the other way round
@@ -402,14 +464,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     if min_words < 2:
         raise ValueError("min_words must be 2 or more: a line of one word has no half")
     slim = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    classes, _ = commonness(sketch(slim, lambda texts: all_runs(texts, 2 * words_per_edit)))
+    classes, _ = commonness(sketch(slim, lambda texts: all_runs(texts, 2 * words_per_edit, run_words(words_per_edit))))
     with passing() as here:  # what is written goes as soon as nothing reads it any more
         found = lines(slim, classes, words_per_edit, min_words)
         found = found.groupBy("line").agg(F.min(F.struct(*[c for c in found.columns if c != "line"])).alias("x")).select("line", "x.*")
         found = materialise(found, "lines")  # the earliest of each, with its runs
         with passing() as first:
             gone = first.keep(materialise(doomed(found, slim, words_per_edit, min_words).distinct(), "lines-gone"))
-        runs = members(found, gone)
+        runs = members(found)
         places = here.keep(materialise(found.select("line", "doc_id", "line_no"), "lines-places"))
         discard(found)
         gone = here.keep(materialise(gone.union(doomed_by_more(slim, runs, words_per_edit, min_words)), "lines-gone-all"))
